@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,3 +59,37 @@ def slices(offsets: np.ndarray, most: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def random_words(seed: int, n: int) -> np.ndarray:
+    """n odd 64-bit numbers, the same in every process."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all (the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def components(links: DataFrame, tag: str = "labels") -> DataFrame:
+    """(id, label) of every id in ``links`` (a, b): label is the smallest id it is connected to.
+
+    Labels start as the smallest neighbour; each round takes the smallest label
+    around an id and then that label's own label (pointer jumping), so the rounds
+    needed grow with the logarithm of the longest chain. Every round is one stored
+    table; the driver sees only a count of changes.
+    """
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    both = stored(both.distinct(), tag)
+    labels = stored(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), tag)
+    while True:
+        near = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        step = stored(step.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), tag)
+        changed = step.where("label <> old").limit(1).count()
+        labels = step.select("id", "label")
+        if not changed:
+            return labels

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, packing, warc
+from . import language_id, media, ngram_join, packing, warc
 from .common import stored, table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    return groups
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sniffed = media.sniff_media(media.encode_text(table(spark, sf_dir, "documents")))
     payload = F.col("payload")
@@ -45,6 +50,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op8_language_id, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op8_language_id, op9_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
