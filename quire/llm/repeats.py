@@ -15,8 +15,8 @@ exactly; what is hashed are 64-bit fingerprints of bytes.
    (``suffix_array``) tells how long a run of phrases repeats from every phrase.
    A window whose phrases do not repeat as a run is dropped, and the bytes of the
    others are compared (by hash) within the block.
-3. A minimiser with more than ``group`` different segments is not brought into
-   one task: its windows are counted one by one, spread by their own hashes. This
+3. A minimiser with more than ``group`` different segments (12 MB of them at
+   most) is not brought into one task: its windows are counted one by one, spread by their own hashes. This
    is exact too.
 
 Where texts end in a task does not matter: windows never cross texts.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import mix, random_words, slices, stored, utf8
 from .suffix_array import longest_repeats
 
-LENGTH, GRAM, GROUP = 400, 32, 256
+LENGTH, GRAM, GROUP = 400, 32, 16384
 SLICE = 1 << 18
 WINDOWS = 1 << 19
 BLOCK = 1 << 18
