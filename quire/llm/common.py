@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,12 @@ def components(links: DataFrame, tag: str = "labels") -> DataFrame:
         labels = step.select("id", "label")
         if not changed:
             return labels
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once.
+
+    The optimizer merges projections, so a column used inside a lambda would be
+    worked out anew for every element; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
