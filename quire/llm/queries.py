@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, ngram_join, packing, repeats, warc
+from . import decontaminate, language_id, licenses, media, ngram_join, packing, repeats, toxicity, warc
 from .common import stored, table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -38,11 +38,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(pieces.drop("token_ids"), "pieces"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id").where(f"not ({HELD_OUT})"))
+    scored = toxicity.detect(docs, model, passages=False)
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(f"not ({HELD_OUT})"))
@@ -55,6 +71,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op5_suffix_array_dedup, op8_language_id, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
