@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, media, ngram_join, packing, repeats, toxicity, warc
+from . import decontaminate, html_extract, language_id, licenses, media, ngram_join, packing, repeats, toxicity, warc
 from .common import stored, table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -71,6 +71,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc, op10_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
