@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
+BROADCAST_WORDS = 100_000
 SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 16, 8, 6, 0.9
 #: Public license notices and standard paragraphs.
 TEMPLATES = [
@@ -100,10 +101,12 @@ def _bands(shingles: Column, step: int) -> Column:
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(key, license, part, n_shingles, n_found, containment) of every template held by a row of ``docs``.
 
-    ``known`` is what ``templates`` returns, a small table; Spark decides by its
-    size whether to broadcast what is made of it. Null, empty or short texts hold
-    nothing. Rows that repeat are reported once.
+    ``known`` is what ``templates`` returns; what is made of it is broadcast if it
+    has at most ``BROADCAST_WORDS`` words and shuffled beyond that. Null, empty or
+    short texts hold nothing. Rows that repeat are reported once.
     """
+    n_words = known.agg(F.sum(F.size("words"))).first()[0] or 0
+    near = F.broadcast if n_words <= BROADCAST_WORDS else (lambda df: df)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), body.alias("body")).withColumn("row", F.struct(F.xxhash64("key", "body").alias("r1"), F.hash("body", "key").alias("r2")))
     hashed = rows.select("row", shingles_of(words_of(F.col("body"))).alias("shingles"))
@@ -111,10 +114,10 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     name = F.struct("license", "part").alias("name")
     bands = known.where(long).select(name, F.explode(_bands(F.col("shingles"), 1)).alias("w")).groupBy("w.band", "w.value").agg(F.collect_set("name").alias("names"))
     singles = known.where(~long).select(name, F.explode("shingles").alias("value")).groupBy("value").agg(F.collect_set("name").alias("names"))
-    by_band = hashed.select("row", F.explode(_bands(F.col("shingles"), STRIDE)).alias("w")).select("row", "w.band", "w.value").join(bands, ["band", "value"])
-    by_shingle = hashed.select("row", F.explode("shingles").alias("value")).join(singles, "value")
+    by_band = hashed.select("row", F.explode(_bands(F.col("shingles"), STRIDE)).alias("w")).select("row", "w.band", "w.value").join(near(bands), ["band", "value"])
+    by_shingle = hashed.select("row", F.explode("shingles").alias("value")).join(near(singles), "value")
     found = by_band.select("row", "names").unionByName(by_shingle.select("row", "names")).select("row", F.explode("names").alias("name")).distinct()
-    found = found.select("row", "name.*").join(known.select("license", "part", F.col("shingles").alias("theirs")), ["license", "part"])
+    found = found.select("row", "name.*").join(near(known.select("license", "part", F.col("shingles").alias("theirs"))), ["license", "part"])
     both = rows.join(found, "row").withColumn("n_shingles", F.size(F.array_distinct("theirs")).cast("long"))
     both = both.withColumn("n_found", F.size(F.array_intersect("theirs", shingles_of(words_of(F.col("body"))))).cast("long"))
     both = both.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 4)).where(F.col("containment") >= containment).dropDuplicates(["row", "license", "part"])
