@@ -54,7 +54,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id").where(f"not ({HELD_OUT})"))
+    model = toxicity.train(docs, labels.where(f"not ({HELD_OUT})"))
     scored = toxicity.detect(docs, model, passages=False)
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 

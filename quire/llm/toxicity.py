@@ -12,8 +12,9 @@ expected number of chance segments of score S in n words is K n exp(-lambda S)
 from their maximal segments. The best sum of normalised segment scores is turned
 into a probability by logistic calibration on the training rows.
 
-Counts cover all training rows and are added up by Spark; the driver receives at
-most ``TERMS`` scored terms and a histogram of a few hundred bins.
+Training takes at most ``SAMPLE`` rows of either label; their counts are added up by
+Spark, and the driver receives at most ``TERMS`` scored terms and a histogram of a
+few hundred bins. Scoring covers every text whole.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ WORD = re.compile(r"\w+")
 PRIOR, CONFIDENCE, LEAST_SCORE, GAP, TERMS = 1.0, 1.64, 2.0, 0.5, 20_000
 PREFIXES = (5, 4, 3)
 FLUSH = 300_000
+SAMPLE = 30_000
 FLOOR, CEILING, BIN = -15.0, 40.0, 0.25
 
 
@@ -176,13 +178,24 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks)], names=["key", "label", "mark"])
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
-    """A model from all rows with a label 0 or 1; a null text is empty. Without rows of both labels nothing scores."""
-    every = labelled.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = SAMPLE) -> Model:
+    """A model from the texts of at most ``most`` rows of either label, 0 or 1, taken by the order of their keys' hashes.
+
+    The bound keeps the sample's keys small enough to broadcast whatever the input's
+    size, so texts are read where they lie. A null text is empty; keys without a text
+    and other labels are left out. Without rows of both labels nothing scores.
+    """
+    marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null").distinct()
+    sample = None
+    for value in (0, 1):
+        one = marked.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(most)
+        sample = one if sample is None else sample.unionByName(one)
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    every = stored(texts.join(F.broadcast(sample), "key").select("key", "text", "label"), "sample")
     kind = every.schema["key"].dataType.simpleString()
     marks = every.select("key", F.lower("text"), "label").mapInArrow(_mark, f"key {kind}, label int, mark long")
     chosen = marks.groupBy("label", "mark").agg(F.min("key").alias("key")).select("key", "label").distinct()
-    rows = stored(every.join(chosen, ["key", "label"], "left_semi").select("text", "label"), "training")
+    rows = every.join(F.broadcast(chosen), ["key", "label"], "left_semi").select("text", "label")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model({})

@@ -195,14 +195,14 @@ def test_toxicity_learns_and_finds(spark):
         return (k, " ".join(words), int(k % 4 == 0))
 
     train = spark.createDataFrame([row(k) for k in range(160)] + [(900, None, 0)], "doc_id long, text string, toxic int")
-    model = toxicity.train(train)
+    model = toxicity.train(train, train.select("doc_id", "toxic"))
     test = spark.createDataFrame([(*row(k)[:2], 1.0) for k in range(200, 240)] + [(1, None, 0.0), (2, "", 0.0)], "doc_id long, text string, toxicity double")
     got = {r["doc_id"]: r for r in toxicity.detect(test, model).collect()}
     assert all((got[k]["toxicity"] >= 0.5) == (k % 4 == 0) for k in range(200, 240))
     assert got[1]["toxicity"] < 0.5 and got[2]["passages"] == []
     spot = got[200]["passages"][0]
     assert spot["first_word"] == 20 and spot["end_word"] == 22
-    empty = toxicity.train(train.limit(0))
+    empty = toxicity.train(train, train.limit(0))
     assert toxicity.detect(test, empty).where("toxicity >= 0.5").count() == 0
 
 
