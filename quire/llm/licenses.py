@@ -84,8 +84,8 @@ def templates(spark: SparkSession, rows=None) -> DataFrame:
     return words.withColumn("shingles", shingles_of(F.col("words"))).where(F.size("shingles") > 0)
 
 
-def _bands(shingles: Column, step: int) -> Column:
-    """(band, value) of windows of WINDOW words taken every ``step`` words."""
+def _windows(shingles: Column, step: int) -> Column:
+    """(band, value) of windows of WINDOW words taken every ``step`` words, and with band -1 of all windows of one shingle."""
     wide = WINDOW - SHINGLE + 1
 
     def least(turned: Column, band: int) -> Column:
@@ -95,7 +95,8 @@ def _bands(shingles: Column, step: int) -> Column:
     def one(own: Column, band: int) -> Column:
         return let(F.transform(own, lambda s: F.xxhash64(s, F.lit(band))) if band else own, lambda turned: least(turned, band))
 
-    return let(shingles, lambda own: F.flatten(F.array(*(one(own, band) for band in range(BANDS)))))
+    single = lambda s: F.struct(F.lit(-1).alias("band"), s.alias("value"))
+    return let(shingles, lambda own: F.flatten(F.array(F.transform(own, single), *(one(own, band) for band in range(BANDS)))))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -112,11 +113,10 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     hashed = rows.select("row", shingles_of(words_of(F.col("body"))).alias("shingles"))
     long = F.size("words") >= WINDOW + STRIDE - 1
     name = F.struct("license", "part").alias("name")
-    bands = known.where(long).select(name, F.explode(_bands(F.col("shingles"), 1)).alias("w")).groupBy("w.band", "w.value").agg(F.collect_set("name").alias("names"))
-    singles = known.where(~long).select(name, F.explode("shingles").alias("value")).groupBy("value").agg(F.collect_set("name").alias("names"))
-    by_band = hashed.select("row", F.explode(_bands(F.col("shingles"), STRIDE)).alias("w")).select("row", "w.band", "w.value").join(near(bands), ["band", "value"])
-    by_shingle = hashed.select("row", F.explode("shingles").alias("value")).join(near(singles), "value")
-    found = by_band.select("row", "names").unionByName(by_shingle.select("row", "names")).select("row", F.explode("names").alias("name")).distinct()
+    marks = known.select(name, F.explode(_windows(F.col("shingles"), 1)).alias("w"), long.alias("long")).where((F.col("w.band") >= 0) == F.col("long"))
+    marks = marks.groupBy("w.band", "w.value").agg(F.collect_set("name").alias("names"))
+    hits = hashed.select("row", F.explode(_windows(F.col("shingles"), STRIDE)).alias("w")).select("row", "w.band", "w.value").join(near(marks), ["band", "value"])
+    found = hits.select("row", F.explode("names").alias("name")).distinct()
     found = found.select("row", "name.*").join(near(known.select("license", "part", F.col("shingles").alias("theirs"))), ["license", "part"])
     both = rows.join(found, "row").withColumn("n_shingles", F.size(F.array_distinct("theirs")).cast("long"))
     both = both.withColumn("n_found", F.size(F.array_intersect("theirs", shingles_of(words_of(F.col("body"))))).cast("long"))
