@@ -46,7 +46,8 @@ def flate_decode(data: bytes) -> bytes:
             continue
         if len(out) > MAX_BYTES:
             raise CodecError("output limit")
-        return out
+        if out or inflate.eof:  # of a cut-off stream, what there is
+            return out
     raise CodecError("neither zlib nor deflate data")
 
 
