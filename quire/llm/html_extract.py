@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAGES, IMPORTANCE = 5, 0.15
+PAGES, IMPORTANCE, SALTS = 5, 0.15, 64
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select".split())
@@ -201,7 +201,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least_pages:
     pages = pages.drop(*({"text", "n_chars"} & set(pages.columns)))
     low = style_tree(pages, url, html).where((F.col("pages") >= least_pages) & (F.col("importance") < importance))
     low = low.groupBy("host").agg(F.collect_list("path").alias("_low")).withColumnRenamed("host", "_host")
-    joined = pages.withColumn("_host", host_of(F.col(url))).join(low, "_host", "left")
+    low = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's pages go to many tasks
+    salted = pages.withColumn("_host", host_of(F.col(url))).withColumn("_salt", F.pmod(F.xxhash64(F.col(html), F.col(url)), F.lit(SALTS)).cast("int"))
+    joined = salted.join(low, ["_host", "_salt"], "left")
     others = [c for c in pages.columns if c != html]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
