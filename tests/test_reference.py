@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import codecs, registry, rules
 from quire.operators import findings, graph, select
-from quire.plans import document_queries, graph_queries, stream_queries, structure_queries, text_queries
+from quire.plans import document_queries, forms_queries, graph_queries, stream_queries, structure_queries, text_queries
 from quire.sources import export, pdf
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,7 +28,7 @@ def rows_of(frame):
     return list(frame.columns), sorted(repr(tuple(round(x, 5) if isinstance(x, float) else None if x is None else str(x) for x in r)) for r in frame.itertuples(index=False, name=None))
 
 
-EVERY = [(m, n) for m in (graph_queries, text_queries, document_queries, stream_queries, structure_queries) for n in m.ORACLE]
+EVERY = [(m, n) for m in (graph_queries, text_queries, document_queries, stream_queries, structure_queries, forms_queries) for n in m.ORACLE]
 
 
 @pytest.mark.parametrize("module,name", EVERY, ids=[n for _, n in EVERY])
