@@ -8,13 +8,13 @@ has none and equals only the same text.
 1. One pass gives each text its set's 128-bit key and its band hashes. Texts with
    equal sets are one class from here on (its smallest id stands for it), however
    many copies there are.
-2. Band hashes are grouped with map-side combining. A bucket's smallest id is its
-   pivot, and so is that of each part of the bucket that also agrees on the next
-   band; members are paired with pivots, never with each other, so pairs grow
-   with members.
-3. Pairs are verified on whole sets, first those with each member's smallest
-   pivot, then those whose ends are still apart, and last what is left of a bucket
-   without the members its pivot took in, under a pivot of its own.
+2. Band hashes are grouped with map-side combining; buckets with the same members
+   count as one. A bucket's members are dealt out to parts, and every two parts (and
+   each part with itself) are a block.
+3. A block has the whole sets of its members and verifies all pairs among them whose
+   first common bucket it belongs to, so every pair that shares a bucket is verified
+   once. A block gives its members' link counts and what they lead to, not its pairs:
+   the rows grow with members, the comparisons with pairs.
 4. Connected components of the verified links are the groups.
 
 With ``bands`` of ``rows`` hashes a pair of similarity s shares a bucket with
@@ -35,6 +35,8 @@ from .common import components, mix, random_words, slices, stored, utf8
 
 N, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 SLICE = 1 << 19
+#: Sets and n-grams of a part of a bucket; columns of a block's matrix at a time.
+MOST, GRAMS, WIDE = 512, 1 << 20, 1 << 12
 BYTE = random_words(1, 256)
 BYTE[[b for b in range(128) if not chr(b).isalnum()]] = 0
 STEP, PLACE = random_words(2, 1)[0], random_words(3, 64)
@@ -142,12 +144,78 @@ def ngram_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return docs.select(key, F.lower(F.col(text).cast("string"))).mapInArrow(each, f"`{key}` {kind}, grams array<long>")
 
 
-def verify(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Adds ``jaccard`` to ``pairs`` (a, b), from whole sets ``grams`` (id, grams)."""
-    own = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("_of_a")), "a")
-    both = own.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("_of_b")), "b")
-    common = F.size(F.array_intersect("_of_a", "_of_b"))
-    return both.withColumn("_common", common).withColumn("jaccard", F.col("_common") / (F.size("_of_a") + F.size("_of_b") - F.col("_common"))).drop("_of_a", "_of_b", "_common")
+def _blocks(classes: DataFrame, bands: int) -> DataFrame:
+    """(band, bucket, part, other, rep, side) of all members of buckets with two sets or more.
+
+    Buckets with the same members are taken once, under their first band. A bucket
+    is dealt out to parts of about MOST sets or GRAMS n-grams; a block holds two parts
+    (or one, for the pairs inside it), and ``side`` tells which of them a row is in.
+    """
+    buckets = classes.where("n_grams > 0 and rep is not null").select("rep", "n_grams", F.posexplode("bands").alias("band", "bucket"))
+    sizes = buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
+    once = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket", "size")).alias("b"))
+    once = once.select("b.band", "b.bucket", F.ceil(F.greatest(F.col("n") / MOST, F.col("b.size") / GRAMS)).cast("int").alias("parts"))
+    own = buckets.join(once, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("parts")).cast("int"))
+    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.select("band", "bucket", F.least("side", "with").alias("part"), F.greatest("side", "with").alias("other"), "rep", "side")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block each, from rows sorted by their first four columns."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
+        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if held and tuple(marks[:, i]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = tuple(marks[:, i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def common_grams(grams: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """[left, right] how many n-grams two sets share; sets lie end to end in ``grams``, ``left`` and ``right`` number them."""
+    _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
+    row, more = np.repeat(np.arange(len(sizes)), sizes), count > 1
+    keep = more[column]
+    row, column = row[keep], (np.cumsum(more) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for c in range(0, int(more.sum()), WIDE):
+        i, j = np.searchsorted(column, [c, c + WIDE])
+        has = np.zeros((len(sizes), WIDE), np.float32)
+        has[row[i:j], column[i:j] - c] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _links(block: pa.Table, bands: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, jaccard) of a block's linked rows whose first common bucket is the block's own."""
+    band, side = int(block.column(0)[0].as_py()), block.column(5).to_numpy()
+    keys = block.column(6).combine_chunks().flatten().to_numpy().reshape(-1, bands)
+    lists = block.column(7).combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    one, two = int(block.column(2)[0].as_py()), int(block.column(3)[0].as_py())
+    left, right = np.flatnonzero(side == one), np.flatnonzero(side == two)
+    asked = left[:, None] < right[None, :] if one == two else np.ones((len(left), len(right)), bool)
+    for k in range(band):
+        asked &= keys[left, k][:, None] != keys[right, k][None, :]
+    asked &= np.minimum(sizes[left][:, None], sizes[right][None, :]) >= similarity * np.maximum(sizes[left][:, None], sizes[right][None, :]) - 1e-6
+    if not asked.any():
+        return (np.zeros(0, np.int64),) * 3
+    p, q = asked.any(axis=1), asked.any(axis=0)
+    left, right, asked = left[p], right[q], asked[p][:, q]
+    common = common_grams(lists.flatten().to_numpy(), sizes, left, right)
+    jaccard = common / (sizes[left][:, None] + sizes[right][None, :] - common)
+    i, j = np.nonzero(asked & (jaccard >= similarity))
+    return left[i], right[j], jaccard[i, j]
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -155,39 +223,55 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     ``groups``: (key, rep, class_id, n_copies, n_links) a row of ``docs``: ``rep``
     is the smallest key with the same n-gram set, ``n_copies`` how many rows have
-    that set, ``class_id`` the smallest key that links lead to, ``n_links`` the
-    links of its set. ``links``: (a, b, jaccard), verified, between reps. Links that
-    join what other links already join are left out, so a group of m different
-    texts has from m - 1 to a few m links. Keys are integers; a null key takes part
-    as a text of its own but stands for nothing (class_id null if all are null).
-    Repeated rows count as copies. Empty tables give empty results.
+    that set, ``class_id`` the smallest key that links lead to, ``n_links`` how many
+    other sets its set is linked to. ``links``: (a, b, jaccard), a < b, all verified
+    pairs of reps that share a bucket; worked out only when it is read, as a group
+    of m mutually similar sets has m * (m - 1) / 2 of them. Keys are integers; a null
+    key takes part as a text of its own but stands for nothing (class_id null if all
+    are null). Repeated rows count as copies. Empty tables give empty results.
     """
     signed = stored(signatures(docs, key, text, n, bands, rows).withColumnRenamed(key, "id"), "signatures")
     classes = stored(signed.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "sets")
-    buckets = classes.where("n_grams > 0 and rep is not null").select("rep", F.explode(F.expr(f"concat(bands, transform(sequence(0, {bands - 1}), i -> xxhash64(bands[i], bands[(i + 1) % {bands}], i)))")).alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "pivot")
-    members = stored(buckets.join(pivots, "bucket").where("rep <> pivot"), "members")
+    members = stored(_blocks(classes, bands), "members")
 
-    wanted = members.select(F.col("rep").alias("id")).union(members.select("pivot")).distinct()
+    wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").dropDuplicates(["id"]) if _repeats(signed) else docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id")
     grams = stored(ngram_sets(texts, "id", "text", n), "grams")
+    block = ["band", "bucket", "part", "other"]
+    whole = members.join(grams.withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", F.col("bands").alias("keys")), "rep")
+    dealt = whole.select(*block, "rep", "side", "keys", "grams").repartition(*block).sortWithinPartitions(*block)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for every linked row of a block: how many links it has there, and a row they lead to."""
+        for rows_of in _runs(batches):
+            i, j, _ = _links(rows_of, bands, similarity)
+            if len(i):
+                label = np.arange(rows_of.num_rows)
+                while True:
+                    before = label.copy()
+                    np.minimum.at(label, i, label[j])
+                    np.minimum.at(label, j, label[i])
+                    label = label[label]
+                    if (label == before).all():
+                        break
+                count = np.bincount(np.concatenate([i, j]), minlength=len(label))
+                linked = np.flatnonzero(count)
+                ids = rows_of.column(4).combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(linked)), ids.take(pa.array(label[linked])), pa.array(count[linked], pa.int64())], names=["id", "to", "n"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_of in _runs(batches):
+            i, j, jaccard = _links(rows_of, bands, similarity)
+            if len(i):
+                ids = rows_of.column(4).combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(jaccard, pa.float64())], names=["a", "b", "jaccard"])
 
-    nearest = members.groupBy("rep").agg(F.min("pivot").alias("pivot"))
-    tried = stored(verify(nearest.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), grams), "tried")
-    for last in (False, True):
-        labels = components(tried.where(F.col("jaccard") >= similarity))
-        if last:  # what a pivot did not take in gets a pivot of its own
-            apart = _labelled(members, labels).where("of_rep <> of_pivot")
-            again = apart.groupBy("bucket").agg(F.min("rep").alias("next"))
-            pairs = _labelled(apart.select("bucket", "rep").join(again, "bucket").where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct(), labels).where("of_rep <> of_pivot")
-        else:
-            pairs = _labelled(members.select("rep", "pivot").distinct(), labels).where("of_rep <> of_pivot")
-        fresh = pairs.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = stored(tried.unionByName(verify(fresh, grams)), "tried")
-    links = tried.where(F.col("jaccard") >= similarity)
-    labels = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(labels.join(ends, "id").withColumnRenamed("id", "rep"), "rep", "left")
+    kind = docs.schema[key].dataType.simpleString()
+    linked = stored(dealt.mapInArrow(ends, f"id {kind}, to {kind}, n long"), "linked")
+    links = dealt.mapInArrow(pairs, f"a {kind}, b {kind}, jaccard double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    labels = components(linked.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
+    counts = linked.groupBy("id").agg(F.sum("n").alias("n_links"))
+    named = classes.join(labels.join(counts, "id").withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("set_a", "set_b", "rep", F.coalesce("label", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     groups = signed.select("id", "set_a", "set_b").join(named, ["set_a", "set_b"])
     return groups.select(F.col("id").alias(key), "rep", "class_id", "n_copies", "n_links"), links
@@ -197,13 +281,6 @@ def _repeats(signed: DataFrame) -> bool:
     return signed.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    of_rep = labels.select(F.col("id").alias("rep"), F.col("label").alias("of_rep"))
-    of_pivot = labels.select(F.col("id").alias("pivot"), F.col("label").alias("of_pivot"))
-    joined = pairs.join(of_rep, "rep", "left").join(of_pivot, "pivot", "left")
-    return joined.withColumn("of_rep", F.coalesce("of_rep", "rep")).withColumn("of_pivot", F.coalesce("of_pivot", "pivot"))
-
-
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each group: that whose key is the group's class_id (a null key stays only if no other is in its group)."""
     groups, _ = ngram_join(docs, key, text, **settings)

@@ -78,6 +78,15 @@ def test_ngram_join_against_all_pairs(docs):
     assert by[1]["n_copies"] == 3 and by[1]["n_links"] == 1 and by[9]["n_links"] == 0
 
 
+def test_ngram_join_of_texts_on_one_long_template(spark):
+    def own(k, n):
+        return [f"w{k}x{i}" for i in range(n)]
+
+    rows = [(2 * k + s, " ".join(own("t", 854) + own(f"f{k}", 45) + own(f"{k}s{s}", 105))) for k in range(150) for s in range(2)]
+    groups, _ = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["class_id"] for r in groups.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_ngram_join_keeps_one_of_each_group(docs):
     kept = ngram_join.deduplicate(docs)
     assert kept.columns == docs.columns
