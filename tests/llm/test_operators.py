@@ -87,6 +87,21 @@ def test_ngram_join_of_texts_on_one_long_template(spark):
     assert {r["doc_id"]: r["class_id"] for r in groups.collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("most", [512, 2])
+def test_ngram_join_counts_every_link(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST", most, raising=False)
+    base = prose(7, 150).split()
+    texts = {k: " ".join(base[:30] + ([f"new{k}"] if k else []) + base[30:] + [f"end{k}"] * (k > 3)) for k in range(5)}
+    texts |= {10 + k: " ".join(base[:20] + base[20 + 12 * k :]) for k in range(1, 4)}  # a chain: its ends are unlike
+    rows = [*texts.items(), (20, texts[2]), (21, prose(8, 60))]
+    groups, links = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = {a: {b for b in texts if b != a and len(grams(texts[a]) & grams(texts[b])) >= 0.8 * len(grams(texts[a]) | grams(texts[b]))} for a in texts}
+    assert all(len(want[k]) >= 4 for k in range(5))
+    got = {r["doc_id"]: r["n_links"] for r in groups.collect()}
+    assert got == {**{a: len(w) for a, w in want.items()}, 20: len(want[2]), 21: 0}
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == sorted((a, b) for a in want for b in want[a] if a < b)
+
+
 def test_ngram_join_keeps_one_of_each_group(docs):
     kept = ngram_join.deduplicate(docs)
     assert kept.columns == docs.columns
