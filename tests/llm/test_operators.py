@@ -384,6 +384,14 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_short_and_slot_heavy_items(spark):
+    bench = ["What is the capital of France today?", "What is 12 + 35 * 7 - 4?", "Tom buys 6 apples and 9 pears for lunch", "Sam adds 1 2 3 4 5 6 7 8 9 to the long list of numbers that Sam had written down before he left"]
+    texts = ["Q: What is the capital of France today? A: Paris", "Solve this, What is 12 + 35 * 7 - 4?", "Then, Tom buys 6 apples and 9 pears for lunch.", "Now Ann buys 7 apples and 7 pears for lunch", bench[3], "What is 12 + 36 * 7 - 4?", "He said: Sam adds 1 2 3 4 5 6 7 8 9 to the long list of numbers that Bob had written down before he left"]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.contamination(rows, spark.createDataFrame([*enumerate(bench)], "item_id long, text string")).collect()}
+    assert found == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 2): False, (4, 3): True}
+
+
 def test_license_scan(spark):
     texts = {i: t for i, (_, _, t) in enumerate(licenses.TEMPLATES)}
     rows = [(i, prose(i, 50) + "\n" + t + "\n" + prose(i + 1, 50)) for i, t in texts.items()] + [(100, None), (101, ""), (102, prose(7, 300)), (103, "MIT License"), (0, prose(0, 50) + "\n" + texts[0] + "\n" + prose(1, 50))]
