@@ -4,9 +4,10 @@ Pages of one host are merged by element path (tag and classes from the root, no
 positions): Spark counts, for every path, how many different pages have it, how
 its contents differ between pages and how its presentation (the sequence of child
 tags) does. The importance of a path is the larger of the two entropies, divided
-by the largest possible one; a path that at least ``PAGES`` different pages of
-the host show with an importance under ``IMPORTANCE`` is boilerplate, and its
-branch is removed from each page. What a single page shows by itself (menus,
+by the largest possible one; the text of a path that at least ``PAGES`` different
+pages of the host show with an importance under ``IMPORTANCE`` is boilerplate and
+removed from each page. The composite importance of a path is the greatest of itself
+and all paths below it; where that is low too, the whole branch goes. What a single page shows by itself (menus,
 forms, adverts by element or class name, scripts) goes in any case, and where a
 page has an article or main element, only what is in it counts.
 
@@ -142,13 +143,15 @@ class Page:
                 _, path, main, dropped = stack[-1]
                 self.blocks.append((path, text, main, dropped))
 
-    def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The kept blocks; a branch goes with any of its ancestors in ``low``."""
+    def text(self, low: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> str:
+        """The kept blocks; a branch goes with any of its ancestors in ``low``, a block alone with its path in ``own``."""
         only = any(main and not dropped for _, _, main, dropped in self.blocks)
         out = []
         for path, text, main, dropped in self.blocks:
             if dropped or (only and not main):
                 continue
+            if path in own:
+                continue
             if low and any(path == p or path.startswith(p + ">") for p in low):
                 continue
             out.append(text)
@@ -179,7 +182,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, content, presentation, importance) over all pages; equal pages of a host count once."""
+    """(host, path, pages, content, presentation, importance, composite) over all pages; equal pages of a host count once."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     found = rows.mapInArrow(_features, "host string, page long, path string, content long, style long").groupBy("host", "path", "page", "content", "style").agg(F.lit(1).alias("one"))
 
@@ -188,7 +191,11 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         return counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s")).select("host", "path", "pages", F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0).alias(mark))
 
     both = entropy("content").join(entropy("style").drop("pages"), ["host", "path"])
-    return both.select("host", "path", "pages", "content", F.col("style").alias("presentation"), F.greatest("content", F.when(F.col("pages") > 1, F.col("style")).otherwise(1.0)).alias("importance"))
+    one = both.select("host", "path", "pages", "content", F.col("style").alias("presentation"), F.greatest("content", F.when(F.col("pages") > 1, F.col("style")).otherwise(1.0)).alias("importance"))
+    above = F.expr("transform(sequence(1, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")
+    spread = one.select("host", F.explode(above).alias("above"), F.col("path").alias("_path"), F.struct("pages", "content", "presentation", "importance").alias("own"))
+    tree = spread.groupBy("host", F.col("above").alias("path")).agg(F.max(F.when(F.col("above") == F.col("_path"), F.col("own"))).alias("own"), F.max("own.importance").alias("composite"))
+    return tree.where("own is not null").select("host", "path", "own.*", "composite")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = PAGES, importance: float = IMPORTANCE) -> DataFrame:
@@ -200,7 +207,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least_pages:
     """
     pages = pages.drop(*({"text", "n_chars"} & set(pages.columns)))
     low = style_tree(pages, url, html).where((F.col("pages") >= least_pages) & (F.col("importance") < importance))
-    low = low.groupBy("host").agg(F.collect_list("path").alias("_low")).withColumnRenamed("host", "_host")
+    branch = F.col("composite") < importance
+    low = low.groupBy("host").agg(F.collect_list(F.when(branch, F.col("path"))).alias("_low"), F.collect_list(F.when(~branch, F.col("path"))).alias("_own")).withColumnRenamed("host", "_host")
     low = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's pages go to many tasks
     salted = pages.withColumn("_host", host_of(F.col(url))).withColumn("_salt", F.pmod(F.xxhash64(F.col(html), F.col(url)), F.lit(SALTS)).cast("int"))
     joined = salted.join(low, ["_host", "_salt"], "left")
@@ -210,8 +218,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least_pages:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [Page(h or "").text(frozenset(low or ())) for h, low in zip(part.column(len(others)).to_pylist(), part.column(len(others) + 1).to_pylist())]
+                texts = [Page(h or "").text(frozenset(low or ()), frozenset(own or ())) for h, low, own in zip(*(part.column(len(others) + k).to_pylist() for k in range(3)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*others, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html), "text string, n_chars long"])
-    return joined.select(*others, F.col(html).cast("string").alias(html), "_low").mapInArrow(rows, schema)
+    return joined.select(*others, F.col(html).cast("string").alias(html), "_low", "_own").mapInArrow(rows, schema)

@@ -420,3 +420,11 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert all(got[k]["text"] == prose(k, 30) for k in range(12)) and got[52]["text"] == prose(0, 30)
     assert got[50]["text"].startswith("Welcome") and got[51]["text"] == "" and got[51]["n_chars"] == 0
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_style_tree_keeps_what_varies_below_a_constant_label(spark):
+    label = lambda k: f"<body><div class='post'>By the editors<h1>{prose(k, 4)}</h1><p>{prose(k, 30)}</p></div><div class='end'>Goodbye<p>Come again</p></div></body>"
+    shared = lambda k: f"<body><div>Welcome all</div><div><p>{prose(k, 30)}</p></div></body>"
+    rows = [(k, f"http://label.example/{k}", label(k)) for k in range(8)] + [(20 + k, f"http://shared.example/{k}", shared(k)) for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"{prose(k, 4)}\n\n{prose(k, 30)}" for k in range(8)}, **{20 + k: prose(k, 30) for k in range(8)}}
