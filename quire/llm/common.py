@@ -32,7 +32,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for ``forget``
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, once all that was made from them is stored itself."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +93,17 @@ def components(links: DataFrame, tag: str = "labels") -> DataFrame:
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
     both = stored(both.distinct(), tag)
-    labels = stored(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), tag)
+    last = labels = stored(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), tag)
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         step = stored(step.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), tag)
         changed = step.where("label <> old").limit(1).count()
-        labels = step.select("id", "label")
+        forget(last)
+        last, labels = step, step.select("id", "label")
         if not changed:
+            forget(both)
             return labels
 
 

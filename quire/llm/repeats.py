@@ -6,18 +6,19 @@ exactly; what is hashed are 64-bit fingerprints of bytes.
 
 1. *Segments.* A window's minimiser is its 32-byte string of least hash. Runs of
    windows with the same minimiser make a segment, about half a window long, so
-   equal windows always meet under their minimiser's hash. Segments that occur
-   whole elsewhere are settled by counting (with map-side combining), and so are
-   those whose minimiser no other segment has.
-2. *Suffix arrays.* The other segments are cut from the texts and brought
-   together by minimiser. A block of such groups becomes one string of
-   content-defined phrases; its suffix array by linear grouping
-   (``suffix_array``) tells how long a run of phrases repeats from every phrase.
-   A window whose phrases do not repeat as a run is dropped, and the bytes of the
-   others are compared (by hash) within the block.
-3. A minimiser with more than ``group`` different segments (12 MB of them at
-   most) is not brought into one task: its windows are counted one by one, spread by their own hashes. This
-   is exact too.
+   equal windows always meet under their minimiser's hash. What has a minimiser of
+   its own is done with; of the rest, equal segments are stored once, with how
+   often they occur.
+2. *Suffix arrays.* Different segments of one minimiser are cut from the texts and
+   brought together. A block of such groups becomes one string of content-defined
+   phrases, sorted by linear grouping (``suffix_array``). A window is a run of whole
+   phrases with some bytes before and after it. The interval of the sorted order
+   whose suffixes share that run, read off the common prefixes, says which windows
+   hold the same run; of these the few bytes around it are compared.
+3. The segments of a minimiser that has more than ``group`` different ones are dealt
+   with in bands: windows that start up to ``BAND`` bytes apart before the minimiser
+   share all bytes but ``BAND`` at each end, so the fingerprint of these spreads a
+   band's windows, and only those that meet there are counted one by one.
 
 Where texts end in a task does not matter: windows never cross texts.
 """
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, random_words, slices, stored, utf8
-from .suffix_array import longest_repeats
+from .common import forget, mix, random_words, slices, stored, utf8
+from .suffix_array import Sorted
 
-LENGTH, GRAM, GROUP = 400, 32, 16384
+LENGTH, GRAM, GROUP, BAND = 400, 32, 2048, 32
 SLICE = 1 << 18
 WINDOWS = 1 << 19
 BLOCK = 1 << 18
@@ -131,32 +132,46 @@ def _cut_rows(length: int):
     return rows
 
 
+def phrases(roll: Rolling, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, symbols): phrases end where the 8 bytes before hash to a multiple of CUT + 1.
+
+    ``symbols[i]`` stands for the phrase from ``ends[i]`` to ``ends[i + 1]``; one that its
+    segment's end cuts short has a symbol of its own and equals no other.
+    """
+    ends = np.arange(LEAD, size + 1)
+    ends = ends[(roll.of(ends - LEAD, ends) & np.uint64(CUT)) == 0]
+    holder = np.searchsorted(offsets, ends, side="left") - 1
+    inside = ends - LEAD >= offsets[holder]
+    ends, holder = ends[inside], holder[inside]
+    symbols = np.empty(len(ends), np.int64)
+    if len(ends):
+        symbols[:-1] = (roll.of(ends[:-1], ends[1:]) >> np.uint64(1)).astype(np.int64)
+        last = np.append(holder[1:] != holder[:-1], True)
+        symbols[last] = -1 - np.arange(last.sum())
+    return ends, symbols
+
+
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(segment, first byte in ``data``) of every window of the segments that occurs more than once among them."""
     count = np.diff(offsets) - length + 1
     start = np.repeat(offsets[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     owner = np.repeat(np.arange(len(count)), count)
     roll = Rolling(data)
-    # phrases end where the 8 bytes before hash to a multiple of CUT + 1; whole ones are the symbols
-    ends = np.arange(LEAD, len(data) + 1)
-    ends = ends[(roll.of(ends - LEAD, ends) & np.uint64(CUT)) == 0]
-    holder = np.searchsorted(offsets, ends, side="left") - 1
-    inside = ends - LEAD >= offsets[holder]
-    ends, holder = ends[inside], holder[inside]
-    able = np.ones(len(start), bool)
-    if len(ends) > 1:
-        joined = holder[1:] == holder[:-1]
-        symbols = np.empty(len(ends), np.int64)
-        symbols[:-1] = (roll.of(ends[:-1], ends[1:]) >> np.uint64(1)).astype(np.int64)
-        last = np.append(~joined, True)
-        symbols[last] = -1 - np.arange(last.sum())  # a phrase that its segment's end cuts equals no other
-        reach = longest_repeats(symbols)
-        a = np.searchsorted(ends, start + LEAD)
-        b = np.searchsorted(ends, start + length, side="right") - 1
-        some = b > a
-        able[some] = a[some] + reach[a[some]] >= b[some]
-    start, owner = start[able], owner[able]
-    same = roll.of(start, start + length)
+    ends, symbols = phrases(roll, offsets, len(data))
+    a = np.searchsorted(ends, start + LEAD)
+    b = np.searchsorted(ends, start + length, side="right") - 1
+    whole = b > a  # others hold no whole phrase: all their bytes are compared
+    left, right = start + length, start + length
+    left[whole], right[whole] = ends[a[whole]], ends[b[whole]]
+    run = np.zeros(len(start), np.uint64)
+    able = ~whole
+    if whole.any():
+        pairs, back = np.unique(a[whole] * len(ends) + b[whole], return_inverse=True)
+        first, size = Sorted(symbols).interval(pairs // len(ends), pairs % len(ends) - pairs // len(ends))
+        able[whole] = size[back] > 1
+        run[whole] = mix(first.astype(np.uint64) * np.uint64(len(ends) + 1) + (pairs % len(ends) - pairs // len(ends)).astype(np.uint64))[back]
+    start, owner, left, right, run = start[able], owner[able], left[able], right[able], run[able]
+    same = mix(roll.of(start, left) + run) + roll.of(right, start + length)
     _, back, times = np.unique(same, return_inverse=True, return_counts=True)
     hit = times[back] > 1
     return owner[hit], start[hit]
@@ -209,17 +224,25 @@ def _block_rows(length: int):
     return rows
 
 
-def _window_rows(length: int):
-    """One row a window of the segments of very common minimisers."""
+def _band_rows(length: int):
+    """(r1, r2, start, single, shared, windows) of every band of the segments of very common minimisers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = length - GRAM + 1
+        low = np.uint64((1 << 20) - 1)
         for batch in batches:
             for k in range(batch.num_rows):
                 data = np.frombuffer(batch.column("body")[k].as_py(), np.uint8)
-                n = len(data) - length + 1
-                at = np.arange(n)
-                one = pa.array(np.zeros(n, np.int64) + k)
-                yield pa.RecordBatch.from_arrays([batch.column("r1").take(one), batch.column("r2").take(one), pa.array((at + batch.column("start")[k].as_py()).astype(np.int32)), batch.column("single").take(one), _signed(Rolling(data).of(at, at + length))], names=["r1", "r2", "start", "single", "window"])
+                roll, places = Rolling(data), np.arange(span)
+                at = int((((roll.of(places, places + GRAM)) & ~low) | places.astype(np.uint64)).argmin())
+                starts = np.arange(len(data) - length + 1)
+                band = (at - starts) // BAND
+                first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+                near, far = at - band[first] * BAND, at - np.minimum(band[first] * BAND + BAND, span) + 1 + length
+                shared = mix(roll.of(near, far) + mix(np.uint64(batch.column("gram")[k].as_py() & (1 << 64) - 1) + band[first].astype(np.uint64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)), pa.int32()), _signed(roll.of(starts, starts + length)))
+                one = pa.array(np.zeros(len(first), np.int64) + k)
+                yield pa.RecordBatch.from_arrays([batch.column("r1").take(one), batch.column("r2").take(one), pa.array((first + batch.column("start")[k].as_py()).astype(np.int32)), batch.column("single").take(one), _signed(shared), lists], names=["r1", "r2", "start", "single", "shared", "windows"])
 
     return rows
 
@@ -228,21 +251,31 @@ ROW = "r1 long, r2 int"
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with a row's key, from all its text and values; rows that repeat whole share it and the same answer."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rest = [F.to_json(F.struct(*(F.col(c).cast("string") for c in docs.columns if c != text)))] if len(docs.columns) > 1 else []
-    return docs.withColumn("_body", body).withColumn("_r1", F.xxhash64("_body", *rest)).withColumn("_r2", F.hash(*rest, "_body"))
+    """(r1, r2, body, row): a key from all text and values (rows that repeat whole share it and the same answer), and the other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rest = [F.to_json(F.struct(*(c.cast("string") for c in others)))] if others else []
+    kept = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"), F.struct(F.col(f"`{text}`").isNull().alias("null"), F.struct(*(others or [F.lit(0)])).alias("of")).alias("row"), *(r.alias("rest") for r in rest))
+    rest = ["rest"] if rest else []
+    return kept.select(F.xxhash64("body", *rest).alias("r1"), F.hash(*rest, "body").alias("r2"), "body", "row")
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(r1, r2, spans array<struct<start, n>>) by row key: runs of n windows from byte ``start`` that occur elsewhere too."""
-    body = _rows(docs, text).select(F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col("_body").alias("body"))
-    found = stored(body.mapInArrow(_segment_rows(length), f"{ROW}, start int, n int, gram long, whole long"), "segments")
-    kinds = stored(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("r1", "r2", "start", "n")).alias("one")), "kinds")
-    twice = kinds.where("times > 1").select("gram", "whole")
-    settled = found.join(twice, ["gram", "whole"]).select("r1", "r2", "start", "n")
+    return _repeats(_rows(docs, text), length, group)
 
-    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1")
+
+def _repeats(keyed: DataFrame, length: int, group: int) -> DataFrame:
+    body = keyed.select("r1", "r2", "body")
+    found = stored(body.mapInArrow(_segment_rows(length), f"{ROW}, start int, n int, gram long, whole long"), "segments")
+    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("times > 1")
+    met = stored(found.join(grams, "gram").select("r1", "r2", "start", "n", "gram", "whole", F.expr("low = high").alias("same")), "met")
+    forget(found)
+    unlike = met.where("not same")
+    kinds = stored(unlike.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("r1", "r2", "start", "n")).alias("one")), "kinds")
+    settled = met.where("same").select("r1", "r2", "start", "n")
+    settled = settled.unionByName(unlike.join(kinds.where("times > 1").select("gram", "whole"), ["gram", "whole"]).select("r1", "r2", "start", "n"))
+
+    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("times").alias("least")).where("least = 1")
     want = kinds.join(mixed.select("gram", (F.col("different") > group).alias("hot")), "gram")
     want = want.select("one.*", "gram", (F.col("times") == 1).alias("single"), "hot")
     want = want.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "n", "gram", "single", "hot")).alias("want"))
@@ -251,12 +284,16 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group: in
 
     near = cut.where("not hot").select("r1", "r2", "start", "gram", "single", "body").repartition("gram").sortWithinPartitions("gram")
     blocks = near.mapInArrow(_block_rows(length), f"{ROW}, start int, n int")
-    windows = cut.where("hot").select("r1", "r2", "start", "single", "body").mapInArrow(_window_rows(length), f"{ROW}, start int, single boolean, window long")
-    windows = stored(windows, "windows")
+    bands = stored(cut.where("hot").select("r1", "r2", "start", "gram", "single", "body").mapInArrow(_band_rows(length), f"{ROW}, start int, single boolean, shared long, windows array<long>"), "bands")
+    meet = bands.groupBy("shared").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("shared")
+    windows = stored(bands.join(meet, "shared").select("r1", "r2", "start", "single", F.posexplode("windows").alias("k", "window")), "windows")
+    forget(bands)
     again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
-    common = windows.where("single").join(again, "window").select("r1", "r2", "start", F.lit(1).alias("n"))
+    common = windows.where("single").join(again, "window").select("r1", "r2", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
     spans = settled.unionByName(blocks).unionByName(common)
-    return spans.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = stored(spans.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+    forget(met, kinds, cut, windows)
+    return spans
 
 
 def _covered(size: int, spans, length: int) -> list[tuple[int, int]]:
@@ -280,16 +317,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     ``kept_sha256`` of the exact bytes left and ``removed`` (array of byte runs).
     A null text counts as empty and stays null; texts shorter than ``length`` lose
     nothing; rows that repeat lose everything the repetition covers. Other columns
-    are kept, those of the names above replaced.
+    are kept whatever their names, those of the names above replaced.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
     docs = docs.drop(*(set(added) & set(docs.columns)))
     keyed = _rows(docs, text)
-    spans = repeats(docs, text, length, group).withColumnsRenamed({"r1": "_r1", "r2": "_r2"})
-    joined = keyed.join(spans, ["_r1", "_r2"], "left")
+    joined = keyed.join(_repeats(keyed, length, group), ["r1", "r2"], "left").select("row", "body", "spans")
     others = [c for c in docs.columns if c != text]
-    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), *([f"`{text}` string"] if keep_text else []), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"]
-    names = [*others, *([text] if keep_text else []), *added]
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,14 +331,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 out = []
-                for was, spans in zip(part.column(len(others)).to_pylist(), part.column(len(others) + 1).to_pylist()):
-                    body = (was or "").encode()
+                for was, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    body = was.encode()
                     gone = _covered(len(body), spans, length)
                     at = [0, *(x for pair in gone for x in pair), len(body)]
                     kept = b"".join(body[a:b] for a, b in zip(at[::2], at[1::2]))
-                    left = was if not gone else kept.decode("utf-8", "ignore")
+                    left = None if not keep_text else was if not gone else kept.decode("utf-8", "ignore")
                     out.append((left, len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in gone]))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), run])]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *cols[0 if keep_text else 1 :]], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["row", "left", *added])
 
-    return joined.select(*others, F.col(text).cast("string").alias(text), "spans").mapInArrow(rows, ", ".join(kinds))
+    kind = joined.schema["row"].dataType.simpleString()
+    done = joined.mapInArrow(rows, f"row {kind}, left string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    kept = [F.when(~F.col("row.null"), F.col("left")).alias(text)] if keep_text else []
+    return done.select(*(F.col(f"row.of.`{c}`").alias(c) for c in others), *kept, *added)

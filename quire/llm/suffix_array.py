@@ -96,10 +96,29 @@ def common_prefixes(symbols: list[int], order: list[int]) -> list[int]:
     return out
 
 
-def longest_repeats(symbols: np.ndarray) -> np.ndarray:
-    """For every position, the length of the longest run of symbols from there that also starts elsewhere."""
-    values, order = symbols.tolist(), suffix_array(symbols)
-    shared = np.array([*common_prefixes(values, order), 0], np.int64)
-    out = np.zeros(len(values), np.int64)
-    out[np.array(order, np.int64)] = np.maximum(shared[:-1], shared[1:])
-    return out
+class Sorted:
+    """The sorted suffixes of ``symbols``, asked for the ones that begin alike."""
+
+    def __init__(self, symbols: np.ndarray):
+        order = suffix_array(symbols)
+        shared = np.array(common_prefixes(symbols.tolist(), order), np.int64)
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[np.array(order, np.int64)] = np.arange(len(order))
+        # least[j][i]: what the suffixes i - 2^j to i of the order have in common; -1 beyond the ends
+        self.least = [np.append(np.where(np.arange(len(order)) > 0, shared, -1), -1)]
+        while 1 << len(self.least) <= len(order):
+            last, step = self.least[-1], 1 << (len(self.least) - 1)
+            wide = np.full(len(last), -1, np.int64)
+            wide[step:] = np.minimum(last[step:], last[:-step])
+            wide[-1] = -1
+            self.least.append(wide)
+
+    def interval(self, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First rank, and number, of the suffixes that share the first ``size`` symbols of the one at ``place``."""
+        low, high = self.rank[place].copy(), self.rank[place].copy()
+        for j in reversed(range(len(self.least))):
+            table = self.least[j]
+            low = np.where(table[low] >= size, low - (1 << j), low)
+            to = np.minimum(high + (1 << j), len(table) - 1)
+            high = np.where(table[to] >= size, to, high)
+        return low, high - low + 1

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, html_extract, language_id, licenses, media, ngram_join, packing, repeats, toxicity, warc
-from quire.llm.suffix_array import longest_repeats, suffix_array
+from quire.llm.suffix_array import Sorted, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in "bdkmst" for b in "aeiou" for c in ("n", "r", "st", "l")]
@@ -136,7 +136,7 @@ def brute_repeats(rows, length=400):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group", [16384, 0])
+@pytest.mark.parametrize("group", [2048, 0])
 def test_repeats_against_every_window(docs, group):
     got = repeats.remove_repeats(docs, group=group)
     assert got.columns == [*("doc_id", "lang", "source", "n_chars", "text"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
@@ -161,7 +161,28 @@ def test_linear_grouping_sorts_suffixes():
     for _ in range(400):
         s = [r.randint(0, r.choice([1, 3, 8])) for _ in range(r.randint(0, 60))]
         assert suffix_array(np.array(s, np.int64)) == sorted(range(len(s)), key=lambda i: s[i:])
-    assert longest_repeats(np.array([1, 2, 3, 9, 1, 2, 3, 4])).tolist() == [3, 2, 1, 0, 3, 2, 1, 0]
+    made = Sorted(np.array([1, 2, 3, 9, 1, 2, 3, 4]))
+    first, number = made.interval(np.array([0, 4, 0, 2, 3]), np.array([3, 3, 4, 1, 1]))
+    assert first[0] == first[1] and number.tolist() == [2, 2, 1, 2, 1]
+
+
+def test_repeated_windows_come_from_the_sorted_order(monkeypatch):
+    texts = [prose(k, 60) + " " + prose(900 + k // 3, 90) + " " + prose(50 + k, 60) for k in range(9)]
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    count = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    want = [(i, int(ends[i]) + k) for i, t in enumerate(texts) for k in range(len(t) - 199) if count[t[k : k + 200]] > 1]
+    find = lambda: sorted(zip(*(x.tolist() for x in repeats.repeated_windows(data, ends, 200))))
+    assert want and find() == want
+    monkeypatch.setattr("quire.llm.suffix_array.suffix_array", lambda symbols: list(range(len(symbols))))
+    assert find() != want
+
+
+def test_repeats_keep_columns_of_any_name(docs):
+    odd = docs.withColumns({"spans": F.lit("mine"), "_r1": F.lit("mine too"), "row": F.lit(1), "null": F.lit(2), "of": F.lit(3), "body": F.lit("b"), "r1": F.lit(4)})
+    got = repeats.remove_repeats(odd)
+    assert got.columns[: len(odd.columns) - 1] == [c for c in odd.columns if c != "text"]
+    assert {tuple(r) for r in got.select("spans", "_r1", "row", "null", "of", "body", "r1").collect()} == {("mine", "mine too", 1, 2, 3, "b", 4)}
+    assert table_of(got, "doc_id", "kept_sha256") == table_of(repeats.remove_repeats(docs), "doc_id", "kept_sha256")
 
 
 # --- language ----------------------------------------------------------------------------------------------------
