@@ -23,9 +23,13 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ngram_join.deduplicate(docs)
 
 
+#: Bytes of a repeated string that goes. A passage of 51 words has 300 bytes as a rule, hardly ever less than this.
+REPEATED = 200
+
+
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes strings of 400 bytes that occur more than once out of all texts; n_chars follows."""
-    left = repeats.remove_repeats(docs).select(*docs.columns)
+    """Takes strings of ``REPEATED`` bytes that occur more than once out of all texts; n_chars follows."""
+    left = repeats.remove_repeats(docs, length=REPEATED).select(*docs.columns)
     if "n_chars" not in docs.columns:
         return left
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
