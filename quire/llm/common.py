@@ -107,6 +107,18 @@ def components(links: DataFrame, tag: str = "labels") -> DataFrame:
             return labels
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], parts: int = 4096) -> DataFrame:
+    """Inner join of stored ``rows`` with stored ``keys`` that no common key slows down.
+
+    ``keys`` has one row a key and ``times``, how many of ``rows`` have it. Keys with
+    more than one in ``parts`` of the rows, ``parts`` at most, are broadcast.
+    """
+    least = max(64, rows.count() // parts)
+    common, rest = keys.where(F.col("times") > least), keys.where(F.col("times") <= least)
+    few = rows.join(F.broadcast(common.select(on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(common), on).unionByName(few)
+
+
 def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` worked out once.
 

@@ -78,8 +78,8 @@ def window_hashes(words: Column, width: int) -> Column:
 
 
 def _row(docs: DataFrame, key: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key).alias("key"), body.alias("body")).withColumn("row", F.struct(F.xxhash64("key", "body").alias("r1"), F.hash("body", "key").alias("r2")))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{key}`").alias("key"), body.alias("body")).withColumn("row", F.struct(F.xxhash64("key", "body").alias("r1"), F.hash("body", "key").alias("r2")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -89,7 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     ``offset`` is the first word of the item within the text's words (best
     alignment; of equals the first). Null or empty texts hold nothing, items with a
     null text or under four words are never held. Rows that repeat are reported
-    once; items that repeat are reported each.
+    once; items that repeat are reported each. Other columns of both tables are left
+    out, whatever their names.
     """
     items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item_text")).distinct()
     items = items.withColumn("words", canonical_words(F.col("item_text"))).where(F.size("words") >= LEAST_WORDS)
@@ -145,8 +146,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
-    bad = contamination(docs, benchmark, key, text, **settings).select("row.*").distinct().withColumnsRenamed({"r1": "_r1", "r2": "_r2"})
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_r1", F.xxhash64(F.col(key), body)).withColumn("_r2", F.hash(body, F.col(key)))
-    return keyed.join(bad, ["_r1", "_r2"], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark item, all columns unchanged whatever their names; null and empty texts stay."""
+    bad = contamination(docs, benchmark, key, text, **settings).select("row.*").distinct()
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    keyed = docs.select(whole, F.xxhash64(F.col(f"`{key}`"), body).alias("r1"), F.hash(body, F.col(f"`{key}`")).alias("r2"))
+    return keyed.join(bad, ["r1", "r2"], "left_anti").select("whole.*")

@@ -1,15 +1,20 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged by element path (tag and classes from the root, no
-positions): Spark counts, for every path, how many different pages have it, how
-its contents differ between pages and how its presentation (the sequence of child
-tags) does. The importance of a path is the larger of the two entropies, divided
-by the largest possible one; the text of a path that at least ``PAGES`` different
-pages of the host show with an importance under ``IMPORTANCE`` is boilerplate and
-removed from each page. The composite importance of a path is the greatest of itself
-and all paths below it; where that is low too, the whole branch goes. What a single page shows by itself (menus,
-forms, adverts by element or class name, scripts) goes in any case, and where a
-page has an article or main element, only what is in it counts.
+The pages of one host are merged by element path: tag, classes and place among
+siblings of that name, from the root, for every block of every page. Spark counts
+how many different pages have a path, how its contents (the block's words, digits
+alike) differ between pages and how its presentation (the sequence of child tags)
+does. The importance of a path is the larger of the two entropies, divided by the
+largest possible one. A path that fewer than ``PAGES`` different pages show has
+importance 1: there is nothing to compare. Elements that are menus, forms, adverts,
+comments or the like by their kind or by a whole class, id or role name have no
+importance, nor has anything in them; such a name is all that tells an advert that
+changes from page to page. The composite importance of a path is the greatest of
+itself and all paths below it.
+
+From each page go the branches whose composite importance is under ``IMPORTANCE``,
+and the own text of paths whose importance alone is. Where a page has an article or
+main element with text left, that is the main text.
 
 A block is the text between two block-level tags; character references are
 decoded, white space inside is one space, blocks are joined by an empty line.
@@ -18,6 +23,7 @@ decoded, white space inside is one space, blocks are joined by an empty line.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAGES, IMPORTANCE, SALTS = 5, 0.15, 64
+from .common import stored
+
+PAGES, IMPORTANCE = 5, 0.15
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
+RAW = frozenset("script style noscript template textarea title iframe select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp math mi mo mn mrow msup msub mfrac msqrt mtext semantics annotation svg g path text tspan object canvas".split())
 DROPPED = frozenset("nav footer aside form button dialog menu head input".split())
 MAIN = frozenset(["article", "main"])
 OUTER = frozenset(["html", "body", "article", "main"])
@@ -44,35 +52,41 @@ CLOSES = {
     "tr": frozenset(["tr"]),
     "option": frozenset(["option"]),
 }
-#: Words in class, id and role names that mark what is not the article.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|(?:(?<=site-)|(?<=page-)|(?<=top-)|(?<![\w-]))header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-STATES = re.compile(r"(?:has|is|no|with|without)[-_]", re.I)
+#: Class, id and role names of what is not the article; each must be the whole name.
+MARKS = re.compile(r"(?:(?:site|page|top|main|post|article)[-_]?)?(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:[-_]?(?:area|bar|block|box|buttons?|container|form|items?|links?|list|menu|notice|panel|posts|section|thread|unit|wrap(?:per)?|[0-9]+))*|(?:site|page|top)[-_]?header|header", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
 def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """(tag.classes, whether the names mark it as not the article)."""
+    """(tag.classes, whether the names mark it as not the article: then tag.mark)."""
     if not attributes or attributes.isspace():
         return tag, False
-    names, marked = tag, False
+    names, mark = tag, None
     for key, value in ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'"), key.lower()
         if key == "class" and value:
-            names += "." + ".".join(sorted(value.split()))
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key in ("class", "id", "role") and any(MARKS.search(v) and not STATES.match(v) for v in value.split())):
-            marked = True
-    return names, marked
+            names += "." + ".".join(sorted(re.sub(r"[>!\[]", "_", v) for v in value.split()))
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+            mark = mark or "hidden"
+        elif key in ("class", "id", "role"):
+            mark = mark or next((v.lower() for v in value.split() if MARKS.fullmatch(v)), None)
+    return (f"{tag}.{mark}", True) if mark else (names, False)
 
 
 class Page:
-    """Blocks of one page: (path, text, in the main element, in a dropped one); child sequences by path."""
+    """Blocks of one page: (path, text, in the main element); child sequences by path.
+
+    A step of a path is ``name[k]`` for the k-th of that name below its parent, ``name[k]!`` if its
+    kind or name rules it out.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool]] = []
         self.children: dict[str, int] = {}
         self._parts: list[str] = []
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in main, dropped
+        places: dict[str, int] = {}
+        stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, in main
         at, n = 0, len(html)
         raw: str | None = None
         while at < n:
@@ -109,17 +123,19 @@ class Page:
                     continue
             if tag in VOID:
                 continue
-            name, marked = _name(tag, m[3])
-            _, path, main, dropped = stack[-1]
+            _, path, main = stack[-1]
             if tag not in INLINE:
+                name, marked = _name(tag, m[3])
                 self.children[path] = zlib.crc32(tag.encode(), self.children.get(path, 0))
+                out = tag in DROPPED or (tag == "header" and not main) or (marked and tag not in OUTER)
                 path = f"{path}>{name}"
-                dropped = dropped or (tag in DROPPED) or (tag == "header" and not main) or (marked and tag not in OUTER)
+                places[path] = places.get(path, 0) + 1
+                path = f"{path}[{places[path]}]{'!' if out else ''}"
                 main = main or tag in MAIN
             if tag in RAW:
                 raw = None if m[3].rstrip().endswith("/") else tag
                 continue
-            stack.append((tag, path, main, dropped))
+            stack.append((tag, path, main))
         self._flush(stack)
 
     def _close(self, stack, tag: str) -> None:
@@ -140,22 +156,18 @@ class Page:
             text = " ".join(entities.unescape("".join(self._parts)).split())
             self._parts.clear()
             if text:
-                _, path, main, dropped = stack[-1]
-                self.blocks.append((path, text, main, dropped))
+                _, path, main = stack[-1]
+                self.blocks.append((path, text, main))
 
     def text(self, low: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> str:
         """The kept blocks; a branch goes with any of its ancestors in ``low``, a block alone with its path in ``own``."""
-        only = any(main and not dropped for _, _, main, dropped in self.blocks)
-        out = []
-        for path, text, main, dropped in self.blocks:
-            if dropped or (only and not main):
-                continue
-            if path in own:
-                continue
-            if low and any(path == p or path.startswith(p + ">") for p in low):
-                continue
-            out.append(text)
-        return "\n\n".join(out)
+        kept = [(text, main) for path, text, main in self.blocks if path not in own and not any(path[:k] in low for k in self._ends(path))]
+        only = any(main for _, main in kept)
+        return "\n\n".join(text for text, main in kept if main or not only)
+
+    @staticmethod
+    def _ends(path: str) -> list[int]:
+        return [m.start() for m in re.finditer(r"(?!^)>|$", path)]
 
 
 def host_of(url: Column) -> Column:
@@ -163,39 +175,53 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+FOLD = str.maketrans("123456789", "000000000")
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page mark, path, content mark, presentation mark) of every path of every page."""
+    """(host, path, marks of page, content and presentation), the pages of a batch together."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            out = []
-            for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                page, whole = Page(html), zlib.crc32(html.encode()) << 32 | zlib.adler32(html.encode())
-                own: dict[str, int] = {}
-                for path, text, _, dropped in page.blocks:
-                    if not dropped:
-                        own[path] = zlib.crc32(text.encode(), own.get(path, 0))
-                for path, mark in own.items():
-                    out.append((host, whole, path, mark, page.children.get(path, 0)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((h, w - (1 << 63), p, c, s) for h, w, p, c, s in out)), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["host", "page", "path", "content", "style"])
-
-
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+        seen: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
+        for i in range(batch.num_rows):
+            host, html = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            page, body = Page(html), html.encode()
+            whole = (zlib.crc32(body) << 32 | zlib.adler32(body)) - (1 << 63)
+            own: dict[str, int] = {}
+            for path, text, _ in page.blocks:
+                own[path] = zlib.crc32(text.translate(FOLD).encode(), own.get(path, 0))
+            for path, mark in own.items():
+                if "!" in path:  # ruled out whatever it holds
+                    seen.setdefault((host, path[: path.index("!") + 1]), [])
+                else:
+                    seen.setdefault((host, path), []).append((whole, mark, page.children.get(path, 0)))
+        if seen:
+            ends = pa.array([0, *itertools.accumulate(map(len, seen.values()))], pa.int32())
+            flat = [*zip(*(m for marks in seen.values() for m in marks))] or [(), (), ()]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int64())) for c in flat]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()), *lists], names=["host", "path", "page", "content", "style"])
+
+
+def style_tree(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = PAGES) -> DataFrame:
     """(host, path, pages, content, presentation, importance, composite) over all pages; equal pages of a host count once."""
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    found = rows.mapInArrow(_features, "host string, page long, path string, content long, style long").groupBy("host", "path", "page", "content", "style").agg(F.lit(1).alias("one"))
+    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"))
+    found = stored(rows.mapInArrow(_features, "host string, path string, page array<long>, content array<long>, style array<long>"), "features")
+    at = F.xxhash64("path").alias("at")
+    each = found.select("host", at, F.explode(F.arrays_zip("page", "content", "style")).alias("m")).select("host", "at", "m.*").distinct()
 
     def entropy(mark: str) -> DataFrame:
-        counts = found.groupBy("host", "path", mark).agg(F.count(F.lit(1)).alias("n"))
-        return counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s")).select("host", "path", "pages", F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0).alias(mark))
+        counts = each.groupBy("host", "at", mark).agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("host", "at").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s")).select("host", "at", "pages", F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0).alias(mark))
 
-    both = entropy("content").join(entropy("style").drop("pages"), ["host", "path"])
-    one = both.select("host", "path", "pages", "content", F.col("style").alias("presentation"), F.greatest("content", F.when(F.col("pages") > 1, F.col("style")).otherwise(1.0)).alias("importance"))
-    above = F.expr("transform(sequence(1, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")
-    spread = one.select("host", F.explode(above).alias("above"), F.col("path").alias("_path"), F.struct("pages", "content", "presentation", "importance").alias("own"))
-    tree = spread.groupBy("host", F.col("above").alias("path")).agg(F.max(F.when(F.col("above") == F.col("_path"), F.col("own"))).alias("own"), F.max("own.importance").alias("composite"))
-    return tree.where("own is not null").select("host", "path", "own.*", "composite")
+    both = entropy("content").join(entropy("style").drop("pages"), ["host", "at"])
+    paths = found.groupBy("host", "path").agg(F.lit(1).alias("one")).select("host", "path", at)
+    out = F.col("path").contains("!")
+    importance = F.when(out, 0.0).when(F.col("pages") >= least_pages, F.greatest("content", "style")).otherwise(1.0)
+    tree = paths.join(both, ["host", "at"], "left").select("host", "path", F.coalesce("pages", F.lit(0)).alias("pages"), "content", F.col("style").alias("presentation"), importance.alias("importance"))
+    steps = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">"))
+    spread = tree.select("host", F.explode(F.when(F.col("path") == "", F.array("path")).otherwise(above)).alias("above"), F.struct("path", "pages", "content", "presentation", "importance").alias("own"))
+    merged = spread.groupBy("host", F.col("above").alias("path")).agg(F.max(F.when(F.col("above") == F.col("own.path"), F.col("own"))).alias("own"), F.max("own.importance").alias("composite"))
+    return merged.where("own is not null").select("host", "path", *(f"own.{c}" for c in ("pages", "content", "presentation", "importance")), "composite")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = PAGES, importance: float = IMPORTANCE) -> DataFrame:
@@ -203,23 +229,24 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least_pages:
 
     Null html is empty and gives an empty text, as do pages without an article's
     text; a null url is a host of its own name, the empty one. Rows that repeat are
-    extracted each; columns named like the added ones are replaced.
+    extracted each; columns named like the added ones are replaced, others are kept
+    whatever their names. What a host's pages lose is one row a host, which Spark
+    broadcasts only under its own measured limit.
     """
     pages = pages.drop(*({"text", "n_chars"} & set(pages.columns)))
-    low = style_tree(pages, url, html).where((F.col("pages") >= least_pages) & (F.col("importance") < importance))
+    low = style_tree(pages, url, html, least_pages).where(F.col("importance") < importance)
     branch = F.col("composite") < importance
-    low = low.groupBy("host").agg(F.collect_list(F.when(branch, F.col("path"))).alias("_low"), F.collect_list(F.when(~branch, F.col("path"))).alias("_own")).withColumnRenamed("host", "_host")
-    low = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's pages go to many tasks
-    salted = pages.withColumn("_host", host_of(F.col(url))).withColumn("_salt", F.pmod(F.xxhash64(F.col(html), F.col(url)), F.lit(SALTS)).cast("int"))
-    joined = salted.join(low, ["_host", "_salt"], "left")
+    low = stored(low.groupBy("host").agg(F.collect_list(F.when(branch, F.col("path"))).alias("low"), F.collect_list(F.when(~branch, F.col("path"))).alias("own")), "low")
     others = [c for c in pages.columns if c != html]
+    rows_of = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"), F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(0)])).alias("row"))
+    joined = rows_of.join(low, "host", "left").select("row", "html", "low", "own")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [Page(h or "").text(frozenset(low or ()), frozenset(own or ())) for h, low, own in zip(*(part.column(len(others) + k).to_pylist() for k in range(3)))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*others, "text", "n_chars"])
+                texts = [Page(h or "").text(frozenset(low or ()), frozenset(own or ())) for h, low, own in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html), "text string, n_chars long"])
-    return joined.select(*others, F.col(html).cast("string").alias(html), "_low", "_own").mapInArrow(rows, schema)
+    done = joined.mapInArrow(rows, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_chars long")
+    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in others), "text", "n_chars")

@@ -9,6 +9,7 @@ that lie deeper are embedded media and can be carved out by offset and length.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -42,6 +43,10 @@ MAGIC = {
 }
 
 
+#: What ends a file of a format, or must stand in it.
+MARKERS = {"EOF": b"%%EOF", "XREF": b"startxref", "ZIPEND": b"PK\x05\x06"}
+
+
 @dataclass(frozen=True)
 class Found:
     offset: int
@@ -85,8 +90,8 @@ def _jpeg(b, at):
             return None
         p += 2 + n
         if kind == 0xDA:
-            end = bytes(b[p:]).find(b"\xff\xd9")
-            return Found(at, p + end + 2 - at, "image/jpeg") if end >= 0 else None
+            end = b.find(b"\xff\xd9", p)
+            return Found(at, end + 2 - at, "image/jpeg") if end >= 0 else None
     return None
 
 
@@ -113,21 +118,23 @@ def _gif(b, at):
     return None
 
 
-def _pdf(b, at):
+def _pdf(b, at, marks):
     if at + 8 > len(b) or not (0x31 <= b[at + 5] <= 0x32 and b[at + 6] == 0x2E):
         return None
-    rest = bytes(b[at:])
-    end = rest.rfind(b"%%EOF")
-    return Found(at, end + 5, "application/pdf") if end > 0 and b"startxref" in rest[:end] else None
+    ends, tables = marks["EOF"], marks["XREF"]
+    k = bisect.bisect_left(tables, at)
+    if not ends or k == len(tables) or not at < tables[k] < ends[-1]:
+        return None
+    return Found(at, ends[-1] + 5 - at, "application/pdf")
 
 
-def _zip(b, at):
-    rest = bytes(b[at:])
-    end = rest.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(rest):
+def _zip(b, at, marks):
+    k = bisect.bisect_left(marks["ZIPEND"], at)
+    if k == len(marks["ZIPEND"]) or marks["ZIPEND"][k] + 22 > len(b):
         return None
-    size, start, note = struct.unpack_from("<IIH", rest, end + 12)
-    return Found(at, end + 22 + note, "application/zip") if start + size == end and end + 22 + note <= len(rest) else None
+    end = marks["ZIPEND"][k]
+    size, start, note = struct.unpack_from("<IIH", b, end + 12)
+    return Found(at, end + 22 + note - at, "application/zip") if start + size == end - at and end + 22 + note <= len(b) else None
 
 
 def _ogg(b, at):
@@ -202,7 +209,7 @@ VALIDATE = {"RIFF": _riff, "PNG": _png, "JPEG": _jpeg, "GIF87": _gif, "GIF89": _
 def automaton() -> ahocorasick.Automaton:
     """Over Latin-1 characters, which are bytes one to one."""
     found = ahocorasick.Automaton()
-    for name, magic in MAGIC.items():
+    for name, magic in (MAGIC | MARKERS).items():
         found.add_word(magic.decode("latin-1"), (name, len(magic)))
     found.make_automaton()
     return found
@@ -210,7 +217,13 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(media: bytes, finder: ahocorasick.Automaton) -> list[Found]:
     """Every confirmed file in ``media``, by offset; empty bytes have none."""
-    hits = [VALIDATE[name](media, end + 1 - n) for end, (name, n) in finder.iter(media.decode("latin-1"))]
+    magic, marks = [], {name: [] for name in MARKERS}
+    for end, (name, n) in finder.iter(media.decode("latin-1")):
+        if name in marks:
+            marks[name].append(end + 1 - n)
+        else:
+            magic.append((name, end + 1 - n))
+    hits = [VALIDATE[name](media, at, marks) if name in ("PDF", "ZIP") else VALIDATE[name](media, at) for name, at in magic]
     return sorted({h for h in hits if h}, key=lambda h: (h.offset, -h.length))
 
 

@@ -282,8 +282,14 @@ def _repeats(signed: DataFrame) -> bool:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with one row of each group: that whose key is the group's class_id (a null key stays only if no other is in its group)."""
+    """``docs`` with one row of each group: that whose key is the group's class_id (a null key stays only if no other is in its group).
+
+    All columns are kept unchanged, whatever their names.
+    """
     groups, _ = ngram_join(docs, key, text, **settings)
-    keep = groups.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_keep")).distinct()
-    left = docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    return left.dropDuplicates([key]) if groups.groupBy(key).count().where("count > 1").limit(1).count() else left
+    keep = groups.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("keep")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(f"`{key}`").alias("key"))
+    left = rows.join(keep, F.col("key").eqNullSafe(F.col("keep")), "left_semi")
+    if groups.groupBy(key).count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["key"])
+    return left.select("whole.*")

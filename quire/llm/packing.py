@@ -6,7 +6,8 @@ histogram: dominance first fixes the small sets that no other choice beats,
 best-fit decreasing packs the rest, both for all bins of one pattern at once.
 The result is a short list of patterns with multiplicities. Each piece then
 finds its place from its rank among the pieces of its length, which is counted
-in salted groups so that a length that many share is spread over tasks.
+in salted groups, as many as the pieces need, so that a length that many share is
+spread over tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CAPACITY, END_ID, SALTS = 2048, 0, 64
+CAPACITY, END_ID, GROUP = 2048, 0, 1 << 18
 #: Beyond these characters the two tokenizer libraries may differ in Unicode tables; such texts take the slower one.
 PLAIN = regex.compile("[\x00-\x7f¡-ſ–—‘-„•…]*")
 
@@ -195,17 +196,21 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
     return bins, {"bins": sum(t for _, t in bins), "fixed": sum(t for _, t in fixed), "lower_bound": -(-total // capacity)}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to stored ``pieces`` (unique by their columns key and piece, with ``length``).
 
     ``pieces`` must give the same rows each time it is read, so pass a stored
-    table. Rows that repeat are packed each on its own. No piece, no sequence.
+    table. Rows that repeat and null keys are packed each on their own. No piece, no
+    sequence. Other columns are kept, those of the added names replaced. Pieces of
+    one length are ranked in ``salts`` groups, by default as many as keep a group
+    near ``GROUP`` pieces even if all have one length.
     """
     spark = pieces.sparkSession
-    key = pieces.columns[0]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
-    groups = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    groups = stored(groups, "lengths")
+    pieces = pieces.drop(*({"sequence_id", "offset"} & set(pieces.columns)))
+    salts = salts or 1 + pieces.count() // GROUP
+    whole, key = F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("whole"), F.col(f"`{pieces.columns[0]}`")
+    salted = pieces.select(whole, key.alias("key"), "piece", "length", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).alias("salt"))
+    groups = stored(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     bins, _ = plan_bins(counts, capacity)
     used, first, rows = Counter(), 0, []
@@ -216,14 +221,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
             used[length] += each * times
             at += length * each
         first += times
-    spots = spark.createDataFrame(rows, "length long, _from long, _to long, _bin long, _each long, _at long")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = groups.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_salt").orderBy(key, "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    inside = (ranked["length"] == spots["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    placed = ranked.join(F.broadcast(spots) if len(rows) <= 200_000 else spots, inside).drop(spots["length"])
-    nth = F.col("_rank") - F.col("_from")
-    placed = placed.withColumn("sequence_id", F.col("_bin") + F.floor(nth / F.col("_each")).cast("long"))
-    placed = placed.withColumn("offset", F.col("_at") + F.pmod(nth, F.col("_each")) * F.col("length"))
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    spots = spark.createDataFrame(rows, "of long, from long, to long, bin long, each long, at long")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = groups.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    order = Window.partitionBy("length", "salt").orderBy("key", "piece")
+    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(starts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    inside = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
+    placed = ranked.join(F.broadcast(spots) if len(rows) <= 200_000 else spots, inside)
+    nth = F.col("rank") - F.col("from")
+    return placed.select("whole.*", (F.col("bin") + F.floor(nth / F.col("each")).cast("long")).alias("sequence_id"), (F.col("at") + F.pmod(nth, F.col("each")) * F.col("length")).alias("offset"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix, random_words, slices, stored, utf8
+from .common import forget, mix, random_words, slices, spread_join, stored, utf8
 from .suffix_array import Sorted
 
 LENGTH, GRAM, GROUP, BAND = 400, 32, 2048, 32
@@ -268,12 +268,13 @@ def _repeats(keyed: DataFrame, length: int, group: int) -> DataFrame:
     body = keyed.select("r1", "r2", "body")
     found = stored(body.mapInArrow(_segment_rows(length), f"{ROW}, start int, n int, gram long, whole long"), "segments")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("times > 1")
-    met = stored(found.join(grams, "gram").select("r1", "r2", "start", "n", "gram", "whole", F.expr("low = high").alias("same")), "met")
-    forget(found)
+    grams = stored(grams.select("gram", "times", F.expr("low = high").alias("same")), "grams")
+    met = stored(spread_join(found, grams, ["gram"]).select("r1", "r2", "start", "n", "gram", "whole", "same"), "met")
+    forget(found, grams)
     unlike = met.where("not same")
     kinds = stored(unlike.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("r1", "r2", "start", "n")).alias("one")), "kinds")
     settled = met.where("same").select("r1", "r2", "start", "n")
-    settled = settled.unionByName(unlike.join(kinds.where("times > 1").select("gram", "whole"), ["gram", "whole"]).select("r1", "r2", "start", "n"))
+    settled = settled.unionByName(spread_join(unlike, kinds.where("times > 1").select("gram", "whole", "times"), ["gram", "whole"]).select("r1", "r2", "start", "n"))
 
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("times").alias("least")).where("least = 1")
     want = kinds.join(mixed.select("gram", (F.col("different") > group).alias("hot")), "gram")
@@ -285,14 +286,14 @@ def _repeats(keyed: DataFrame, length: int, group: int) -> DataFrame:
     near = cut.where("not hot").select("r1", "r2", "start", "gram", "single", "body").repartition("gram").sortWithinPartitions("gram")
     blocks = near.mapInArrow(_block_rows(length), f"{ROW}, start int, n int")
     bands = stored(cut.where("hot").select("r1", "r2", "start", "gram", "single", "body").mapInArrow(_band_rows(length), f"{ROW}, start int, single boolean, shared long, windows array<long>"), "bands")
-    meet = bands.groupBy("shared").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("shared")
-    windows = stored(bands.join(meet, "shared").select("r1", "r2", "start", "single", F.posexplode("windows").alias("k", "window")), "windows")
-    forget(bands)
-    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
-    common = windows.where("single").join(again, "window").select("r1", "r2", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
+    meet = stored(bands.groupBy("shared").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "meet")
+    windows = stored(spread_join(bands, meet, ["shared"]).select("r1", "r2", "start", "single", F.posexplode("windows").alias("k", "window")), "windows")
+    forget(bands, meet)
+    again = stored(windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "again")
+    common = spread_join(windows.where("single"), again, ["window"]).select("r1", "r2", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
     spans = settled.unionByName(blocks).unionByName(common)
     spans = stored(spans.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
-    forget(met, kinds, cut, windows)
+    forget(met, kinds, cut, windows, again)
     return spans
 
 

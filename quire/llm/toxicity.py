@@ -13,8 +13,8 @@ from their maximal segments. The best sum of normalised segment scores is turned
 into a probability by logistic calibration on the training rows.
 
 Training takes at most ``SAMPLE`` rows of either label; their counts are added up by
-Spark, and the driver receives at most ``TERMS`` scored terms and a histogram of a
-few hundred bins. Scoring covers every text whole.
+Spark, and the driver receives the scored terms, words of at least three of these
+rows, and a histogram of a few hundred bins. Scoring covers every text whole.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .common import slices, stored, utf8
 from .ngram_join import SLICE, minhash, ngrams
 
 WORD = re.compile(r"\w+")
-PRIOR, CONFIDENCE, LEAST_SCORE, GAP, TERMS = 1.0, 1.64, 2.0, 0.5, 20_000
+PRIOR, CONFIDENCE, LEAST_SCORE, GAP = 1.0, 1.64, 2.0, 0.5
 PREFIXES = (5, 4, 3)
 FLUSH = 300_000
 SAMPLE = 30_000
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     odds = F.log(y1 / rest1) - F.log(y0 / rest0)
     scored = words.select("word", "toxic", "clean", (odds - CONFIDENCE * F.sqrt(1 / y1 + 1 / y0)).alias("score"))
     scored = scored.where((F.col("score") >= LEAST_SCORE) & (F.col("toxic") >= 3))
-    top = scored.orderBy(F.desc("score"), "word").limit(TERMS).collect()
+    top = scored.collect()
     model = Model({r["word"]: r["score"] for r in top})
     clean_words = words.where(~F.col("word").endswith("*")).agg(F.sum("clean")).first()[0] or 1
     hit = [(r["score"], (r["clean"] + 0.01) / clean_words) for r in top if not r["word"].endswith("*")]

@@ -2,7 +2,8 @@
 
 The reader walks an archive once: an incremental zlib decompressor inflates a
 member chunk by chunk, the header names the block's length, the block is taken
-by that length, and block and payload digests are verified.
+by that length, and block and payload digests are verified. Records of any type and
+of other writers are read; what they do not say is null.
 """
 
 from __future__ import annotations
@@ -32,17 +33,31 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    """A record id that holds the page's id in its low 64 bits."""
-    return f"<urn:uuid:{uuid.UUID(int=page_id & (1 << 64) - 1)}>"
+def _agrees(digest: str | None, data: bytes) -> bool:
+    """Whether a digest holds; one that is missing or of a kind unknown here says nothing."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() not in ("sha1", "md5", "sha256") or not value:
+        return True
+    made = hashlib.new(kind.lower(), data).digest()
+    return value.lower() in (made.hex(), base64.b32encode(made).decode().lower(), base64.b32encode(made).decode().rstrip("=").lower())
 
 
-def page_of(identifier: str) -> int:
-    low = uuid.UUID(identifier.strip("<>").removeprefix("urn:uuid:")).int & (1 << 64) - 1
-    return low - (1 << 64) if low >> 63 else low
+def record_id(page_id: int | None) -> str:
+    """A record id that holds the page's id in its low 64 bits; the top half is 0 for no page, else 1."""
+    return f"<urn:uuid:{uuid.UUID(int=0 if page_id is None else 1 << 64 | page_id & (1 << 64) - 1)}>"
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_of(identifier: str | None) -> int | None:
+    """The page's id of an id that ``record_id`` made; null for any other."""
+    try:
+        number = uuid.UUID((identifier or "").strip("<>").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
+    low = number & (1 << 64) - 1
+    return None if number >> 64 != 1 else low - (1 << 64) if low >> 63 else low
+
+
+def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record as a gzip member; a revisit keeps the HTTP header but not the body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -68,6 +83,12 @@ class Record:
         return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, body
 
 
+    @property
+    def payload(self) -> bytes:
+        """What follows the HTTP header in an HTTP message, else the whole block."""
+        return self.http[1] if self.headers.get("content-type", "").startswith("application/http") else self.block
+
+
 def _members(archive: bytes) -> Iterator[bytes]:
     at, view = 0, memoryview(archive)
     while at < len(view):
@@ -88,18 +109,19 @@ def read_records(archive: bytes) -> Iterator[Record]:
     """The records of one archive, in order; raises WarcError at the first bad one."""
     for member in _members(archive):
         head, mark, rest = member.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8").split("\r\n")
+        lines = head.decode("utf-8", "replace").split("\r\n")
         if not mark or not lines[0].startswith("WARC/"):
             raise WarcError("no WARC header")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(headers.get("content-length", -1))
+        length = headers.get("content-length", "")
+        length = int(length) if length.isdecimal() else -1
         if length < 0 or rest[length:] != b"\r\n\r\n":
             raise WarcError("the block's length is not the header's")
         block = rest[:length]
-        if headers.get("warc-block-digest", _digest(block)) != _digest(block):
+        if not _agrees(headers.get("warc-block-digest"), block):
             raise WarcError("block digest mismatch")
         record = Record(headers, block)
-        if headers.get("warc-type") == "response" and "warc-payload-digest" in headers and headers["warc-payload-digest"] != _digest(record.http[1]):
+        if headers.get("warc-type") == "response" and not _agrees(headers.get("warc-payload-digest"), record.payload):
             raise WarcError("payload digest mismatch")
         yield record
 
@@ -118,13 +140,13 @@ def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20, min_payload:
     own = own.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     seen = own.where(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     linked = own.join(seen.where("n > 1").select("digest", "first_id"), "digest", "left")
-    refers = F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to")
+    refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             for page, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.append(build_record(-1 if page is None else page, url, html.encode(), first))
+                parts.append(build_record(page, url, html.encode(), first))
                 size += len(parts[-1])
                 if size >= archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary()), pa.array([len(parts)], pa.int64())], names=["archive", "n_records"])
@@ -139,7 +161,10 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
     """Every record of a column of whole archives (``content`` of Spark's binaryFile source works too).
 
     Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to
-    and payload (null for a revisit). Null or empty archives hold no record.
+    and payload (null for a revisit). Null or empty archives hold no record. A page_id
+    is null where the record has none or another writer's id; a digest that a record
+    does not give is worked out from its payload, null for a revisit. An archive is
+    inflated record by record; as a cell of a table it has at most 2 GB.
     """
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -150,11 +175,12 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
             for blob in batch.column(0):
                 out = []
                 for r in read_records(blob.as_py() or b""):
-                    http, body = r.http
-                    kind = r.headers["warc-type"]
-                    refers = r.headers.get("warc-refers-to")
-                    out.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), kind, int(http["content-length"]), r.headers["warc-payload-digest"].removeprefix("sha1:"), page_of(refers) if refers else None, body if kind == "response" else None))
+                    kind = r.headers.get("warc-type")
+                    full = r.payload if kind != "revisit" else None
+                    length = r.http[0].get("content-length", "") if full is None else str(len(full))
+                    digest = r.headers.get("warc-payload-digest") or (None if full is None else _digest(full))
+                    out.append((page_of(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), kind, int(length) if length.isdecimal() else None, digest and digest.removeprefix("sha1:"), page_of(r.headers.get("warc-refers-to")), full))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return archives.select(F.col(column)).mapInArrow(rows, schema)
+    return archives.select(F.col(f"`{column}`")).mapInArrow(rows, schema)

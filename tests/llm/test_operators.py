@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,13 @@ def test_ngram_join_keeps_one_of_each_group(docs):
     assert ngram_join.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_keeps_columns_of_any_name(docs):
+    odd = docs.withColumns({c: F.lit(c) for c in ("_keep", "keep", "key", "whole", "id", "rep", "class_id", "band", "set_a")})
+    kept = ngram_join.deduplicate(odd)
+    assert kept.columns == odd.columns and kept.count() == 10
+    assert {tuple(r)[-9:] for r in kept.collect()} == {("_keep", "keep", "key", "whole", "id", "rep", "class_id", "band", "set_a")}
+
+
 def test_band_settings_reach_the_recall():
     r = np.random.default_rng(1)
     found = 0
@@ -186,25 +194,77 @@ def test_repeats_keep_columns_of_any_name(docs):
 
 
 # --- language ----------------------------------------------------------------------------------------------------
-def test_language_code_lengths_are_a_distribution():
-    counts = np.zeros(64**2)
-    counts[[0, 1, 2, 65, 66]] = [5, 2, 1, 7, 1]
-    bits = language_id.code_lengths(counts, 1).reshape(64, 64)
-    assert bits.shape == (64, 64) and (bits > 0).all()
-    assert (np.exp2(-bits).sum(axis=1) <= 1 + 1e-9).all()
-    assert bits[0, 0] == pytest.approx(-np.log2(5 / 11))
+def brute_bits(model_text, text, order, nodes):
+    """Escape method C, byte by byte, from dictionaries."""
+    seen = {k: Counter() for k in range(order + 1)}
+    for body in model_text:
+        wide = b" " * order + body.encode()
+        for i in range(order, len(wide)):
+            for k in range(order + 1):
+                seen[k][wide[i - k : i + 1]] += 1
+    total = sum(seen[0].values())
+    seen = {k: {g: n for g, n in c.items() if n >= total / nodes} for k, c in seen.items()}
+    wide, bits = b" " * order + text.encode(), 0.0
+    for i in range(order, len(wide)):
+        for k in range(order, -1, -1):
+            own = {g: n for g, n in seen[k].items() if g[:-1] == wide[i - k : i]}
+            n, d = sum(own.values()), len(own)
+            gram = wide[i - k : i + 1]
+            if gram in own:
+                bits += np.log2((n + d) / own[gram])
+                break
+            bits += np.log2((n + d) / d) if d else 0
+        else:
+            bits += 8
+    return bits
+
+
+def test_language_code_lengths_against_brute_force(spark):
+    texts = [prose(k, 15) + " naïve Ünïcode" for k in range(6)]
+    rows = spark.createDataFrame([(k, t, "aa") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    for nodes in (1 << 20, 150):
+        model = language_id.train(rows, order=3, nodes=nodes)
+        for text in (texts[0], prose(40, 8), "жш zz", ""):
+            data = np.frombuffer(text.encode(), np.uint8)
+            codes = language_id._codes(data, np.array([0, len(data)]), 3)
+            assert language_id.code_lengths(model, codes, 0).sum() == pytest.approx(brute_bits(texts, text, 3, nodes))
+
+
+def test_long_texts_score_as_in_one_piece(spark, monkeypatch):
+    rows = [(k, prose(k, 60), "aa") for k in range(5)] + [(9, prose(9, 60).upper(), "zz")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    batch = pa.RecordBatch.from_arrays([pa.array([None, prose(3, 300), "", prose(4, 20).upper(), prose(5, 40)])], names=["text"])
+    shared = type("Shared", (), {"value": model})
+    whole = next(language_id._score(iter([batch]), shared, 0)).to_pydict()
+    monkeypatch.setattr(language_id, "SLICE", 100)
+    cut = next(language_id._score(iter([batch]), shared, 0)).to_pydict()
+    assert cut["lang_pred"] == whole["lang_pred"] == ["und", "aa", "und", "zz", "aa"] and cut["bits_per_byte"] == pytest.approx(whole["bits_per_byte"])
+
+
+def test_as_many_languages_as_there_are(spark):
+    letters = [chr(c) for c in (*range(0x410, 0x44F), *range(0x3B1, 0x3C9), *range(0x5D0, 0x5EA))]
+    rows = [(k, " ".join(a * n for n in range(1, 9)), f"l{k:03}") for k, a in enumerate(letters)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == len(letters) > 100
+    got = language_id.identify(spark.createDataFrame([(k, a * 4) for k, a in enumerate(letters)], "doc_id long, text string"), model).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in got)
 
 
 def test_language_identification(spark, docs):
     rows = [(k, prose(k, 60), "aa") for k in range(20)] + [(k + 100, prose(k, 60).replace("a", "ü").replace("s", "z"), "zz") for k in range(20)]
+    rows += [(200, None, "aa"), (201, "x", None), (202, "", "bb")]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model[0] == ["aa", "zz"]
-    test = spark.createDataFrame([(1, prose(77, 40), 5), (2, prose(78, 40).replace("a", "ü").replace("s", "z"), 5), (3, None, 5), (4, "", 5), (5, "123 !!", 5), (6, prose(79, 90_000), 5)], "doc_id long, text string, lang_pred int")
+    assert model.langs == ["aa", "zz"]
+    test = spark.createDataFrame([(1, prose(77, 40), 5), (2, prose(78, 40).replace("a", "ü").replace("s", "z"), 5), (3, None, 5), (4, "", 5), (5, "123 !!", 5), (6, prose(79, 90_000), 5), (6, prose(79, 90_000), 5)], "doc_id long, text string, lang_pred int")
+    assert language_id.identify(test.limit(0), model).count() == 0
     got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language_id.identify(test, model).collect()}
     assert [got[k][0] for k in range(1, 7)] == ["aa", "zz", "und", "und", "und", "aa"]
     assert all(0 <= s <= 1 for _, s in got.values())
+    twins = spark.createDataFrame([(k, "same words", lang) for k, lang in enumerate(["bb", "aa"])], "doc_id long, text string, lang string")
+    tie = language_id.identify(spark.createDataFrame([(1, "same words")], "doc_id long, text string"), language_id.train(twins)).first()
+    assert tie["lang_pred"] == "aa" and tie["lang_score"] == 0.5
     none = language_id.train(docs.limit(0))
-    assert none[0] == [] and {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
+    assert none.langs == [] and {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
 # --- toxicity ----------------------------------------------------------------------------------------------------
@@ -283,6 +343,19 @@ def test_packing_places_every_piece(spark, docs):
     assert packing.pack(kept.limit(0), capacity=64).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(k % 7 if k % 5 else None, 0, k, 1 + k % 3, "s", k) for k in range(60)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, _salt string, offset int").withColumns({"rank": F.lit(1), "bin": F.lit(2), "whole": F.lit(3), "key": F.lit(4), "n": F.lit(5)})
+    got = packing.pack(pieces, capacity=4, salts=3)
+    assert got.columns == ["doc_id", "piece", "start", "length", "_salt", "rank", "bin", "whole", "key", "n", "sequence_id", "offset"]
+    assert sorted(r["start"] for r in got.collect()) == list(range(60))
+    assert {tuple(r) for r in got.select("_salt", "rank", "bin", "whole", "key", "n").collect()} == {("s", 1, 2, 3, 4, 5)}
+    fill = Counter()
+    for r in got.collect():
+        fill[r["sequence_id"]] += r["length"]
+    assert len(fill) == 30 and set(fill.values()) == {4}
+
+
 def least_bins(sizes, capacity):
     best = [len(sizes)]
 
@@ -366,10 +439,31 @@ def test_warc_round_trip(spark):
     assert by[5][0]["payload_digest"] == base64.b32encode(hashlib.sha1(b"same").digest()).decode()
     assert bytes(by[8][0]["payload"]).decode() == "é" * 70_000
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    odd = spark.createDataFrame([(None, "http://n", "null"), (-1, "http://m", "minus"), (None, None, "minus")], "page_id long, url string, html string")
+    assert table_of(warc.read_archives(warc.write_archives(odd)), "page_id", "record_type", "refers_to") == sorted([(None, "response", None), (-1, "response", None), (None, "revisit", -1)], key=repr)
     few = warc.read_archives(warc.write_archives(pages, min_payload=5))
     assert few.where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_reader_takes_records_of_other_writers(spark):
+    def member(*head, block=b""):
+        squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return squeeze.compress("\r\n".join(["WARC/1.0", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nbody"
+    archive = b"".join([
+        member("WARC-Type: warcinfo", "WARC-Record-ID: <urn:x:1>", "Content-Type: application/warc-fields", block=b"software: x\r\n"),
+        member("WARC-Type: request", "Content-Type: application/http; msgtype=request", block=b"GET / HTTP/1.1\r\n\r\n"),
+        member("WARC-Type: response", "WARC-Record-ID: <urn:uuid:12345678-1234-1234-1234-123456789abc>", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: crc:1", block=http),
+        member("WARC-Type: metadata", "WARC-Block-Digest: sha1:" + hashlib.sha1(b"m").hexdigest(), block=b"m"),
+        member("WARC-Type: revisit", block=b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        warc.build_record(7, None, b"own", None),
+    ])
+    got = warc.read_archives(spark.createDataFrame([(bytearray(archive),), (None,), (bytearray(),)], "archive binary")).collect()
+    assert [(r["record_type"], r["page_id"], r["payload_bytes"]) for r in got] == [("warcinfo", None, 13), ("request", None, 0), ("response", None, 4), ("metadata", None, 1), ("revisit", None, None), ("response", 7, 3)]
+    assert got[3]["payload_digest"] == base64.b32encode(hashlib.sha1(b"m").digest()).decode() and got[4]["payload"] is None
+
+
 def test_warc_reader_verifies():
     good = warc.build_record(1, "http://a", b"payload", None)
     assert [warc.page_of(r.headers["warc-record-id"]) for r in warc.read_records(good + warc.build_record(-4, None, b"", 1))] == [1, -4]
@@ -399,6 +493,8 @@ def test_decontamination(spark):
     found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contamination(docs, bench).collect()}
     assert set(found) == {(1, 1), (2, 1), (7, 4)}
     assert not found[1, 1]["verbatim"] and found[2, 1]["verbatim"] and found[1, 1]["offset"] == 3
+    odd = decontaminate.decontaminate(docs.withColumns({c: F.lit(c) for c in ("_r1", "_r2", "r1", "whole", "row", "key")}), bench)
+    assert {tuple(r) for r in odd.select("_r1", "_r2", "r1", "whole", "row", "key").collect()} == {("_r1", "_r2", "r1", "whole", "row", "key")} and odd.count() == 5
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns and sorted(r[0] for r in left.select("doc_id").collect()) == [3, 4, 5, 6, 8]
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 9
@@ -426,11 +522,57 @@ def test_license_scan(spark):
 
 
 # --- HTML --------------------------------------------------------------------------------------------------------
-def test_blocks_of_a_page():
+def texts_of(spark, *pages, host=lambda k: f"h{k}"):
+    rows = spark.createDataFrame([(k, f"http://{host(k)}/{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html_extract.extract(rows).collect(), key=lambda r: r["page_id"])]
+
+
+def test_blocks_of_a_page(spark):
     page = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav>m</nav><div class='post'><h1>Tit&amp;le</h1><p>One <b>two</b><br>three<p>Four &lt;x&gt; &#233;<ul><li>a<li>b</ul><form>f<input></form></div><div class='comments'><p>c</p></div><footer>x</footer><script>if(a<b){'</p>'}</script></body></html>"
-    assert html_extract.Page(page).text() == "Tit&le\n\nOne two three\n\nFour <x> é\n\na\n\nb"
-    assert html_extract.Page("").text() == "" and html_extract.Page("plain & text").text() == "plain & text"
-    assert html_extract.Page("<article><header><h1>H</h1></header><p>a<div class='ad'>x</div><p>b</article><p>out").text() == "H\n\na\n\nb"
+    article = "<article><header><h1>H</h1></header><p>a<div class='ad'>x</div><p>b</article><p>out"
+    kept = "<div class='related-work'><p>Others did <math><mi>x</mi></math> too</div><p class='search-results-of-1850'>c</p><div class='noticeable'>d</div><div class='shared-memory'>e</div>"
+    assert texts_of(spark, page, "", "plain & text", article, kept) == ["Tit&le\n\nOne two three\n\nFour <x> é\n\na\n\nb", "", "plain & text", "H\n\na\n\nb", "Others did x too\n\nc\n\nd\n\ne"]
+
+
+def test_nothing_goes_without_the_style_tree(spark, monkeypatch):
+    page = lambda k: f"<body><nav>menu</nav><div><p>On this site since 19{k}0</p></div><div><p>{prose(k, 20)}</p></div></body>"
+    pages = [page(k) for k in range(6)]
+    assert texts_of(spark, *pages, host=lambda k: "one") == [prose(k, 20) for k in range(6)]
+    tree = html_extract.style_tree
+    monkeypatch.setattr(html_extract, "style_tree", lambda *a: tree(*a).where("false"))
+    assert texts_of(spark, *pages, host=lambda k: "one")[3] == f"menu\n\nOn this site since 1930\n\n{prose(3, 20)}"
+
+
+def test_style_tree_against_brute_force(spark):
+    r = random.Random(8)
+    pages = [f"<div><p>{r.choice(['one', 'two', 'three 4'])}</p><p>{prose(r.randint(0, 3), 5)}</p></div>" + "<div class='ad'>x</div>" * r.randint(0, 2) + "<p>same</p>" for _ in range(30)]
+    seen = {}
+    for h in set(pages):
+        own = {}
+        page = html_extract.Page(h)
+        for path, text, _ in page.blocks:
+            own.setdefault(path, []).append(re.sub("[1-9]", "0", text))
+        for path, blocks in own.items():
+            seen.setdefault(path, []).append((tuple(blocks), page.children.get(path)))
+
+    def entropy(marks):
+        n = Counter(marks)
+        return -sum(c / len(marks) * np.log(c / len(marks)) for c in n.values()) / np.log(len(marks))
+
+    want = {p: 0.0 if "!" in p else max(entropy([m[0] for m in marks]), entropy([m[1] for m in marks])) if len(marks) >= 5 else 1.0 for p, marks in seen.items()}
+    rows = spark.createDataFrame([(k, "http://a/", h) for k, h in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    got = {r["path"]: r["importance"] for r in html_extract.style_tree(rows).collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in got)
+
+
+def test_html_keeps_columns_of_any_name_and_repeated_rows(spark):
+    long = " ".join(prose(k, 2000) for k in range(30))
+    rows = spark.createDataFrame([(1, "http://a/", f"<p>{long}</p>", "m"), (2, None, None, "m"), (2, None, None, "m")], "page_id long, url string, html string, low string")
+    rows = rows.withColumns({"host": F.lit(1), "row": F.lit(2), "own": F.lit(3), "_host": F.lit(4)})
+    got = html_extract.extract(rows)
+    assert got.columns == ["page_id", "url", "low", "host", "row", "own", "_host", "text", "n_chars"]
+    assert sorted(tuple(r)[2:7] for r in got.drop("text").collect()) == [("m", 1, 2, 3, 4)] * 3
+    assert got.where("page_id = 1").first()["text"] == long
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
