@@ -161,21 +161,18 @@ class Page:
 
     def text(self, low: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> str:
         """The kept blocks; a branch goes with any of its ancestors in ``low``, a block alone with its path in ``own``."""
-        kept = [(text, main) for path, text, main in self.blocks if path not in own and not any(path[:k] in low for k in self._ends(path))]
+        below = tuple(p + ">" for p in low)
+        kept = [(text, main) for path, text, main in self.blocks if path not in low and path not in own and not path.startswith(below)]
         only = any(main for _, main in kept)
         return "\n\n".join(text for text, main in kept if main or not only)
 
-    @staticmethod
-    def _ends(path: str) -> list[int]:
-        return [m.start() for m in re.finditer(r"(?!^)>|$", path)]
-
 
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case, empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-FOLD = str.maketrans("123456789", "000000000")
+FOLD = bytes.maketrans(b"123456789", b"000000000")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +185,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = (zlib.crc32(body) << 32 | zlib.adler32(body)) - (1 << 63)
             own: dict[str, int] = {}
             for path, text, _ in page.blocks:
-                own[path] = zlib.crc32(text.translate(FOLD).encode(), own.get(path, 0))
+                own[path] = zlib.crc32(text.encode().translate(FOLD), own.get(path, 0))
             for path, mark in own.items():
                 if "!" in path:  # ruled out whatever it holds
                     seen.setdefault((host, path[: path.index("!") + 1]), [])
