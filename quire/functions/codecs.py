@@ -248,3 +248,26 @@ def encode_streams(streams: DataFrame) -> DataFrame:
         return data
 
     return _apply(streams, "encoded", step)
+
+
+def round_trips(streams: DataFrame, chains: list[str]) -> DataFrame:
+    """Adds ``decoded`` (array of binary): ``data`` encoded and decoded again by each of ``chains`` (comma-separated filters), null where one fails."""
+    names = [f.name for f in streams.schema]
+    at = names.index("data")
+
+    def through(data: bytes, chain: list[str]) -> bytes | None:
+        try:
+            for name in reversed(chain):
+                data = ENCODERS[name](data)
+            return decode(data, chain)
+        except CodecError:
+            return None
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                done = [None if data is None else [through(data, c.split(",")) for c in chains] for data in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.list_(pa.binary()))], names=[*names, "decoded"])
+
+    return streams.mapInArrow(rows, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in streams.schema), "decoded array<binary>"]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Substrings, suffixes and thresholds of the rules.
 JAVASCRIPT = ["javascript", "eval(", "unescape(", "fromcharcode", "app.launchurl", "this.exportdataobject", "submitform"]
 SUSPICIOUS = ["/openaction", "/aa", "/launch", "/uri", "/xfa", "cmd.exe", "powershell", "javascript:", "file://", "http://", "https://"]
+SUSPICIOUS_SCRIPT = ["eval(", "document.write", "unescape(", "ActiveXObject", "WScript.Shell", "new Array(", "fromCharCode", "shellcode", "exploit", "payload", "app.launchURL", "this.print", "app.execDialog"]
 BAD_TLDS = [".tk", ".ml", ".ga", ".cf", ".cc", ".info", ".biz"]
 SHORTENERS = ["bit.ly", "tinyurl", "t.co", "goo.gl", "ow.ly", "is.gd"]
 BAD_PATHS = ["/download", "/exe", "/install", "/setup", "/update"]
@@ -18,6 +19,11 @@ LOCAL = ["..", "localhost", "127.0.0.1", "192.168.", "10."]
 DOCUMENT_SUFFIXES = ["txt", "pdf", "doc", "jpg", "png", "zip"]
 PROGRAM_SUFFIXES = ["exe", "scr", "bat", "com", "pif"]
 EXECUTABLES = ["exe", "com", "bat", "cmd", "scr", "pif", "dll", "jar", "class", "sh", "ps1", "vbs", "js"]
+WEIGHTS = {"Catalog": 1.0, "Metadata": 0.9, "Page": 0.8, "ContentStream": 0.6}
+VECTOR_OPS = ["m ", "l ", "c ", "v ", "y ", "h ", "re ", "S ", "s ", "f ", "F ", "B "]
+STRUCTURE_MARKS = ["<<", ">>", "[", "]", "/", "obj", "endobj"]
+TEXT_MARKS = ["BT", "ET", "Tf", "TJ", "Tj"]
+IMAGE_MAGIC = ["FFD8FF", "89504E470D0A1A0A", "474946383761", "474946383961"]
 SEVERITY = {"Critical": 100, "High": 50, "Medium": 20, "Low": 5}
 
 
@@ -37,13 +43,18 @@ def is_suspicious(text: Column) -> Column:
     return any_of(F.lower(text), SUSPICIOUS)
 
 
+def is_suspicious_script(text: Column) -> Column:
+    """Whether the lower-cased script holds a pattern as it stands in the list; those with capitals never do."""
+    return any_of(F.lower(text), SUSPICIOUS_SCRIPT)
+
+
 def js_features(text: Column) -> Column:
     """How many of the seven obfuscation features a script shows; three or more count as obfuscated."""
-    special = F.length(F.regexp_replace(text, r"[A-Za-z0-9\s]", ""))
+    special = F.length(F.regexp_replace(text, r"[\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]", ""))
     return _sum([
         special > F.octet_length(text) * 0.4,
         text.contains("var "),
-        text.rlike(r"[A-Za-z_][A-Za-z0-9_]{20,}"),
+        text.rlike(r"[a-zA-Z_$][a-zA-Z0-9_$]{20,}"),
         F.regexp_count(text, F.lit(r"\\x")) > 10,
         F.regexp_count(text, F.lit(r"\\u")) > 5,
         F.regexp_count(text, F.lit(r" \+ ")) > 20,
@@ -69,9 +80,10 @@ def is_suspicious_url(url: Column) -> Column:
 
 
 def is_exfiltration_url(url: Column) -> Column:
-    query = F.when(url.contains("?"), F.regexp_extract(url, r"(?s)^[^?]*\?(.*)$", 1))
-    long = (F.octet_length(url) > 100) & (F.octet_length(query) > 50) & query.rlike("^[A-Za-z0-9=&]+$")
-    return any_of(F.lower(url), LEAKS) | F.coalesce(long, F.lit(False))
+    """A parameter that carries data, or a long query (what stands between the first two question marks) of letters, digits, = and &."""
+    query = F.coalesce(F.get(F.split(url, r"\?"), F.lit(1)), F.lit(""))
+    long = url.contains("=") & (F.octet_length(url) > 100) & (F.octet_length(query) > 50) & query.rlike("^[A-Za-z0-9=&]+$")
+    return any_of(F.lower(url), LEAKS) | long
 
 
 def is_threat_url(url: Column) -> Column:
@@ -127,8 +139,11 @@ def permission_flags(p: Column) -> Column:
 
 
 def checksum(data: Column) -> Column:
-    """``acc * 31 + code point`` over characters, modulo 2^32 (bytes, for ASCII)."""
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.ascii(F.substring(data, i, F.lit(1)))), F.lit(0).cast("long"), lambda acc, b: (acc * 31 + b) % 4294967296)
+    """``acc * 31 + byte`` over the bytes of a binary or of a text in UTF-8, modulo 2^32."""
+    digits = F.hex(data.cast("binary"))
+    each = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long"))
+    bytes_ = F.when(F.length(digits) > 0, each).otherwise(F.array().cast("array<bigint>"))
+    return F.when(data.isNotNull(), F.aggregate(bytes_, F.lit(0).cast("long"), lambda acc, b: (acc * 31 + b) % 4294967296))
 
 
 def media_format(name: Column) -> Column:
@@ -163,11 +178,47 @@ def transform_point(x: Column, y: Column, m: list[float]) -> tuple[Column, Colum
 
 def index_weight(node_type: Column) -> Column:
     out = F.lit(0.5)
-    for kind, weight in {"ContentStream": 0.6, "Page": 0.8, "Metadata": 0.9, "Catalog": 1.0}.items():
+    for kind, weight in WEIGHTS.items():
         out = F.when(node_type == kind, weight).otherwise(out)
     return out
 
 
+def _marks(data: Column, marks: list[str]) -> Column:
+    """How often any of the byte strings occurs, overlaps included (none of them overlaps itself)."""
+    return _sum([(F.octet_length(data) - F.octet_length(F.replace(data, F.lit(m), F.lit("")))) / len(m) for m in marks])
+
+
+def content_kind(data: Column) -> Column:
+    """What the bytes of a text are taken for: image signature, then ASCII share of the first 1000 bytes or a text operator, then vector operators, then structure marks."""
+    start = F.substring(F.hex(data.cast("binary")), 1, 2000)
+    size = F.octet_length(data)
+    beyond = F.length(F.regexp_replace(F.regexp_replace(start, "..", "$0 "), "[0-7][0-9A-F] ", "")) / 3
+    text = (size > 0) & (((F.least(size, F.lit(1000)) - beyond) / F.least(size, F.lit(1000)) > 0.8) | any_of(data, TEXT_MARKS))
+    image = reduce(lambda a, b: a | b, (start.startswith(m) for m in IMAGE_MAGIC))
+    vector, structured = _marks(data, VECTOR_OPS) > F.floor(size / 100), _marks(data, STRUCTURE_MARKS) > F.floor(size / 50)
+    return F.when(image, "Image").when(text, "Text").when(vector, "Vector").when(structured, "Structured").otherwise("Binary")
+
+
+def is_repetitive(data: Column) -> Column:
+    """Whether a text of 1000 bytes or more has a byte over 100 times among its first 1000."""
+    pairs = F.split(F.rtrim(F.regexp_replace(F.substring(F.hex(data.cast("binary")), 1, 2000), "..", "$0 ")), " ")
+    most = F.array_max(F.transform(F.array_distinct(pairs), lambda b: F.size(F.filter(pairs, lambda x: x == b))))
+    return (F.octet_length(data) >= 1000) & (most > 100)
+
+
+def compression_choice(kind: Column, repetitive: Column) -> Column:
+    """The algorithm for a kind of content; for unknown kinds repetition decides."""
+    return F.when(kind.isin("Text", "Vector", "Structured"), "Flate").when(kind == "Image", "DCT").when(kind == "Binary", "LZW").otherwise(F.when(repetitive, "LZW").otherwise("Flate"))
+
+
+def compliance_level(errors: Column, warnings: Column) -> Column:
+    return F.when((errors == 0) & (warnings == 0), "AAA").when((errors == 0) & (warnings <= 5), "AA").when(errors <= 2, "A").otherwise("NonCompliant")
+
+
+def compliance_score(errors: Column, warnings: Column) -> Column:
+    return F.greatest(F.lit(0.0), 1 - (errors * 0.5 + warnings * 0.2) / 10)
+
+
 def severity_score(severity: Column) -> Column:
     out = F.lit(0)
     for name, weight in SEVERITY.items():

@@ -45,12 +45,14 @@ def _entry(name: str) -> Column:
     return F.get_json_object("value", f"$.{name}")
 
 
-def object_facts(nodes: DataFrame) -> DataFrame:
-    """One row a document: counts that all rules draw on."""
-    is_type = lambda *names: F.col("node_type").isin(*names)
-    catalog = is_type("Catalog")
-    return nodes.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_objects"),
+def document_facts(rows: DataFrame) -> DataFrame:
+    """One row a document: counts over its objects that all rules draw on, and its own facts, in one aggregation over one parse."""
+    whole = pdf.type_of(F.col("value"), F.col("stream"))
+    nodes = rows.where("kind in ('doc', 'object')").withColumn("node_type", F.when(F.col("kind") == "object", whole))
+    is_type = lambda *names: F.coalesce(F.col("node_type").isin(*names), F.lit(False))
+    catalog, inner = is_type("Catalog"), F.col("kind") == "object"
+    out = nodes.groupBy("doc_id").agg(
+        F.count_if(inner).alias("n_objects"),
         F.count_if(catalog).alias("n_catalogs"),
         F.count_if(is_type("Page")).alias("n_pages"),
         F.count_if(is_type("Pages")).alias("n_page_trees"),
@@ -62,7 +64,7 @@ def object_facts(nodes: DataFrame) -> DataFrame:
         F.count_if(is_type("Font") & ~F.col("value").rlike("FontFile")).alias("n_bare_fonts"),
         F.count_if(is_type("Page") & (_entry("Group.S") == "/Transparency")).alias("n_transparent"),
         F.count_if(is_type("Page") & _entry("TrimBox").isNull()).alias("n_untrimmed"),
-        F.count_if(_entry("S").isin("/Figure", "/Formula", "/Table") & _entry("Alt").isNull()).alias("n_without_alt"),
+        F.count_if(inner & _entry("S").isin("/Figure", "/Formula", "/Table") & _entry("Alt").isNull()).alias("n_without_alt"),
         F.bool_or(catalog & _entry("Pages").isNotNull()).alias("has_pages"),
         F.bool_or(catalog & _entry("OpenAction").isNotNull()).alias("has_open_action"),
         F.bool_or(catalog & _entry("MarkInfo").isNotNull()).alias("tagged"),
@@ -70,12 +72,14 @@ def object_facts(nodes: DataFrame) -> DataFrame:
         F.bool_or(catalog & _entry("OutputIntents").isNotNull()).alias("has_intents"),
         F.bool_or(catalog & _entry("StructTreeRoot").isNotNull()).alias("has_structure"),
         F.bool_or(catalog & _entry("Metadata").isNotNull()).alias("has_metadata"),
+        F.bool_or(F.coalesce(F.decode("stream", "ISO-8859-1").rlike(r"(?s)\bBT\b[^\x00]*?\x00.*?\bET\b"), F.lit(False))).alias("has_nulls"),
+        F.max(F.when(F.col("kind") == "doc", F.col("value"))).alias("doc"),
     )
+    return out.select("*", *pdf.document_facts(F.col("doc"))).drop("doc")
 
 
-def issues(rows: DataFrame, profile: str) -> DataFrame:
-    """(doc_id, code, severity, n) of the rules of ``profile`` that a document breaks."""
-    facts = object_facts(pdf.objects(rows)).join(pdf.documents(rows), "doc_id", "right")
+def _rules(profile: str) -> Column:
+    """The rules of ``profile`` that a row of ``document_facts`` breaks."""
     n = lambda name: F.coalesce(name, F.lit(0))
     lacks = lambda name: (~F.coalesce(name, F.lit(False))).cast("long")
     counts = {
@@ -103,20 +107,25 @@ def issues(rows: DataFrame, profile: str) -> DataFrame:
         "ACCESSIBILITY_METADATA_MISSING": lacks("has_metadata"),
     }
     found = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(CODES[c]).alias("severity"), counts[c].alias("n")) for c in PROFILES[profile]))
-    return facts.select("doc_id", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("f")).select("doc_id", "f.*")
+    return F.filter(found, lambda x: x["n"] > 0)
+
+
+def issues(rows: DataFrame, profile: str) -> DataFrame:
+    """(doc_id, code, severity, n) of the rules of ``profile`` that a document breaks."""
+    return document_facts(rows).select("doc_id", F.explode(_rules(profile)).alias("f")).select("doc_id", "f.*")
 
 
-def report(found: DataFrame, documents: DataFrame, profile: str) -> DataFrame:
+def report(rows: DataFrame, profile: str) -> DataFrame:
     """(doc_id, failed, passed, is_valid): rules broken and kept; valid without Error or Critical."""
-    broken = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("failed"), F.bool_or(F.col("severity").isin("Error", "Critical")).alias("grave"))
-    out = documents.select("doc_id").join(broken, "doc_id", "left")
-    failed = F.coalesce("failed", F.lit(0)).cast("long")
-    return out.select("doc_id", failed.alias("failed"), (F.lit(len(PROFILES[profile])) - failed).cast("long").alias("passed"), (~F.coalesce("grave", F.lit(False))).alias("is_valid"))
+    out = document_facts(rows).select("doc_id", _rules(profile).alias("broken"))
+    failed = F.size("broken").cast("long")
+    grave = F.exists("broken", lambda x: x["severity"].isin("Error", "Critical"))
+    return out.select("doc_id", failed.alias("failed"), (F.lit(len(PROFILES[profile])) - failed).cast("long").alias("passed"), (~grave).alias("is_valid"))
 
 
 def indicators(rows: DataFrame) -> DataFrame:
     """(doc_id, check, status) of what a document can do by itself; a single pass row where nothing was found."""
-    facts = object_facts(pdf.objects(rows)).join(pdf.documents(rows), "doc_id", "right")
+    facts = document_facts(rows)
     checks = [("JavaScriptAction", "Fail", F.coalesce("n_scripts", F.lit(0)) > 0), ("ExternalAction", "Warning", F.coalesce("n_external", F.lit(0)) > 0), ("EmbeddedFile", "Warning", F.coalesce("n_files", F.lit(0)) > 0), ("OpenAction", "Warning", F.coalesce("has_open_action", F.lit(False))), ("TrailingData", "Warning", F.col("has_trailing")), ("RevisionHistory", "Warning", F.col("revisions") > 1)]
     found = F.filter(F.array(*(F.when(c, F.struct(F.lit(name).alias("check"), F.lit(status).alias("status"))) for name, status, c in checks)), lambda x: x.isNotNull())
     none = F.array(F.struct(F.lit("Security").alias("check"), F.lit("Pass").alias("status")))
@@ -124,13 +133,21 @@ def indicators(rows: DataFrame) -> DataFrame:
 
 
 def health(rows: DataFrame) -> DataFrame:
-    """(doc_id, integrity, level): deductions for what is missing or had to be recovered."""
+    """(doc_id, integrity, score, level): the share of integrity checks kept (end mark, no null bytes in text, objects found for those
+    declared), less what structure is missing and what is corrupt: missing objects are an error, mostly broken references critical."""
     from ..functions.rules import health_level
 
-    facts = object_facts(pdf.objects(rows)).join(pdf.documents(rows), "doc_id", "right")
-    lost = F.when(F.coalesce("n_catalogs", F.lit(0)) == 0, 3).otherwise(0) + F.when(F.coalesce("n_pages", F.lit(0)) == 0, 2).otherwise(0) + F.when(F.col("recovered"), 1).otherwise(0) + F.when(F.col("root").isNull(), 1).otherwise(0) + F.when(F.col("has_trailing"), 1).otherwise(0)
-    integrity = (F.lit(10) - lost) / 10
-    return facts.select("doc_id", integrity.cast("double").alias("integrity"), health_level(integrity).alias("level"))
+    nodes = pdf.objects(rows).select("doc_id", "node_id", "value")
+    refs = pdf.object_references(nodes).join(nodes.select("doc_id", F.col("node_id").alias("dst"), F.lit(1).alias("there")), ["doc_id", "dst"], "left")
+    refs = refs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_refs"), F.count_if(F.col("there").isNull()).alias("n_broken"))
+    facts = document_facts(rows).join(refs, "doc_id", "left")
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    missing = (F.col("declared") > 0) & (F.col("n_objects") < F.floor(F.col("declared") / 2))
+    integrity = 1 - (one(~F.col("ends")) + one(F.col("has_nulls")) + one(missing)) / 3
+    structure = one(~F.col("header")) * 2 + one(F.col("n_catalogs") == 0) * 3 + one(F.col("n_page_trees") == 0) * 2 + one(~F.col("has_xref")) + one(~F.col("has_trailer"))
+    corrupt = one(F.col("n_broken") > F.floor(F.col("n_refs") / 2)) * 2 + one(missing)
+    score = integrity - (structure + corrupt) / 10
+    return facts.select("doc_id", integrity.cast("double").alias("integrity"), score.cast("double").alias("score"), health_level(score).alias("level"))
 
 
 def content_operators(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,42 +19,55 @@ def urls(texts: DataFrame) -> DataFrame:
 
 
 def threats(texts: DataFrame) -> DataFrame:
-    """(doc_id, rule, severity) of all rules that a text meets, in one pass over it."""
+    """(doc_id, rule, severity, subject): what a text's scripts, every address and every name in it say; a rule counts once a subject."""
     t = F.col("text")
-    name = F.element_at(F.split(t, " "), -1)
-    url = F.regexp_extract(t, f"({URL})", 1)
-    checks: list[tuple[str, str, Column]] = [
-        ("javascript", "High", rules.is_javascript(t)),
+    script = rules.is_javascript(t)
+    of_text: list[tuple[str, Column | str, Column]] = [
+        ("javascript", F.when(rules.is_suspicious_script(t), "High").otherwise("Medium"), script),
+        ("obfuscated javascript", "High", script & (rules.js_features(t) >= 3)),
         ("suspicious pattern", "Medium", rules.is_suspicious(t)),
         ("heap spray", "Critical", rules.is_heap_spray(t)),
         ("shellcode", "Critical", rules.is_shellcode(t)),
-        ("suspicious url", "Medium", (url != "") & rules.is_suspicious_url(url)),
-        ("exfiltration url", "High", (url != "") & rules.is_exfiltration_url(url)),
-        ("double extension", "Critical", rules.has_double_extension(name)),
-        ("executable name", "Low", rules.is_executable_name(name)),
+        ("hidden executable", "Critical", rules.is_hidden_executable(t)),
     ]
-    rows = F.filter(F.array(*(F.when(c, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, c in checks)), lambda x: x.isNotNull())
-    return texts.select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.rule", "f.severity")
+    of_url = lambda u: [("outbound connection", F.when(rules.is_threat_url(u), "High").otherwise("Medium"), F.lit(True)), ("suspicious url", "High", rules.is_suspicious_url(u)), ("exfiltration url", "High", rules.is_exfiltration_url(u))]
+    of_name = lambda n: [("double extension", "High", rules.has_double_extension(n)), ("executable name", "Critical", rules.is_executable_name(n))]
 
+    def rows(checks, subject: Column) -> Column:
+        lit = lambda s: F.lit(s) if isinstance(s, str) else s
+        each = (F.when(c, F.struct(F.lit(rule).alias("rule"), lit(severity).alias("severity"), subject.alias("subject"))) for rule, severity, c in checks)
+        return F.filter(F.array(*each), lambda x: x.isNotNull())
 
-def risk(found: DataFrame) -> DataFrame:
-    """(doc_id, score, level, safe): severities added up, capped at 1000."""
-    score = F.least(F.sum(rules.severity_score(F.col("severity"))), F.lit(1000))
-    out = found.groupBy("doc_id").agg(score.cast("long").alias("score"), F.bool_or(F.col("severity").isin("High", "Critical")).alias("grave"))
-    return out.select("doc_id", "score", rules.risk_level(F.col("score")).alias("level"), ((F.col("score") <= 20) & ~F.col("grave")).alias("safe"))
+    addresses = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({URL})"), 1))
+    names = F.array_distinct(F.filter(F.split(t, r"\s+"), lambda w: w.contains(".")))
+    found = F.concat(rows(of_text, F.lit("")), F.flatten(F.transform(addresses, lambda u: rows(of_url(u), u))), F.flatten(F.transform(names, lambda n: rows(of_name(n), n))))
+    return texts.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
 
 
 def combinations(found: DataFrame) -> DataFrame:
-    """(doc_id, rule): several grave findings; scripts with addresses; programs with scripts."""
+    """(doc_id, rule, severity): several grave findings; scripts with addresses; programs with scripts."""
     has = lambda *names: F.bool_or(F.col("rule").isin(*names))
     agg = found.groupBy("doc_id").agg(
         (F.count_if(F.col("severity").isin("High", "Critical")) > 2).alias("many"),
-        (has("javascript") & has("suspicious url", "exfiltration url")).alias("network"),
-        (has("double extension", "executable name") & has("javascript")).alias("dropper"),
+        (has("javascript") & has("outbound connection")).alias("network"),
+        (has("hidden executable", "executable name") & has("javascript")).alias("dropper"),
     )
-    names = {"many": "several grave findings", "network": "script with network access", "dropper": "program with script"}
-    rows = F.filter(F.array(*(F.when(F.col(c), F.lit(n)) for c, n in names.items())), lambda x: x.isNotNull())
-    return agg.select("doc_id", F.explode(rows).alias("rule"))
+    names = {"many": ("several grave findings", "Critical"), "network": ("script with network access", "High"), "dropper": ("program with script", "Critical")}
+    rows = F.filter(F.array(*(F.when(F.col(c), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for c, (n, s) in names.items())), lambda x: x.isNotNull())
+    return agg.select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
+
+
+def all_threats(texts: DataFrame) -> DataFrame:
+    """(doc_id, rule, severity): the findings and what their combinations add."""
+    found = threats(texts)
+    return found.select("doc_id", "rule", "severity").unionByName(combinations(found))
+
+
+def risk(found: DataFrame) -> DataFrame:
+    """(doc_id, score, level, safe) of all threats: severities added up, capped at 1000 (the scale's end)."""
+    score = F.least(F.sum(rules.severity_score(F.col("severity"))), F.lit(1000))
+    out = found.groupBy("doc_id").agg(score.cast("long").alias("score"), F.bool_or(F.col("severity").isin("High", "Critical")).alias("grave"))
+    return out.select("doc_id", "score", rules.risk_level(F.col("score")).alias("level"), ((F.col("score") <= 20) & ~F.col("grave")).alias("safe"))
 
 
 def entropy(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -79,12 +95,64 @@ def search(texts: DataFrame, query: str) -> DataFrame:
     return lines.where(F.lower("text").contains(query.lower()))
 
 
-def line_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, line, change, old, new) of index-aligned lines of two texts: a full outer join."""
-    split = lambda df, name: df.select(key, F.posexplode(F.split("text", "\n")).alias("line", name))
-    both = split(a, "old").join(split(b, "new"), [key, "line"], "full")
-    change = F.when(F.col("old").isNull(), "Added").when(F.col("new").isNull(), "Removed").when(F.col("old") != F.col("new"), "Modified")
-    return both.withColumn("change", change).where(F.col("change").isNotNull()).select(key, "line", "change", "old", "new")
+def shortest_edit(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """(line of a, line of b) that stay, in order, by Myers' greedy search for the least edit script: time grows with the edits."""
+    best, trail = {1: 0}, []
+    for d in range(len(a) + len(b) + 1):
+        trail.append(dict(best))
+        for k in range(-d, d + 1, 2):
+            x = best[k + 1] if k == -d or (k != d and best.get(k - 1, -1) < best.get(k + 1, -1)) else best[k - 1] + 1
+            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
+                x += 1
+            best[k] = x
+            if x >= len(a) and x - k >= len(b):
+                break
+        else:
+            continue
+        break
+    same, x, y = [], len(a), len(b)
+    for d in range(len(trail) - 1, -1, -1):
+        seen, k = trail[d], x - y
+        before = k + 1 if k == -d or (k != d and seen.get(k - 1, -1) < seen.get(k + 1, -1)) else k - 1
+        to = seen[before]
+        while x > max(to, 0) and y > max(to - before, 0) and (x > to + (before < k) or d == 0) and a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+            same.append((x, y))
+        x, y = to, to - before
+    return same[::-1]
+
+
+def line_diff(pairs: DataFrame) -> DataFrame:
+    """(keys, change, old_line, new_line, old, new) of text pairs (keys, old, new): lines removed and added by the least edit script.
+
+    In a stretch of both, the first removed line and the first added one are one
+    Modified line, and so on; null texts have no line.
+    """
+    keys = [c for c in pairs.columns if c not in ("old", "new")]
+    names = [*keys, "change", "old_line", "new_line", "old", "new"]
+
+    def changes(old: str | None, new: str | None):
+        a, b = ([] if t is None else t.split("\n") for t in (old, new))
+        i = j = 0
+        for x, y in [*shortest_edit(a, b), (len(a), len(b))]:
+            both = min(x - i, y - j)
+            yield from (("Modified", i + k, j + k, a[i + k], b[j + k]) for k in range(both))
+            yield from (("Removed", k, None, a[k], None) for k in range(i + both, x))
+            yield from (("Added", None, k, None, b[k]) for k in range(j + both, y))
+            i, j = x + 1, y + 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [(k, *c) for k, (old, new) in enumerate(zip(part.column(len(keys)).to_pylist(), part.column(len(keys) + 1).to_pylist())) for c in changes(old, new)]
+                if found:
+                    owner, *cols = zip(*found)
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(owner)) for c in range(len(keys))), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=names)
+
+    schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), "change string, old_line long, new_line long, old string, new string"])
+    return pairs.select(*keys, "old", "new").mapInArrow(rows, schema)
 
 
 def similarity(changes: Column, nodes: Column, pages: Column) -> Column:

@@ -49,7 +49,7 @@ def script_counts(templates: DataFrame) -> DataFrame:
 
 
 def field_counts(fields: DataFrame) -> DataFrame:
-    """(form, n_fields, n_leaves, n_signatures) of (form, field, parent, kind): the Kids closure from fields without a parent, 64 deep."""
+    """(form, n_fields, n_leaves, n_signatures) of (form, field, parent, kind): the Kids closure from fields without a parent."""
     edges = fields.where("parent is not null").select(F.col("parent").alias("src"), F.col("field").alias("dst"))
     reached = graph.walk(edges, fields.where("parent is null").select(F.col("field").alias("node_id"))).select(F.col("node_id").alias("field")).distinct()
     inner = edges.select(F.col("src").alias("field")).distinct().withColumn("inner", F.lit(True))

@@ -1,17 +1,18 @@
-"""Graph operators over ``nodes`` and ``edges`` tables: joins and recursive queries.
+"""Graph operators over ``nodes`` and ``edges`` tables.
 
-Closures run as recursive SQL, level by level, each level one hash join on the edge
-source; rows never meet in one task. Where edges may close cycles, a row carries
-its path and stops at a node it has passed.
+A walk goes level by level: the frontier is joined with the stored edges, what was
+seen before is left out by an anti join, and the new level is stored, until a level
+is empty. No depth is fixed, cycles end by themselves, and a node that many ways lead
+to is visited once. Rows never meet in one task or the driver.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import forget, stored, together
+
 CHILD, REFERENCE = "Child", "Reference"
 
 
@@ -41,58 +42,68 @@ def siblings(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("edge_type") == CHILD).select(F.col("dst").alias("node_id"), F.row_number().over(own).alias("place"), F.col("src").alias("of"))
 
 
-def walk(edges: DataFrame, start: DataFrame, max_depth: int = 64, guard: bool = False) -> DataFrame:
-    """(origin, node_id, depth, path) of everything reachable from ``start`` (node_id), itself at depth 0.
+def walk(edges: DataFrame, start: DataFrame, max_depth: int | None = None, step: str | None = None) -> DataFrame:
+    """(origin, node_id, depth) of everything reachable from ``start`` (node_id), itself at depth 0, each once at its least depth.
 
-    ``path`` is the node ids from the origin, slash-separated. A node is listed once
-    for every way that leads to it; with ``guard`` a way ends where it meets itself.
+    With ``step``, the name of a column of ``edges`` and ``start``, a ``path`` comes too:
+    the steps from the origin, slash-separated (of several shortest ways the least).
+    Starts and edges that repeat count once.
     """
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    tag = uuid.uuid4().hex
-    edges.select("src", "dst").createOrReplaceTempView(f"edges_{tag}")
-    start.select("node_id").createOrReplaceTempView(f"start_{tag}")
-    stop = "AND NOT contains(concat('/', w.path, '/'), concat('/', e.dst, '/'))" if guard else ""
-    return spark.sql(f"""
-        WITH RECURSIVE w(origin, node_id, depth, path) AS (
-            SELECT node_id, node_id, 0, node_id FROM start_{tag}
-            UNION ALL
-            SELECT w.origin, e.dst, w.depth + 1, concat(w.path, '/', e.dst)
-            FROM w JOIN edges_{tag} e ON w.node_id = e.src
-            WHERE w.depth < {max_depth} {stop})
-        SELECT origin, node_id, depth, path FROM w""")
-
-
-def descendants(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
+    extra = [step] if step else []
+    kids = stored(edges.select("src", "dst", *(F.col(c).alias("step") for c in extra)).where("src is not null and dst is not null").distinct(), "edges")
+    path = [F.col(step).alias("path")] if step else []
+    level = stored(start.select(F.col("node_id").alias("origin"), "node_id", F.lit(0).alias("depth"), *path).distinct(), "level")
+    levels, depth = [level], 0
+    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+        depth += 1
+        ways = level.select("origin", F.col("node_id").alias("src"), *(F.col("path") for _ in extra)).join(kids, "src")
+        path = [F.min(F.concat_ws("/", "path", "step")).alias("path")] if step else []
+        found = ways.groupBy("origin", F.col("dst").alias("node_id")).agg(F.lit(depth).alias("depth"), *path)
+        level = stored(found.join(together(levels).select("origin", "node_id"), ["origin", "node_id"], "left_anti").select(*level.columns), "level")
+        levels.append(level)
+    forget(kids)
+    return together(levels)
+
+
+def descendants(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(origin, node_id, depth): the Child closure without the origin itself."""
-    return walk(edges.where(F.col("edge_type") == CHILD), start, max_depth).where("depth > 0").select("origin", "node_id", "depth")
+    return walk(edges.where(F.col("edge_type") == CHILD), start, max_depth).where("depth > 0")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(origin, node_id, depth): the chain of parents of each start node."""
     up = edges.where(F.col("edge_type") == CHILD).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return walk(up, start, max_depth).where("depth > 0").select("origin", "node_id", "depth")
+    return walk(up, start, max_depth).where("depth > 0")
+
+
+def would_create_cycle(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """``moves`` (node_id, new_parent) with ``cycle``: whether the new parent is the node itself or under it."""
+    under = walk(edges.where(F.col("edge_type") == CHILD), moves.select("node_id"))
+    reached = under.select(F.col("origin").alias("node_id"), F.col("node_id").alias("new_parent"), F.lit(True).alias("cycle"))
+    return moves.join(reached, ["node_id", "new_parent"], "left").select(*moves.columns, F.coalesce("cycle", F.lit(False)).alias("cycle"))
 
 
 def page_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, page, page_number) for every node at or under a Page: the nearest one and its place among its siblings."""
     pages = nodes.where(F.col("node_type") == "Page").select("node_id")
-    under = walk(edges.where(F.col("edge_type") == CHILD), pages).groupBy("node_id").agg(F.min_by("origin", "depth").alias("page"))
+    under = walk(edges.where(F.col("edge_type") == CHILD), pages).groupBy("node_id").agg(F.min_by("origin", F.struct("depth", "origin")).alias("page"))
     return under.join(siblings(edges).select(F.col("node_id").alias("page"), F.col("place").alias("page_number")), "page").select("node_id", "page", F.col("page_number").cast("long"))
 
 
-def cyclic(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """Edges that lie on or lead into no sink: what stays when nodes without out-edges are peeled off again and again.
 
-    Each round is an anti join; an acyclic graph is empty after as many rounds as it
+    Each round is a semi join; an acyclic graph is empty after as many rounds as it
     is deep. The loop ends as soon as a round takes nothing.
     """
-    left = edges.select("src", "dst")
+    left = stored(edges.select("src", "dst"), "peeled")
     before = left.count()
-    for _ in range(rounds):
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
-        now = left.count()
-        if now in (0, before):
+    while before:
+        rest = stored(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "peeled")
+        now = rest.count()
+        forget(left)
+        left = rest
+        if now == before:
             break
         before = now
     return left
@@ -128,3 +139,75 @@ def content_ids(nodes: DataFrame) -> DataFrame:
     pairs = F.array_sort(F.map_entries("props"))
     text = F.concat_ws("|", "node_type", F.expr("array_join(transform(array_sort(map_entries(props)), e -> concat(e.key, '=', e.value)), ';')"))
     return nodes.where(F.size(pairs) >= 0).select("node_id", F.sha2(text, 256).alias("content_id"))
+
+
+def replace_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """``nodes`` with those of ``new`` (node_id, node_type, props) in place of theirs; unknown ids change nothing, children stay."""
+    given = new.select("node_id", F.col("node_type").alias("new_type"), F.col("props").alias("new_props"), F.lit(True).alias("given"))
+    out = nodes.join(given, "node_id", "left")
+    swap = {"node_type": F.when(F.col("given"), F.col("new_type")).otherwise(F.col("node_type")), "props": F.when(F.col("given"), F.col("new_props")).otherwise(F.col("props"))}
+    return out.select(*(swap.get(c, F.col(c)).alias(c) for c in nodes.columns))
+
+
+def insert_nodes(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with the rows of ``new`` (parent and the columns of ``nodes``) added below parents that exist, after the children they have."""
+    fit = new.join(nodes.select(F.col("node_id").alias("parent")), "parent", "left_semi").join(nodes.select("node_id"), "node_id", "left_anti")
+    last = edges.where(F.col("edge_type") == CHILD).groupBy(F.col("src").alias("parent")).agg(F.max("ord").alias("last"))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("node_id"))
+    placed = fit.join(last, "parent", "left").select(F.col("parent").alias("src"), F.col("node_id").alias("dst"), F.lit(CHILD).alias("edge_type"), (F.coalesce("last", F.lit(-1)) + place).cast("long").alias("ord"))
+    return nodes.unionByName(fit.select(*nodes.columns)), edges.unionByName(placed)
+
+
+def clone_subtrees(nodes: DataFrame, edges: DataFrame, clones: DataFrame, suffix: str = "'") -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges to add for copies of subtrees: ``clones`` (node_id, new_parent); a copy's id is the old one and ``suffix``.
+
+    Child edges inside a subtree are copied with its nodes; references keep their targets.
+    """
+    under = walk(edges.where(F.col("edge_type") == CHILD), clones.select("node_id"))
+    ids = under.select("node_id").distinct()
+    new = lambda c: F.concat(c, F.lit(suffix))
+    copies = nodes.join(ids, "node_id", "left_semi").withColumn("node_id", new(F.col("node_id")))
+    own = edges.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi")
+    child = F.col("edge_type") == CHILD
+    inner = own.select(new(F.col("src")).alias("src"), F.when(child, new(F.col("dst"))).otherwise(F.col("dst")).alias("dst"), "edge_type", "ord")
+    outer = clones.select(F.col("new_parent").alias("src"), new(F.col("node_id")).alias("dst"), F.lit(CHILD).alias("edge_type"), F.lit(0).cast("long").alias("ord"))
+    return copies, inner.unionByName(outer).select(*edges.columns)
+
+
+#: Which types a parent takes below it, as far as a rule names them.
+ALLOWED = {"Catalog": ["Pages", "Outline", "Metadata", "Other"], "Pages": ["Pages", "Page"]}
+
+
+def validate_moves(nodes: DataFrame, edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """(node_id, new_parent, problem) of the moves that may not be made: an end that does not exist, a cycle, a type that does not belong there."""
+    types = lambda name: nodes.select(F.col("node_id").alias(name), F.col("node_type").alias(f"{name}_type"))
+    checked = would_create_cycle(edges, moves).join(types("node_id"), "node_id", "left").join(types("new_parent"), "new_parent", "left")
+    allowed = F.create_map(*(x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[F.col("new_parent_type")]
+    problem = F.when(F.col("node_id_type").isNull() | F.col("new_parent_type").isNull(), "missing").when(F.col("cycle"), "cycle").when(~F.array_contains(allowed, F.col("node_id_type")), "type")
+    return checked.select("node_id", "new_parent", problem.alias("problem")).where("problem is not null")
+
+
+def tree_entries(trees: DataFrame, kids: DataFrame, entries: DataFrame) -> DataFrame:
+    """(tree, key, value) of name or number trees: ``trees`` (tree, node_id of the root), ``kids`` (src, dst), ``entries`` (node_id, key, value).
+
+    Of keys that repeat in a tree the one at the least depth (then of the least node) counts.
+    """
+    reached = walk(kids, trees.select("node_id"))
+    own = reached.join(entries, "node_id").join(trees.select("tree", F.col("node_id").alias("origin")), "origin")
+    return own.groupBy("tree", "key").agg(F.min_by("value", F.struct("depth", "node_id")).alias("value"))
+
+
+def tree_lookup(trees: DataFrame, limits: DataFrame, kids: DataFrame, entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(tree, key, value) of ``asked`` (tree, key), going down only into nodes whose ``limits`` (node_id, low, high) hold the key."""
+    at = asked.join(trees, "tree")
+    found, level = None, at.select("tree", "key", "node_id")
+    kids = stored(kids.select(F.col("src").alias("node_id"), "dst").join(limits.withColumnRenamed("node_id", "dst"), "dst", "left"), "limits")
+    while True:
+        level = stored(level, "lookup")
+        if level.isEmpty():
+            break
+        here = level.join(entries, ["node_id", "key"]).select("tree", "key", "value")
+        found = here if found is None else found.unionByName(here)
+        inside = F.col("low").isNull() | F.col("key").between(F.col("low"), F.col("high"))
+        level = level.join(kids, "node_id").where(inside).select("tree", "key", F.col("dst").alias("node_id"))
+    return (found if found is not None else at.join(entries, ["node_id", "key"]).select("tree", "key", "value")).groupBy("tree", "key").agg(F.min("value").alias("value"))

@@ -14,10 +14,15 @@ from . import graph
 
 
 def outline_items(items: DataFrame) -> DataFrame:
-    """(item, level, path) of outline rows (item, parent, ord), roots with a null parent: levels from 0, paths sort in reading order."""
-    edges = items.where("parent is not null").select(F.col("parent").alias("src"), F.col("item").alias("dst"))
-    walked = graph.walk(edges, items.where("parent is null").select(F.col("item").alias("node_id")))
-    return walked.select(F.col("node_id").alias("item"), F.col("depth").alias("level"), "path")
+    """(item, level, path, place) of outline rows (item, parent, ord), roots with a null parent: levels from 0, the items from the root, and the
+    places among siblings (by ord, then item) from the root, which sort in reading order."""
+    own = Window.partitionBy("parent").orderBy("ord", "item")
+    step = F.concat(F.lpad(F.row_number().over(own), 10, "0"), F.lit("\u0001"), "item")
+    placed = items.withColumn("step", step)
+    edges = placed.where("parent is not null").select(F.col("parent").alias("src"), F.col("item").alias("dst"), "step")
+    walked = graph.walk(edges, placed.where("parent is null").select(F.col("item").alias("node_id"), "step"), step="step")
+    part = lambda k: F.array_join(F.transform(F.split("path", "/"), lambda x: F.get(F.split(x, "\u0001"), F.lit(k))), "/")
+    return walked.select(F.col("node_id").alias("item"), F.col("depth").alias("level"), part(1).alias("path"), part(0).alias("place"))
 
 
 def inherited(chain: DataFrame) -> DataFrame:
@@ -30,8 +35,8 @@ def inherited(chain: DataFrame) -> DataFrame:
 def visible_groups(groups: DataFrame) -> DataFrame:
     """(doc_id, group_id) shown of (doc_id, group_id, base_on, listed_on, listed_off, radio): lists override the base state, a radio group shows its first."""
     shown = groups.where((F.col("base_on") & ~F.col("listed_off")) | F.col("listed_on"))
-    own = Window.partitionBy("doc_id", "radio").orderBy("group_id")
-    return shown.withColumn("place", F.row_number().over(own)).where("radio is null or place = 1").select("doc_id", "group_id")
+    first = shown.where("radio is not null").groupBy("doc_id", "radio").agg(F.min("group_id").alias("group_id"))
+    return shown.where("radio is null").select("doc_id", "group_id").unionByName(first.select("doc_id", "group_id"))
 
 
 def membership(policy: Column, states: Column) -> Column:
@@ -41,35 +46,52 @@ def membership(policy: Column, states: Column) -> Column:
 
 
 def cmap_ranges(cmaps: DataFrame) -> DataFrame:
-    """(cmap_id, first, last, target) of CMap texts (cmap_id, text): bfrange rows, and bfchar rows as ranges of one."""
+    """(cmap_id, first, last, head, unit) of CMap texts (cmap_id, text): bfrange rows, their arrays element by element, and bfchar rows as ranges of one.
+
+    What a code stands for is UTF-16BE: ``head`` in hex, then the 16-bit ``unit`` to which a code's distance from ``first`` is added.
+    """
     hexa = r"<([0-9A-Fa-f]+)>\s*"
+    listed = hexa * 2 + r"\[([^\]]*)\]"
     inner = lambda kind: F.array_join(F.regexp_extract_all("text", F.lit(rf"(?s)begin{kind}(.*?)end{kind}"), 1), "\n")
     number = lambda s: F.conv(s, 16, 10).cast("long")
 
-    def rows(kind: str, pattern: str) -> DataFrame:
-        each = cmaps.select("cmap_id", F.explode(F.regexp_extract_all(inner(kind), F.lit(f"({pattern})"), 1)).alias("row"))
-        part = lambda k: number(F.regexp_extract("row", pattern, k))
-        return each.select("cmap_id", part(1).alias("first"), part(2 if kind == "bfrange" else 1).alias("last"), part(3 if kind == "bfrange" else 2).alias("target"))
+    def each(body: Column, pattern: str) -> DataFrame:
+        return cmaps.select("cmap_id", F.explode(F.regexp_extract_all(body, F.lit(f"({pattern})"), 1)).alias("row"))
 
-    return rows("bfrange", hexa * 3).unionByName(rows("bfchar", hexa * 2))
+    part = lambda pattern, k: F.regexp_extract("row", pattern, k)
+    plain = each(F.regexp_replace(inner("bfrange"), listed, ""), hexa * 3).select("cmap_id", number(part(hexa * 3, 1)).alias("first"), number(part(hexa * 3, 2)).alias("last"), part(hexa * 3, 3).alias("to"))
+    lists = each(inner("bfrange"), listed).select("cmap_id", number(part(listed, 1)).alias("first"), F.posexplode(F.regexp_extract_all(part(listed, 3), F.lit(hexa), 1)).alias("at", "to"))
+    lists = lists.select("cmap_id", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"), "to")
+    single = each(inner("bfchar"), hexa * 2).select("cmap_id", number(part(hexa * 2, 1)).alias("first"), number(part(hexa * 2, 1)).alias("last"), part(hexa * 2, 2).alias("to"))
+    both = plain.unionByName(lists).unionByName(single).withColumn("to", F.when(F.length("to") < 4, F.lpad("to", 4, "0")).otherwise(F.col("to")))
+    return both.select("cmap_id", "first", "last", F.expr("substring(to, 1, length(to) - 4)").alias("head"), number(F.expr("substring(to, -4, 4)")).alias("unit"))
 
 
 def decode_codes(codes: DataFrame, ranges: DataFrame, width: int = 256) -> DataFrame:
-    """``codes`` (…, cmap_id, code) with ``char``: a range join on buckets of ``width`` codes, so that it stays an equi-join."""
+    """``codes`` (…, cmap_id, code) with ``char``, null where no range holds the code: a range join on buckets of ``width`` codes, so that it stays an equi-join."""
     spread = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
     own = codes.withColumn("bucket", F.floor(F.col("code") / width))
-    found = own.join(spread, ["cmap_id", "bucket"], "left").where("first is null or code between first and last")
-    return found.select(*codes.columns, F.char(F.col("target") + F.col("code") - F.col("first")).alias("char"))
+    inside = (own["cmap_id"] == spread["cmap_id"]) & (own["bucket"] == spread["bucket"]) & own["code"].between(spread["first"], spread["last"])
+    found = own.join(spread, inside, "left").drop(spread["cmap_id"])
+    units = F.concat("head", F.lpad(F.hex(F.col("unit") + F.col("code") - F.col("first")), 4, "0"))
+    return found.select(*codes.columns, F.decode(F.unhex(units), "UTF-16BE").alias("char"))
 
 
 def xmp_properties(packets: DataFrame) -> DataFrame:
-    """(doc_id, key, value): simple properties of XMP packets (doc_id, packet), with their prefixes."""
-    pattern = r"<([A-Za-z]+:[A-Za-z]+)>([^<]*)</\1>"
-    each = packets.select("doc_id", F.explode(F.regexp_extract_all("packet", F.lit(pattern), 0)).alias("x"))
-    text = F.regexp_extract("x", pattern, 2)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    """(doc_id, key, value): properties of XMP packets (doc_id, packet) with their prefixes: plain ones, each item of alternatives, lists and bags, attributes of descriptions."""
+    name = r"[A-Za-z_][\w.-]*:[A-Za-z_][\w.-]*"
+    simple, items = rf"<({name})(?:\s[^>]*)?>([^<]*)</\1>", rf"(?s)<({name})(?:\s[^>]*)?>\s*<rdf:(?:Alt|Seq|Bag)>(.*?)</rdf:(?:Alt|Seq|Bag)>\s*</\1>"
+    item, described, attribute = r"(?s)<rdf:li(?:\s[^>]*)?>(.*?)</rdf:li>", r"(?s)<rdf:Description\s([^>]*)>", rf"({name})\s*=\s*[\"']([^\"']*)[\"']"
+    row = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    every = lambda text, pattern, k=0: F.regexp_extract_all(text, F.lit(pattern), k)
+    plain = F.transform(every(F.col("packet"), simple), lambda x: row(F.regexp_extract(x, simple, 1), F.regexp_extract(x, simple, 2)))
+    listed = F.flatten(F.transform(every(F.col("packet"), items), lambda x: F.transform(every(F.regexp_extract(x, items, 2), item, 1), lambda v: row(F.regexp_extract(x, items, 1), v))))
+    given = F.transform(F.flatten(F.transform(every(F.col("packet"), described, 1), lambda x: every(x, attribute))), lambda x: row(F.regexp_extract(x, attribute, 1), F.regexp_extract(x, attribute, 2)))
+    each = packets.select("doc_id", F.explode(F.concat(plain, listed, given)).alias("x")).select("doc_id", "x.*").where("key not like 'rdf:%' and key not like 'xmlns:%' and key not like 'xml:%'")
+    text = F.col("value")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return each.select("doc_id", F.regexp_extract("x", pattern, 1).alias("key"), text.alias("value"))
+    return each.select("doc_id", "key", text.alias("value"))
 
 
 #: XMP properties and the Info entries that say the same.
@@ -156,14 +178,3 @@ def nearest_names(names: DataFrame, known: list[str], most: int = 2) -> DataFram
     options = F.array(*(F.struct(F.levenshtein("name", F.lit(k)).alias("distance"), F.lit(k).alias("nearest")) for k in known))
     best = F.array_min(options)
     return names.withColumn("b", best).where(F.col("b.distance") <= most).select("name", "b.nearest", F.col("b.distance").cast("long").alias("distance"))
-
-
-def content_kind(data: Column) -> Column:
-    """Text by its share of letters, structured by its brackets, else binary."""
-    letters = F.length(F.regexp_replace(data, r"[^A-Za-z\s]", "")) / F.greatest(F.length(data), F.lit(1))
-    brackets = F.length(F.regexp_replace(data, r"[^\[\]{}<>:]", "")) / F.greatest(F.length(data), F.lit(1))
-    return F.when(brackets > 0.1, "Structured").when(letters > 0.8, "Text").otherwise("Binary")
-
-
-def compression_choice(kind: Column) -> Column:
-    return F.when(kind == "Text", "Flate").when(kind == "Structured", "LZW").otherwise("RunLength")

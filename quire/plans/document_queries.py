@@ -8,6 +8,7 @@ from ..functions import codecs
 from ..operators import conformance
 from ..sources import pdf
 from ..sources.bridge import table
+from ..sources.shared import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,7 +60,7 @@ def parsed_references(spark, d):
 @_register("@all SELECT doc_id, CASE WHEN revised THEN 'Revised' ELSE concat('Document (', doc_id, ')') END AS title, 'Quire' AS producer FROM d")
 def parsed_info(spark, d):
     rows = pdf.objects(_rows(spark, d)).where("node_id = '3 0'")
-    text = lambda name: F.substring(F.get_json_object("value", f"$.{name}"), 2, 1000)
+    text = lambda name: F.expr(f"substring(get_json_object(value, '$.{name}'), 2)")
     return rows.select("doc_id", text("Title").alias("title"), text("Producer").alias("producer"))
 
 
@@ -102,23 +103,51 @@ for _name, _p in (("validate_base", "PDF-2.0"), ("validate_archive", "PDF/A-1b")
 
 @_register("@all SELECT doc_id, CAST(f AS BIGINT) AS failed, CAST(7 - f AS BIGINT) AS passed, f = 0 AS is_valid FROM (SELECT doc_id, encrypted::INT + js::INT + uri::INT + file::INT AS f FROM d)")
 def validation_report(spark, d):
-    rows = _rows(spark, d)
-    return conformance.report(conformance.issues(rows, "PDF/A-1b"), pdf.documents(rows), "PDF/A-1b")
+    return conformance.report(_rows(spark, d), "PDF/A-1b")
 
 
-@_register("@all SELECT doc_id, (10 - broken::INT - has_trailing::INT) / 10 AS integrity, CASE WHEN broken AND has_trailing THEN 'PartiallyRecovered' ELSE 'Healthy' END AS level FROM d")
+@_register("@all SELECT doc_id, i AS integrity, i AS score, CASE WHEN i = 1 THEN 'Healthy' ELSE 'Damaged' END AS level FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 2 AND NOT has_trailing THEN 1.0 ELSE 2 / 3 END::DOUBLE AS i FROM d)")
 def document_health(spark, d):
-    return conformance.health(_rows(spark, d))
+    """A file ends with its end mark only where the line break after it is cut off, here for one in four."""
+    files = pdf.rendered(table(spark, d, "documents").where("text is not null"))
+    cut = F.expr("CASE WHEN doc_id % 4 = 2 AND substring(content, -1, 1) = X'0A' THEN substring(content, 1, octet_length(content) - 1) ELSE content END")
+    return conformance.health(stored(pdf.parse(files.withColumn("content", cut)), "rows"))
+
+
+@_register("""@all SELECT doc_id, 'TrailingData' AS "check", CAST(1 AS BIGINT) AS n FROM d WHERE has_trailing UNION ALL SELECT doc_id, 'MultipleEOF', 2 FROM d WHERE revised UNION ALL SELECT doc_id, 'MultipleStartXref', 2 FROM d WHERE revised AND broken
+ UNION ALL SELECT doc_id, 'TrailerSizeMismatch', 10 - 3 - js::INT - 2 * uri::INT - file::INT - revised::INT FROM d""")
+def document_heuristics(spark, d):
+    return pdf.heuristics(_rows(spark, d))
+
+
+def signature_hits(spark, d):
+    """Signatures of other formats in the written files; compressed bytes are beyond SQL, tests compare with a plain search."""
+    return pdf.signature_hits(pdf.rendered(table(spark, d, "documents").where("text is not null")))
+
+
+QUERIES["signature_hits"] = signature_hits
+
+
+@_register("""@all SELECT doc_id, unnest(['Child', 'Content', 'Parent', 'Annotation', 'Action', 'Name']) AS edge_type, unnest([n_pages + 1, n_pages, n_pages, uri::BIGINT, uri::BIGINT + js::BIGINT, file::BIGINT]) AS n FROM d""")
+def parsed_edges(spark, d):
+    kinds = ["Child", "Content", "Parent", "Annotation", "Action", "Name"]
+    by = pdf.typed_edges(pdf.objects(_rows(spark, d))).groupBy("doc_id").agg(*(F.count_if(F.col("edge_type") == k).alias(k) for k in kinds))
+    return by.unpivot("doc_id", kinds, "edge_type", "n")
+
+
+@_register("@all SELECT doc_id, CAST(i AS INT) AS page, CAST(10 + 2 * (i - 1) AS INT) AS obj FROM (SELECT doc_id, unnest(generate_series(1, n_pages)) AS i FROM d)")
+def parsed_page_order(spark, d):
+    nodes = stored(pdf.objects(_rows(spark, d)).where("node_type in ('Catalog', 'Pages', 'Page')").drop("stream"), "objects")
+    return pdf.page_order(nodes).select("doc_id", "page", F.split("node_id", " ")[0].cast("int").alias("obj"))
 
 
 @_register("SELECT doc_id, f AS filter, md5(text) AS digest FROM documents, unnest(['ASCIIHexDecode', 'ASCII85Decode', 'FlateDecode', 'LZWDecode', 'RunLengthDecode', 'ASCII85Decode,FlateDecode']) AS t(f) WHERE text IS NOT NULL")
 def codec_round_trip(spark, d):
+    """Every text through every chain and back: a text crosses to Python once, with all chains."""
     chains = [*codecs.ENCODERS, "ASCII85Decode,FlateDecode"]
-    docs = table(spark, d, "documents").where("text is not null")
-    each = docs.select("doc_id", F.explode(F.array(*map(F.lit, chains))).alias("filter"), F.encode("text", "UTF-8").alias("data"))
-    encoded = codecs.encode_streams(each.withColumn("filters", F.split("filter", ",")))
-    back = codecs.decode_streams(encoded.select("doc_id", "filter", "filters", F.col("encoded").alias("data")))
-    return back.select("doc_id", "filter", F.md5("decoded").alias("digest"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    back = codecs.round_trips(docs, chains)
+    return back.select("doc_id", F.posexplode("decoded").alias("k", "body")).select("doc_id", F.get(F.array(*map(F.lit, chains)), F.col("k")).alias("filter"), F.md5("body").alias("digest"))
 
 
 @_register("SELECT o_orderkey, md5(concat_ws('|', o_orderpriority, o_orderstatus)) AS digest FROM orders")

@@ -65,9 +65,11 @@ def type_histogram(spark, d):
 
 @_register("@all SELECT s.node_type AS src_type, e.edge_type, t.node_type AS dst_type, count(*) AS n FROM edges e JOIN nodes s ON e.src = s.node_id JOIN nodes t ON e.dst = t.node_id GROUP BY ALL")
 def edge_type_histogram(spark, d):
+    """Ends are looked up by (node_id, type) alone; what is counted first is the types on the source's side of each target."""
     nodes, edges = _graph(spark, d)
     src, dst = (nodes.select(F.col("node_id").alias(c), F.col("node_type").alias(f"{c}_type")) for c in ("src", "dst"))
-    return edges.join(src, "src").join(dst, "dst").groupBy("src_type", "edge_type", "dst_type").agg(F.count(F.lit(1)).alias("n"))
+    by_target = edges.join(src, "src").groupBy("dst", "edge_type", "src_type").agg(F.count(F.lit(1)).alias("n"))
+    return by_target.join(dst, "dst").groupBy("src_type", "edge_type", "dst_type").agg(F.sum("n").alias("n"))
 
 
 @_register("@all SELECT c.src, c.dst, n.node_type, c.ord FROM child c JOIN nodes n ON c.dst = n.node_id")
@@ -108,12 +110,15 @@ WALK = "w(node_id, depth, path) AS (SELECT 'root', 0, 'root' UNION ALL SELECT c.
 
 def _from_root(spark, d, **more) -> DataFrame:
     edges = object_edges(spark, d).where("edge_type = 'Child'")
-    return graph.walk(edges, spark.range(1).select(F.lit("root").alias("node_id")), **more)
+    start = spark.range(1).select(F.lit("root").alias("node_id"))
+    if more.get("step"):
+        edges, start = edges.withColumn("step", F.col("dst")), start.withColumn("step", F.col("node_id"))
+    return graph.walk(edges, start, **more)
 
 
 @_register(f"@all, {WALK} SELECT node_id, path, CAST(depth AS BIGINT) AS depth FROM w")
 def path_to_root(spark, d):
-    return _from_root(spark, d).select("node_id", "path", F.col("depth").cast("long").alias("depth"))
+    return _from_root(spark, d, step="step").select("node_id", "path", F.col("depth").cast("long").alias("depth"))
 
 
 @_register(f"@all, {WALK} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM w GROUP BY depth")
@@ -137,7 +142,7 @@ def max_depth(spark, d):
 def depth_first_order(spark, d):
     """The key that sorts nodes in pre-order."""
     key = F.array_join(F.transform(F.split("path", "/"), lambda x: F.lpad(x, 14, "0")), "/")
-    return _from_root(spark, d).select("node_id", key.alias("sort_key"))
+    return _from_root(spark, d, step="step").select("node_id", key.alias("sort_key"))
 
 
 @_register("""@all, u(origin, node_id) AS (SELECT node_id, node_id FROM nodes WHERE node_type IN ('Catalog', 'Pages', 'Page')
@@ -167,9 +172,6 @@ def cyclic_structure(spark, d):
     """Parent links added in two documents; what peeling leaves is their cycles and what leads into them."""
     edges = object_edges(spark, d).where("edge_type = 'Child'").select("src", "dst")
     back = table(spark, d, "nation").where("n_regionkey in (1, 3)").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("dst"))
-    from ..sources.shared import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     return graph.cyclic(edges.unionByName(back))
 
 
@@ -297,3 +299,67 @@ def most_used_fonts(spark, d):
     uses = edges.where("dst like 'p%'").join(nodes.select(F.col("node_id").alias("src"), "doc_id"), "src").groupBy("doc_id", "dst").agg(F.count(F.lit(1)).alias("uses"))
     own = Window.partitionBy("doc_id").orderBy(F.desc("uses"), "dst")
     return uses.withColumn("place", F.row_number().over(own).cast("long")).where("place <= 3").select("doc_id", F.col("dst").alias("font"), "uses", "place")
+
+
+@_register("@all SELECT concat('r', n_regionkey) AS node_id, concat('n', n_nationkey) AS new_parent, true AS cycle FROM nation UNION ALL SELECT concat('n', n_nationkey), concat('r', (n_regionkey + 1) % 5), false FROM nation")
+def cycle_checks(spark, d):
+    nations = table(spark, d, "nation")
+    up = nations.select(F.concat(F.lit("r"), "n_regionkey").alias("node_id"), F.concat(F.lit("n"), "n_nationkey").alias("new_parent"))
+    side = nations.select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), (F.col("n_regionkey") + 1) % 5).alias("new_parent"))
+    return graph.would_create_cycle(object_edges(spark, d), up.unionByName(side))
+
+
+@_register("SELECT concat('r', n_regionkey) AS node_id, concat('n', n_nationkey) AS new_parent, 'cycle' AS problem FROM nation UNION ALL SELECT concat('c', c_custkey), concat('r', c_nationkey % 5), 'type' FROM customer UNION ALL SELECT concat('n', n_nationkey), 'x', 'missing' FROM nation")
+def move_problems(spark, d):
+    nodes, edges = _graph(spark, d)
+    nations, customers = table(spark, d, "nation"), table(spark, d, "customer")
+    pair = lambda df, a, b: df.select(a.alias("node_id"), b.alias("new_parent"))
+    nation = F.concat(F.lit("n"), "n_nationkey")
+    moves = pair(nations, F.concat(F.lit("r"), "n_regionkey"), nation).unionByName(pair(nations, nation, F.lit("x"))).unionByName(pair(nations, nation, F.concat(F.lit("r"), (F.col("n_regionkey") + 1) % 5)))
+    moves = moves.unionByName(pair(customers, F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("r"), F.col("c_nationkey") % 5)))
+    return graph.validate_moves(nodes, edges, moves)
+
+
+@_register("@all SELECT CASE WHEN node_type = 'Annotation' AND v1 = 'F' THEN 'Archived' ELSE node_type END AS node_type, count(*) AS n FROM nodes GROUP BY ALL")
+def replaced_nodes(spark, d):
+    nodes = object_nodes(spark, d)
+    new = nodes.where("node_type = 'Annotation' and props['Status'] = 'F'").select("node_id", F.lit("Archived").alias("node_type"), "props")
+    return graph.replace_nodes(nodes, new).groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("@all, o AS (SELECT concat('c', c_custkey) AS src, concat('new', c_custkey) AS dst FROM customer) SELECT o.src, o.dst, CAST(coalesce(m.last, -1) + 1 AS BIGINT) AS ord FROM o LEFT JOIN (SELECT src, max(ord) AS last FROM child GROUP BY src) m USING (src)")
+def inserted_nodes(spark, d):
+    nodes, edges = _graph(spark, d)
+    new = nodes.where("node_type = 'Page'").select(F.col("node_id").alias("parent"), "doc_id", F.concat(F.lit("new"), F.expr("substring(node_id, 2)")).alias("node_id"), F.lit("Annotation").alias("node_type"), "obj", "props")
+    _, grown = graph.insert_nodes(nodes, edges, new.unionByName(new.withColumn("parent", F.lit("nowhere")).withColumn("node_id", F.concat("node_id", F.lit("x")))))
+    return grown.where("dst like 'new%'").select("src", "dst", "ord")
+
+
+@_register("@all SELECT n.node_type, count(*) AS n, (SELECT count(*) FROM edges e JOIN nodes s ON e.src = s.node_id WHERE s.doc_id = 2) + 1 AS n_edges FROM nodes n WHERE doc_id = 2 GROUP BY n.node_type")
+def cloned_subtree(spark, d):
+    nodes, edges = _graph(spark, d)
+    copies, links = graph.clone_subtrees(nodes, edges, spark.range(1).select(F.lit("r2").alias("node_id"), F.lit("root").alias("new_parent")))
+    return copies.groupBy("node_type").agg(F.count(F.lit(1)).alias("n")).crossJoin(links.agg(F.count(F.lit(1)).alias("n_edges")))
+
+
+def _name_trees(spark, d):
+    """Customers' names in one tree a region: a nation's node holds the names of its customers."""
+    nations = table(spark, d, "nation")
+    trees = table(spark, d, "region").select(F.col("r_name").alias("tree"), F.concat(F.lit("r"), "r_regionkey").alias("node_id"))
+    kids = nations.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    entries = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("node_id"), F.col("c_name").alias("key"), F.col("c_custkey").alias("value"))
+    return trees, kids, entries
+
+
+@_register("SELECT r_name AS tree, c_name AS key, c_custkey AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def name_tree_entries(spark, d):
+    return graph.tree_entries(*_name_trees(spark, d))
+
+
+@_register("SELECT r_name AS tree, c_name AS key, c_custkey AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'")
+def name_tree_lookup(spark, d):
+    """The names of one market segment looked up in every region's tree."""
+    trees, kids, entries = _name_trees(spark, d)
+    limits = entries.groupBy("node_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    asked = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.explode(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")))).alias("tree"), F.col("c_name").alias("key"))
+    return graph.tree_lookup(trees, limits, kids, entries, asked)

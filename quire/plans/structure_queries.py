@@ -23,13 +23,18 @@ def _register(sql: str):
     return add
 
 
-@_register("""WITH i AS (SELECT concat('r', r_regionkey) AS item, NULL AS parent FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer)
- SELECT i.item, CASE WHEN i.parent IS NULL THEN 0 WHEN i.item LIKE 'n%' THEN 1 ELSE 2 END AS level, concat_ws('/', p.parent, i.parent, i.item) AS path FROM i LEFT JOIN i p ON i.parent = p.item""")
+@_register("""WITH i AS (SELECT concat('r', r_regionkey) AS item, NULL AS parent, -r_regionkey AS ord FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), -n_nationkey FROM nation UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), -c_custkey FROM customer),
+ k AS (SELECT *, lpad(CAST(row_number() OVER (PARTITION BY parent ORDER BY ord, item) AS VARCHAR), 10, '0') AS at FROM i)
+ SELECT i.item, CASE WHEN i.parent IS NULL THEN 0 WHEN i.item LIKE 'n%' THEN 1 ELSE 2 END AS level, concat_ws('/', p.parent, i.parent, i.item) AS path, concat_ws('/', g.at, p.at, i.at) AS place FROM k i LEFT JOIN k p ON i.parent = p.item LEFT JOIN k g ON p.parent = g.item""")
 def outline_items(spark, d):
     ident = lambda p, c: F.concat(F.lit(p), F.col(c))
-    items = table(spark, d, "region").select(ident("r", "r_regionkey").alias("item"), F.lit(None).cast("string").alias("parent"))
-    items = items.unionByName(table(spark, d, "nation").select(ident("n", "n_nationkey").alias("item"), ident("r", "n_regionkey").alias("parent")))
-    items = items.unionByName(table(spark, d, "customer").select(ident("c", "c_custkey").alias("item"), ident("n", "c_nationkey").alias("parent")))
+
+    def rows(name, own, parent):
+        return table(spark, d, name).select(own[1].alias("item"), parent.alias("parent"), (-F.col(own[0])).cast("long").alias("ord"))
+
+    items = rows("region", ("r_regionkey", ident("r", "r_regionkey")), F.lit(None).cast("string"))
+    items = items.unionByName(rows("nation", ("n_nationkey", ident("n", "n_nationkey")), ident("r", "n_regionkey")))
+    items = items.unionByName(rows("customer", ("c_custkey", ident("c", "c_custkey")), ident("n", "c_nationkey")))
     return structure.outline_items(items)
 
 
@@ -59,23 +64,23 @@ def membership_policies(spark, d):
     return states.select("o_custkey", structure.membership(policy, F.col("states")).alias("visible"))
 
 
-@_register("SELECT o_orderkey, o_orderpriority AS text FROM orders")
+@_register("SELECT o_orderkey, replace(replace(replace(o_orderpriority, 'O', '文'), 'L', 'fi'), 'W', 'Ωω') AS text FROM orders")
 def cmap_decoded(spark, d):
-    """Priorities coded as two-byte codes 256 above the character, decoded by a CMap of one range and one single character."""
-    cmap = spark.createDataFrame([(1, "1 beginbfrange\n<0121> <017e> <0021>\nendbfrange\n1 beginbfchar\n<0120> <0020>\nendbfchar")], "cmap_id int, text string")
+    """Priorities coded as two-byte codes 256 above the character, decoded by a CMap of ranges, a list and single characters, some of them beyond Latin-1 or two characters."""
+    cmap = spark.createDataFrame([(1, "2 beginbfrange\n<0121> <014b> <0021>\n<0158> <017e> <0058>\nendbfrange\n1 beginbfrange\n<014c> <014f> [<00660069> <004D> <004E>\n<6587>]\n<0150> <0156> <0050>\nendbfrange\n2 beginbfchar\n<0120> <0020>\n<0157> <03A903C9>\nendbfchar")], "cmap_id int, text string")
     codes = table(spark, d, "orders").select("o_orderkey", F.posexplode(F.transform(F.split("o_orderpriority", ""), lambda c: F.ascii(c) + 256)).alias("at", "code"), F.lit(1).alias("cmap_id"))
     chars = structure.decode_codes(codes.where("code > 256"), structure.cmap_ranges(cmap))
     return chars.groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "char"))), lambda x: x["char"]), "").alias("text"))
 
 
-PACKET = "<x:xmpmeta><rdf:RDF><rdf:Description><dc:title>%s</dc:title><pdf:Producer>%s</pdf:Producer></rdf:Description></rdf:RDF></x:xmpmeta>"
+PACKET = '<x:xmpmeta><rdf:RDF><rdf:Description rdf:about="" pdf:Producer="%2$s"><dc:title>\n<rdf:Alt><rdf:li xml:lang="x-default">%1$s</rdf:li></rdf:Alt></dc:title><xmp:Label>%2$s</xmp:Label></rdf:Description></rdf:RDF></x:xmpmeta>'
 
 
 def _packets(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.format_string(PACKET, "p_name", "p_brand").alias("packet"))
 
 
-@_register("SELECT p_partkey AS doc_id, 'dc:title' AS key, p_name AS value FROM part UNION ALL SELECT p_partkey, 'pdf:Producer', p_brand FROM part")
+@_register("SELECT p_partkey AS doc_id, 'dc:title' AS key, p_name AS value FROM part UNION ALL SELECT p_partkey, unnest(['pdf:Producer', 'xmp:Label']), p_brand FROM part")
 def xmp_properties(spark, d):
     return structure.xmp_properties(_packets(spark, d))
 
@@ -102,12 +107,13 @@ def aes_round_trip(spark, d):
     return coded.select("o_orderkey", F.md5(F.aes_decrypt("coded", key, F.lit("CBC"), F.lit("PKCS"))).alias("digest"))
 
 
-@_register("SELECT doc_id, sha256(concat(substr(t, 1, 20), substr(t, 31))) AS digest FROM (SELECT doc_id, concat(doc_id, repeat('x', 60)) AS t FROM documents)")
+@_register("SELECT doc_id, sha256(unhex(concat(substr(h, 1, 2 * (n // 3)), substr(h, 2 * (n // 3 + n // 5) + 1)))) AS digest FROM (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL)")
 def signature_digests(spark, d):
-    content = F.encode(F.concat(F.col("doc_id").cast("string"), F.repeat(F.lit("x"), F.lit(60))), "UTF-8")
-    docs = table(spark, d, "documents").select("doc_id", content.alias("content"))
-    spans = F.array(F.lit(0), F.lit(20), F.lit(30), F.octet_length("content") - 30)
-    return docs.select("doc_id", structure.signed_digest(F.col("content"), spans).alias("digest"))
+    """The digest over each text's bytes but a fifth of them, where its signature would lie."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    size = F.octet_length("content")
+    gap, length = F.floor(size / 3), F.floor(size / 5)
+    return docs.select("doc_id", structure.signed_digest(F.col("content"), F.array(F.lit(0), gap, gap + length, size - gap - length)).alias("digest"))
 
 
 @_register(f"{text_queries.ALL} SELECT doc_id, CASE WHEN strlen(text) > 10000 THEN 'size' WHEN contains(lower(text), 'javascript:') THEN 'pattern javascript:' WHEN contains(lower(text), 'eval(') THEN 'pattern eval(' END AS violation, md5(replace(replace(text, 'javascript:', '[removed]'), 'eval(', '[removed]')) AS cleaned FROM texts")
@@ -117,9 +123,9 @@ def hardening(spark, d):
     return text_queries._texts(spark, d).select("doc_id", structure.first_violation(text).alias("violation"), cleaned.alias("cleaned"))
 
 
-@_register("SELECT l_suppkey AS element, string_agg(l_returnflag, ' ' ORDER BY l_orderkey, l_linenumber, l_returnflag) AS text FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_suppkey")
+@_register("SELECT l_suppkey AS element, string_agg(l_returnflag, ' ' ORDER BY l_orderkey, l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY l_suppkey")
 def structure_texts(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    lines = table(spark, d, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
     own = lines.withColumn("mcid", F.row_number().over(order))
     marks = own.select(F.col("l_suppkey").alias("element"), F.col("l_orderkey").alias("page"), "mcid")
@@ -132,10 +138,23 @@ def nearest_names(spark, d):
     return structure.nearest_names(names, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
 
 
-@_register(r"WITH k AS (SELECT event_id, CASE WHEN length(regexp_replace(props, '[^\[\]{}<>:]', '', 'g')) / greatest(length(props), 1) > 0.1 THEN 'Structured' WHEN length(regexp_replace(props, '[^A-Za-z\s]', '', 'g')) / greatest(length(props), 1) > 0.8 THEN 'Text' ELSE 'Binary' END AS kind FROM events) SELECT event_id, kind, CASE kind WHEN 'Text' THEN 'Flate' WHEN 'Structured' THEN 'LZW' ELSE 'RunLength' END AS algorithm FROM k")
+def _times(marks):
+    return " + ".join(f"(strlen(t) - strlen(replace(t, {text_queries._quote(m)}, ''))) / {len(m)}" for m in marks)
+
+
+@_register(f"""WITH d AS (SELECT doc_id, text AS t, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT *, CASE WHEN n > 0 AND (len(list_filter(generate_series(1, least(n, 1000) * 2 - 1, 2), lambda i: substr(h, i, 1) < '8')) / least(n, 1000) > 0.8 OR {" OR ".join(f"contains(t, '{m}')" for m in rules.TEXT_MARKS)}) THEN 'Text' WHEN {_times(rules.VECTOR_OPS)} > n // 100 THEN 'Vector' WHEN {_times(rules.STRUCTURE_MARKS)} > n // 50 THEN 'Structured' ELSE 'Binary' END AS kind FROM d)
+ SELECT doc_id, kind, CASE kind WHEN 'Binary' THEN 'LZW' ELSE 'Flate' END AS algorithm FROM k""")
 def content_kinds(spark, d):
-    kind = structure.content_kind(F.col("props"))
-    return table(spark, d, "events").select("event_id", kind.alias("kind"), structure.compression_choice(kind).alias("algorithm"))
+    text = F.col("text")
+    kind = rules.content_kind(text)
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", kind.alias("kind"))
+    return docs.select("doc_id", "kind", rules.compression_choice(F.col("kind"), F.lit(False)).alias("algorithm"))
+
+
+@_register("WITH d AS (SELECT doc_id, strlen(text) AS n, hex(encode(text))[1:2000] AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, n, unnest(list_transform(generate_series(1, length(h) - 1, 2), lambda i: substr(h, i, 2))) AS b FROM d), c AS (SELECT doc_id, n, b, count(*) AS times FROM b GROUP BY ALL) SELECT d.doc_id, d.n >= 1000 AND coalesce(max(times), 0) > 100 AS repetitive FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id, d.n")
+def repetitive_contents(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.coalesce(rules.is_repetitive(F.col("text")), F.lit(False)).alias("repetitive"))
 
 
 @_register("SELECT p_type AS kind, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY p_type")
@@ -170,10 +189,14 @@ def document_similarity(spark, d):
     return a.join(b, "doc_b").select("doc_a", "doc_b", F.round(sim, 6).alias("similarity"))
 
 
-@_register("SELECT c_mktsegment, count(*) FILTER (c_acctbal < 0) AS critical, CASE WHEN count(*) FILTER (c_acctbal < 0) = 0 THEN 'Full' WHEN count(*) FILTER (c_acctbal < 0) * 10 < count(*) THEN 'Partial' ELSE 'None' END AS level FROM customer GROUP BY c_mktsegment")
+@_register("WITH p AS (SELECT page_id, (NOT regexp_matches(html, '<html[^>]*\\slang='))::INT + (NOT contains(html, '<title>'))::INT AS errors, (NOT contains(html, '<h1'))::INT + (contains(html, '<ul>') AND NOT contains(html, '<li'))::INT + (contains(html, '<br>'))::INT AS warnings FROM pages WHERE html IS NOT NULL) SELECT page_id, CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings, round(greatest(0, 1 - (errors * 0.5 + warnings * 0.2) / 10), 6) AS score, CASE WHEN errors = 0 AND warnings = 0 THEN 'AAA' WHEN errors = 0 AND warnings <= 5 THEN 'AA' WHEN errors <= 2 THEN 'A' ELSE 'NonCompliant' END AS level FROM p")
 def accessibility_summary(spark, d):
-    by = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count_if(F.col("c_acctbal") < 0).alias("critical"), F.count(F.lit(1)).alias("n"))
-    return by.select("c_mktsegment", "critical", F.when(F.col("critical") == 0, "Full").when(F.col("critical") * 10 < F.col("n"), "Partial").otherwise("None").alias("level"))
+    """Compliance of pages: no language or title is an error; no heading, an empty list and breaks for layout are warnings."""
+    html = F.col("html")
+    flag = lambda c: c.cast("long")
+    found = table(spark, d, "pages").where("html is not null").select("page_id", (flag(~html.rlike(r"<html[^>]*\slang=")) + flag(~html.contains("<title>"))).alias("errors"), (flag(~html.contains("<h1")) + flag(html.contains("<ul>") & ~html.contains("<li")) + flag(html.contains("<br>"))).alias("warnings"))
+    e, w = F.col("errors"), F.col("warnings")
+    return found.select("page_id", "errors", "warnings", F.round(rules.compliance_score(e, w), 6).alias("score"), rules.compliance_level(e, w).alias("level"))
 
 
 @_register("SELECT conv_id, count(*) AS n_turns, list_sort(list(DISTINCT role)) [1] AS first_role, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id")

@@ -43,20 +43,29 @@ def _texts(spark, d):
 JS, BAD = _any("lower(text)", rules.JAVASCRIPT), _any("lower(text)", rules.SUSPICIOUS)
 IP = r"regexp_matches(lower(url), 'https?://[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')"
 URL_BAD = f"({IP} OR {_any('lower(url)', rules.BAD_TLDS + rules.SHORTENERS + rules.BAD_PATHS)})"
-URL_LEAK = f"({_any('lower(url)', rules.LEAKS)} OR coalesce(strlen(url) > 100 AND strlen(regexp_extract(url, '^[^?]*\\?(.*)$', 1)) > 50 AND regexp_matches(regexp_extract(url, '^[^?]*\\?(.*)$', 1), '^[A-Za-z0-9=&]+$'), false))"
+QUERY = "coalesce(string_split(url, '?')[2], '')"
+URL_LEAK = f"({_any('lower(url)', rules.LEAKS)} OR (contains(url, '=') AND strlen(url) > 100 AND strlen({QUERY}) > 50 AND regexp_full_match({QUERY}, '[A-Za-z0-9=&]+')))"
 URL_THREAT = f"(regexp_matches(lower(url), '^(ftp://|file://|javascript:|data:)') OR {_any('lower(url)', rules.SHORTENERS + rules.LOCAL)} OR len(regexp_extract_all(url, '\\.')) > 6)"
 SPRAY = "(contains(text, 'new Array(') AND (contains(text, '0x') OR regexp_matches(text, '[0-9]{4,}')) AND (contains(text, 'for(') OR contains(text, 'while(')) AND (contains(text, 'new Array')::INT + contains(text, '.length')::INT + contains(text, 'for(')::INT + contains(text, 'String(')::INT) >= 3)"
-NAME = "string_split(text, ' ')[-1]"
-DOUBLE = f"regexp_matches(lower({NAME}), '\\.({'|'.join(rules.DOCUMENT_SUFFIXES)})\\.({'|'.join(rules.PROGRAM_SUFFIXES)})$')"
-PROGRAM = f"regexp_matches(lower({NAME}), '\\.({'|'.join(rules.EXECUTABLES)})$')"
-FIRST_URL = r"regexp_extract(text, '((?:https?|ftp|file)://[^\s'')]+)', 1)"
-FOUND = f"""found AS (SELECT doc_id, 'javascript' AS rule, 'High' AS severity FROM texts WHERE {JS}
- UNION ALL SELECT doc_id, 'suspicious pattern', 'Medium' FROM texts WHERE {BAD}
- UNION ALL SELECT doc_id, 'heap spray', 'Critical' FROM texts WHERE {SPRAY}
- UNION ALL SELECT doc_id, 'suspicious url', 'Medium' FROM (SELECT doc_id, {FIRST_URL} AS url FROM texts) WHERE url <> '' AND {URL_BAD}
- UNION ALL SELECT doc_id, 'exfiltration url', 'High' FROM (SELECT doc_id, {FIRST_URL} AS url FROM texts) WHERE url <> '' AND {URL_LEAK}
- UNION ALL SELECT doc_id, 'double extension', 'Critical' FROM texts WHERE {DOUBLE}
- UNION ALL SELECT doc_id, 'executable name', 'Low' FROM texts WHERE {PROGRAM})"""
+SHELL = r"(len(regexp_extract_all(text, '\\x[0-9a-fA-F]{2}')) > 50 AND (regexp_matches(text, '\\u[0-9a-fA-F]{4}')::INT + contains(text, 'String.fromCharCode')::INT + contains(text, 'unescape(')::INT + contains(text, 'eval(')::INT) >= 1)"
+FEATURES = r"((length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) > strlen(text) * 0.4)::INT + contains(text, 'var ')::INT + regexp_matches(text, '[a-zA-Z_$][a-zA-Z0-9_$]{20,}')::INT + ((length(text) - length(replace(text, '\x', ''))) / 2 > 10)::INT + ((length(text) - length(replace(text, '\u', ''))) / 2 > 5)::INT + (len(regexp_extract_all(text, ' \+ ')) > 20)::INT + (contains(text, 'eval(') AND (contains(text, 'unescape(') OR contains(text, 'fromCharCode')))::INT)"
+DOUBLE = f"regexp_matches(lower(name), '\\.({'|'.join(rules.DOCUMENT_SUFFIXES)})\\.({'|'.join(rules.PROGRAM_SUFFIXES)})$')"
+PROGRAM = f"regexp_matches(lower(name), '\\.({'|'.join(rules.EXECUTABLES)})$')"
+NAMES = r"names AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\v\f\r]+')) AS name FROM texts))"
+FOUND = f"""{NAMES}, once AS (SELECT DISTINCT doc_id, url FROM urls), found AS (SELECT doc_id, 'javascript' AS rule, CASE WHEN {_any('lower(text)', rules.SUSPICIOUS_SCRIPT)} THEN 'High' ELSE 'Medium' END AS severity, '' AS subject FROM texts WHERE {JS}
+ UNION ALL SELECT doc_id, 'obfuscated javascript', 'High', '' FROM texts WHERE {JS} AND {FEATURES} >= 3
+ UNION ALL SELECT doc_id, 'suspicious pattern', 'Medium', '' FROM texts WHERE {BAD}
+ UNION ALL SELECT doc_id, 'heap spray', 'Critical', '' FROM texts WHERE {SPRAY}
+ UNION ALL SELECT doc_id, 'shellcode', 'Critical', '' FROM texts WHERE {SHELL}
+ UNION ALL SELECT doc_id, 'hidden executable', 'Critical', '' FROM texts WHERE contains(lower(text), ' .exe') OR contains(text, chr(8238))
+ UNION ALL SELECT doc_id, 'outbound connection', CASE WHEN {URL_THREAT} THEN 'High' ELSE 'Medium' END, url FROM once
+ UNION ALL SELECT doc_id, 'suspicious url', 'High', url FROM once WHERE {URL_BAD}
+ UNION ALL SELECT doc_id, 'exfiltration url', 'High', url FROM once WHERE {URL_LEAK}
+ UNION ALL SELECT doc_id, 'double extension', 'High', name FROM names WHERE {DOUBLE}
+ UNION ALL SELECT doc_id, 'executable name', 'Critical', name FROM names WHERE {PROGRAM}),
+ facts AS (SELECT doc_id, count(*) FILTER (severity IN ('High', 'Critical')) > 2 AS many, bool_or(rule = 'javascript') AS js, bool_or(rule = 'outbound connection') AS net, bool_or(rule IN ('hidden executable', 'executable name')) AS prog FROM found GROUP BY doc_id),
+ combined AS (SELECT doc_id, 'several grave findings' AS rule, 'Critical' AS severity FROM facts WHERE many UNION ALL SELECT doc_id, 'script with network access', 'High' FROM facts WHERE js AND net UNION ALL SELECT doc_id, 'program with script', 'Critical' FROM facts WHERE prog AND js),
+ every_threat AS (SELECT doc_id, rule, severity FROM found UNION ALL SELECT * FROM combined)"""
 
 
 @_register(f"@all SELECT doc_id, {JS} AS is_javascript, {BAD} AS is_suspicious FROM texts")
@@ -75,10 +84,11 @@ def url_rules(spark, d):
     return findings.urls(_texts(spark, d)).select("doc_id", "url", rules.is_suspicious_url(u).alias("suspicious"), rules.is_exfiltration_url(u).alias("exfiltration"), rules.is_threat_url(u).alias("threat"))
 
 
-@_register(f"@all SELECT doc_id, {DOUBLE} AS double_extension, {PROGRAM} AS executable FROM texts")
+@_register(f"@all, {NAMES} SELECT doc_id, count(*) AS n_names, count(*) FILTER ({DOUBLE}) AS double_extension, count(*) FILTER ({PROGRAM}) AS executable FROM names GROUP BY doc_id")
 def file_name_rules(spark, d):
-    name = F.element_at(F.split("text", " "), -1)
-    return _texts(spark, d).select("doc_id", rules.has_double_extension(name).alias("double_extension"), rules.is_executable_name(name).alias("executable"))
+    names = _texts(spark, d).select("doc_id", F.explode(F.split("text", r"\s+")).alias("name")).distinct()
+    name = F.col("name")
+    return names.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_names"), F.count_if(rules.has_double_extension(name)).alias("double_extension"), F.count_if(rules.is_executable_name(name)).alias("executable"))
 
 
 @_register(f"@all SELECT doc_id, {SPRAY} AS heap_spray FROM texts")
@@ -86,7 +96,7 @@ def heap_spray(spark, d):
     return _texts(spark, d).select("doc_id", rules.is_heap_spray(F.col("text")).alias("heap_spray"))
 
 
-@_register(r"""@all SELECT doc_id, (strlen(regexp_replace(text, '[A-Za-z0-9\s]', '', 'g')) >= 0)::INT - 1 + (length(regexp_replace(text, '[A-Za-z0-9\s]', '', 'g')) > strlen(text) * 0.4)::INT + contains(text, 'var ')::INT + regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]{20,}')::INT + (contains(text, 'eval(') AND (contains(text, 'unescape(') OR contains(text, 'fromCharCode')))::INT AS n_features FROM texts""")
+@_register(f"@all SELECT doc_id, {FEATURES} AS n_features FROM texts")
 def script_obfuscation(spark, d):
     return _texts(spark, d).select("doc_id", rules.js_features(F.col("text")).alias("n_features"))
 
@@ -96,31 +106,35 @@ def threat_findings(spark, d):
     return findings.threats(_texts(spark, d))
 
 
-@_register(f"@all, {FOUND}, s AS (SELECT doc_id, CAST(least(sum(CASE severity WHEN 'Critical' THEN 100 WHEN 'High' THEN 50 WHEN 'Medium' THEN 20 ELSE 5 END), 1000) AS BIGINT) AS score, bool_or(severity IN ('High', 'Critical')) AS grave FROM found GROUP BY doc_id) SELECT doc_id, score, CASE WHEN score <= 20 THEN 'LOW' WHEN score <= 100 THEN 'MEDIUM' WHEN score <= 200 THEN 'HIGH' ELSE 'CRITICAL' END AS level, score <= 20 AND NOT grave AS safe FROM s")
+@_register(f"@all, {FOUND}, s AS (SELECT doc_id, CAST(least(sum(CASE severity WHEN 'Critical' THEN 100 WHEN 'High' THEN 50 WHEN 'Medium' THEN 20 ELSE 5 END), 1000) AS BIGINT) AS score, bool_or(severity IN ('High', 'Critical')) AS grave FROM every_threat GROUP BY doc_id) SELECT doc_id, score, CASE WHEN score <= 20 THEN 'LOW' WHEN score <= 100 THEN 'MEDIUM' WHEN score <= 200 THEN 'HIGH' ELSE 'CRITICAL' END AS level, score <= 20 AND NOT grave AS safe FROM s")
 def risk_scores(spark, d):
-    return findings.risk(findings.threats(_texts(spark, d)))
+    return findings.risk(findings.all_threats(_texts(spark, d)))
 
 
-@_register(f"""@all, {FOUND}, s AS (SELECT doc_id, count(*) FILTER (severity IN ('High', 'Critical')) > 2 AS many, bool_or(rule = 'javascript') AS js, bool_or(rule IN ('suspicious url', 'exfiltration url')) AS net, bool_or(rule IN ('double extension', 'executable name')) AS prog FROM found GROUP BY doc_id)
- SELECT doc_id, 'several grave findings' AS rule FROM s WHERE many UNION ALL SELECT doc_id, 'script with network access' FROM s WHERE js AND net UNION ALL SELECT doc_id, 'program with script' FROM s WHERE prog AND js""")
+@_register(f"@all, {FOUND} SELECT * FROM combined")
 def combination_rules(spark, d):
     return findings.combinations(findings.threats(_texts(spark, d)))
 
 
-@_register(f"@all, {FOUND} SELECT doc_id, rule, severity FROM found WHERE rule IN ('heap spray', 'double extension')")
+MALWARE = ["heap spray", "shellcode", "several grave findings", "script with network access", "program with script"]
+
+
+@_register(f"@all, {FOUND} SELECT doc_id, rule, severity FROM every_threat WHERE rule IN ({', '.join(map(_quote, MALWARE))})")
 def malware_findings(spark, d):
-    return findings.threats(_texts(spark, d)).where(F.col("rule").isin("heap spray", "shellcode", "double extension"))
+    """Malware and exploits: what scripts do to memory, and the combinations."""
+    return findings.all_threats(_texts(spark, d)).where(F.col("rule").isin(*MALWARE))
 
 
-@_register(f"@all, {FOUND} SELECT doc_id, rule, severity FROM found WHERE rule = 'exfiltration url'")
+@_register(f"@all, {FOUND} SELECT doc_id, subject AS url, severity FROM found WHERE rule = 'exfiltration url'")
 def privacy_findings(spark, d):
-    return findings.threats(_texts(spark, d)).where("rule = 'exfiltration url'")
+    return findings.threats(_texts(spark, d)).where("rule = 'exfiltration url'").select("doc_id", F.col("subject").alias("url"), "severity")
 
 
-@_register(f"@all, {FOUND} SELECT t.doc_id, coalesce(NOT bool_or(f.severity IN ('High', 'Critical')), true) AS passes FROM texts t LEFT JOIN found f ON t.doc_id = f.doc_id GROUP BY t.doc_id")
+@_register(f"@all, {FOUND} SELECT t.doc_id, coalesce(NOT bool_or(f.severity IN ('High', 'Critical')), true) AS passes FROM texts t LEFT JOIN every_threat f ON t.doc_id = f.doc_id GROUP BY t.doc_id")
 def quick_security_check(spark, d):
+    """Whether no threat is grave; a combination needs a grave finding or adds one, so both count."""
     texts = _texts(spark, d)
-    grave = findings.threats(texts).where(F.col("severity").isin("High", "Critical")).select("doc_id", F.lit(True).alias("grave")).distinct()
+    grave = findings.all_threats(texts).where(F.col("severity").isin("High", "Critical")).select("doc_id", F.lit(True).alias("grave")).distinct()
     return texts.select("doc_id").join(grave, "doc_id", "left").select("doc_id", F.col("grave").isNull().alias("passes"))
 
 
@@ -149,9 +163,9 @@ def chunk_overlap(spark, d):
     return text_chunks(_texts(spark, d)).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("offset").alias("off"), "data")
 
 
-@_register("SELECT o_orderkey, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(o_orderpriority, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS BIGINT) AS sum FROM orders")
+@_register("@all, c AS (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 1), 896)) AS o FROM texts), h AS (SELECT doc_id, o // 896 AS seq, hex(encode(substr(text, CAST(o + 1 AS BIGINT), 1024))) AS h FROM c) SELECT doc_id, seq, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(generate_series(1, length(h) - 1, 2), lambda i: CAST(concat('0x', substr(h, i, 2)) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS BIGINT) AS sum FROM h")
 def chunk_checksum(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", rules.checksum(F.col("o_orderpriority")).alias("sum"))
+    return text_chunks(_texts(spark, d)).select("doc_id", F.col("seq").cast("long").alias("seq"), rules.checksum(F.col("data")).alias("sum"))
 
 
 @_register("@all SELECT doc_id, CASE WHEN strlen(text) > 200 THEN concat(substr(text, 1, 197), '...') ELSE text END AS evidence FROM texts")
@@ -195,12 +209,12 @@ def transformed_points(spark, d):
     return table(spark, d, "events").select("event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@_register("SELECT conv_id, turn, old, new, CASE WHEN old IS NULL THEN 'Added' WHEN new IS NULL THEN 'Removed' ELSE 'Modified' END AS change FROM (SELECT a.conv_id, 1 AS turn, a.text AS old, b.text AS new FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id) a JOIN (SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id) b USING (conv_id) WHERE NOT contains(a.text, chr(10)) AND NOT contains(b.text, chr(10))) WHERE old <> new")
+@_register("")
 def line_diff(spark, d):
-    """First and last turn of each conversation, where both are one line."""
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b")).where("a not like '%\n%' and b not like '%\n%'")
-    changes = findings.line_diff(turns.select("conv_id", F.col("a").alias("text")), turns.select("conv_id", F.col("b").alias("text")), "conv_id")
-    return changes.select("conv_id", F.lit(1).alias("turn"), "old", "new", "change")
+    """What every turn of a conversation changes in the lines of the turn before; an edit script is beyond SQL, tests compare it with brute force."""
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.lag("text").over(own).alias("old"), F.col("text").alias("new"), F.row_number().over(own).alias("at"))
+    return findings.line_diff(turns.where("at > 1").drop("at"))
 
 
 @_register("""WITH r AS (SELECT DISTINCT user_id AS doc_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) % 5 AS rev, event_type AS obj, 0 AS mark FROM events),
@@ -228,10 +242,10 @@ def performance_breakdown(spark, d):
     return out.select("op", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "least", "most", F.round("share", 6).alias("share"))
 
 
-@_register("""WITH s AS (SELECT l_orderkey AS page, l_linenumber, l_quantity AS x, l_partkey % 40 AS y, l_suppkey AS t FROM lineitem WHERE l_orderkey % 10 = 0), k AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) <= 3 AND x - (lag(x) OVER w + 5) < 6 THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY page ORDER BY y, x)),
+@_register("""WITH s AS (SELECT l_orderkey AS page, l_linenumber, l_quantity AS x, l_partkey % 40 AS y, l_suppkey AS t FROM lineitem), k AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) <= 3 AND x - (lag(x) OVER w + 5) < 6 THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY page ORDER BY y, x)),
  n AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY y, x) AS line FROM k) SELECT page, CAST(line AS BIGINT) AS line, count(*) AS n FROM n GROUP BY ALL""")
 def merged_lines(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    lines = table(spark, d, "lineitem")
     spans = lines.select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 40).alias("y"), F.lit(10.0).alias("height"), F.lit(2.0).alias("space"), F.lit(5.0).alias("width"), F.lit("w").alias("text"))
     merged = findings.merge_lines(spans)
     return merged.select("page", F.col("line").cast("long").alias("line"), F.size(F.split("text", " ")).cast("long").alias("n"))

@@ -13,11 +13,14 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..operators import graph
+from .shared import stored
 
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|\((?:\\.|[^\\()])*\)|\(|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+|[{}]", re.S)
 OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
@@ -29,6 +32,10 @@ class PdfError(ValueError):
     """Bytes that do not parse."""
 
 
+#: What damaged bytes may lead to; a document with any of these is read as far as it goes.
+DAMAGE = (PdfError, codecs.CodecError, KeyError, TypeError, ValueError, IndexError, AttributeError, OverflowError, RecursionError, zlib.error)
+
+
 def text_of(raw: bytes) -> str:
     if raw[:2] == b"\xfe\xff":
         return raw[2:].decode("utf-16-be", "replace")
@@ -163,22 +170,37 @@ def _section(data: bytes, at: int) -> tuple[dict, dict]:
                     raise PdfError("bad cross-reference row")
                 if row[3] == b"n":
                     entries[first + k, int(row[2])] = ("used", int(row[1]), 0)
+                else:  # from here on the number is free, whatever older sections say of the generation before
+                    entries[first + k, max(0, int(row[2]) - 1)] = ("free", 0, 0)
                 at = row.end()
         mark = re.compile(rb"trailer\s*").match(data, at)
         if not mark:
             raise PdfError("no trailer")
-        return entries, parse_value(data, mark.end())[0]
+        trailer = parse_value(data, mark.end())[0]
+        if not isinstance(trailer, dict):
+            raise PdfError("the trailer is no dictionary")
+        if isinstance(trailer.get("XRefStm"), int):  # a hybrid file: its stream tells of objects that the table calls free
+            for key, entry in _section(data, trailer["XRefStm"])[0].items():
+                if entries.get(key, ("free",))[0] == "free":
+                    entries[key] = entry
+        return entries, trailer
     _, _, value, raw = _object(data, at)
     if not isinstance(value, dict) or value.get("Type") != "/XRef" or raw is None:
         raise PdfError("no cross-reference section")
-    body, widths = _decoded(value, raw), value["W"]
-    index, step, pos = value.get("Index") or [0, value["Size"]], sum(widths), 0
+    body, widths = _decoded(value, raw), value.get("W")
+    if not (isinstance(widths, list) and len(widths) >= 3 and all(isinstance(w, int) and w >= 0 for w in widths) and sum(widths)):
+        raise PdfError("bad field widths")
+    index, step, pos = value.get("Index") or [0, value["Size"]], sum(widths[:3]), 0
     for first, count in zip(index[::2], index[1::2]):
         for k in range(count):
             row, cut = body[pos : pos + step], [0, widths[0], widths[0] + widths[1], step]
             a, b, c = (int.from_bytes(row[i:j], "big") for i, j in zip(cut, cut[1:]))
             kind = a if widths[0] else 1
             pos += step
+            if pos > len(body):
+                raise PdfError("the cross-reference stream ends early")
+            if kind == 0:
+                entries[first + k, max(0, c - 1)] = ("free", 0, 0)
             if kind == 1:
                 entries[first + k, c] = ("used", b, 0)
             elif kind == 2:
@@ -198,15 +220,17 @@ def read_document(data: bytes) -> list[tuple]:
             seen.add(at)
             sections.append(_section(data, at))
             at = sections[-1][1].get("Prev", -1)
+            if not isinstance(at, int):
+                raise PdfError("the older section's place is no number")
         if not sections:
             raise PdfError("no section")
-    except (PdfError, codecs.CodecError, KeyError, TypeError, ValueError):
+    except DAMAGE:
         recovered = True
         found = {(int(m[1]), int(m[2])): ("used", m.start(), 0) for m in OBJECT.finditer(data)}
         last = data.rfind(b"trailer")
         try:
             trailer = parse_value(data, last + 7)[0] if last >= 0 else {}
-        except PdfError:
+        except DAMAGE:
             trailer = {}
         sections = [(found, trailer if isinstance(trailer, dict) else {})]
     newest: dict = {}
@@ -216,9 +240,11 @@ def read_document(data: bytes) -> list[tuple]:
     trailer = {k: v for k, v in sections[0][1].items() if k in ("Root", "Info", "Size", "ID", "Encrypt", "Prev")}
     eof = data.rfind(b"%%EOF")
     rest = data[eof + 5 :] if eof >= 0 else b""
-    facts = {"version": f"{head[1].decode()}.{head[2].decode()}" if head else "1.7", "size": len(data), "revisions": len(sections), "recovered": recovered, "eof_marks": data.count(b"%%EOF"), "trailing": bool(rest.strip()), "trailer": trailer}
+    newest = {key: found for key, found in newest.items() if found[1][0] != "free"}
+    whole = {"header": data[:5] == b"%PDF-", "has_xref": b"xref" in data, "has_trailer": b"trailer" in data, "ends": data.endswith(b"%%EOF"), "declared": data.count(b" obj"), "entries": len({key[0] for entries, _ in sections for key in entries}), "startxrefs": len(starts), "unclosed": sum(b"endobj" not in part for part in data.split(b" obj")[1:])}
+    facts = {"version": f"{head[1].decode()}.{head[2].decode()}" if head else "1.7", "size": len(data), "revisions": len(sections), "recovered": recovered, "eof_marks": data.count(b"%%EOF"), "trailing": bool(rest.strip()), "trailer": trailer, **whole}
     rows = [("doc", 0, None, None, None, json.dumps(facts), None)]
-    rows += [("rev", rev, key[0], key[1], None, None, None) for rev, (entries, _) in enumerate(sections) for key in entries]
+    rows += [("rev", rev, key[0], key[1], None, None, None) for rev, (entries, _) in enumerate(sections) for key, entry in entries.items() if entry[0] != "free"]
     packed: dict[int, list] = {}
     for (obj, gen), (rev, (kind, where, index)) in sorted(newest.items()):
         try:
@@ -233,13 +259,13 @@ def read_document(data: bytes) -> list[tuple]:
                     pairs = list(map(int, plain[: outer["First"]].split()))
                     packed[where] = [parse_value(plain, outer["First"] + o)[0] for o in pairs[1::2]]
                 value, raw = packed[where][index], None
-        except (PdfError, codecs.CodecError, KeyError, TypeError, IndexError, ValueError):
+        except DAMAGE:
             value, raw = None, None
         stream = None
         if raw is not None:
             try:
                 stream = _decoded(value, raw)
-            except (codecs.CodecError, KeyError, TypeError, ValueError):
+            except DAMAGE:
                 stream = raw
         rows.append(("object", rev, obj, gen, where if kind == "used" else None, json.dumps(value, ensure_ascii=False), stream))
     return rows
@@ -271,17 +297,23 @@ def read(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int
     return files.where(F.lower("path").endswith(".pdf") | (bare & magic)).select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
+def document_facts(value: Column) -> list[Column]:
+    """The columns of a document's facts, from the value of its ``doc`` row."""
+    fact = lambda name: F.get_json_object(value, f"$.{name}")
+    kinds = {"size": "long", "revisions": "int", "recovered": "boolean", "eof_marks": "int", "header": "boolean", "has_xref": "boolean", "has_trailer": "boolean", "ends": "boolean", "declared": "long", "entries": "long", "startxrefs": "int", "unclosed": "long"}
+    return [fact("version").alias("version"), *(fact(k).cast(t).alias(k) for k, t in kinds.items()), fact("trailing").cast("boolean").alias("has_trailing"), fact("trailer.Encrypt").isNotNull().alias("encrypted"), fact("trailer.Root.R").alias("root"), fact("trailer.Size").cast("long").alias("trailer_size"), fact("trailer.ID").isNotNull().alias("has_id")]
+
+
 def documents(rows: DataFrame) -> DataFrame:
-    """(doc_id, version, size, revisions, recovered, eof_marks, has_trailing, encrypted, root)."""
-    fact = lambda name: F.get_json_object("value", f"$.{name}")
-    return rows.where("kind = 'doc'").select("doc_id", fact("version").alias("version"), fact("size").cast("long").alias("size"), fact("revisions").cast("int").alias("revisions"), fact("recovered").cast("boolean").alias("recovered"), fact("eof_marks").cast("int").alias("eof_marks"), fact("trailing").cast("boolean").alias("has_trailing"), fact("trailer.Encrypt").isNotNull().alias("encrypted"), fact("trailer.Root.R").alias("root"), fact("trailer.Size").cast("long").alias("trailer_size"), fact("trailer.ID").isNotNull().alias("has_id"))
+    """(doc_id and ``document_facts``) of every document."""
+    return rows.where("kind = 'doc'").select("doc_id", *document_facts(F.col("value")))
 
 
-def objects(rows: DataFrame) -> DataFrame:
-    """(doc_id, node_id, node_type, value, stream): one node an object, typed by its dictionary."""
-    entry = lambda name: F.get_json_object("value", f"$.{name}")
+def type_of(value: Column, stream: Column) -> Column:
+    """An object's type by its dictionary."""
+    entry = lambda name: F.get_json_object(value, f"$.{name}")
     kind, sub, act = entry("Type"), entry("Subtype"), entry("S")
-    node_type = (
+    return (
         F.when(kind.isin("/Catalog", "/Pages", "/Page", "/Font", "/Sig", "/Filespec", "/EmbeddedFile", "/ObjStm", "/XRef", "/Metadata"), F.substring(kind, 2, 30))
         .when((kind == "/Annot") | sub.isin("/Link", "/Widget"), "Annotation")
         .when(act == "/JavaScript", "JavaScriptAction")
@@ -289,10 +321,15 @@ def objects(rows: DataFrame) -> DataFrame:
         .when(act == "/Launch", "LaunchAction")
         .when(kind == "/Action", "Action")
         .when(sub == "/Image", "Image")
-        .when(F.col("stream").isNotNull(), "ContentStream")
+        .when(stream.isNotNull(), "ContentStream")
         .otherwise("Object")
     )
-    return rows.where("kind = 'object'").select("doc_id", F.concat_ws(" ", "obj", "gen").alias("node_id"), node_type.alias("node_type"), "value", "stream")
+
+
+def objects(rows: DataFrame) -> DataFrame:
+    """(doc_id, node_id, node_type, value, stream): one node an object, typed by its dictionary."""
+    node_type = type_of(F.col("value"), F.col("stream")).alias("node_type")
+    return rows.where("kind = 'object'").select("doc_id", F.concat_ws(" ", "obj", "gen").alias("node_id"), node_type, "value", "stream")
 
 
 def object_references(nodes: DataFrame) -> DataFrame:
@@ -301,16 +338,145 @@ def object_references(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", F.col("node_id").alias("src"), F.explode(refs).alias("dst"))
 
 
-SHOWN = r"<([0-9A-Fa-f]*)>\s*Tj"
+#: Edges by the dictionary entry that holds the reference.
+TYPED = {"Kids": "Child", "Pages": "Child", "Contents": "Content", "Annots": "Annotation", "A": "Action", "OpenAction": "Action", "Next": "Action", "Fields": "Field", "AcroForm": "Form", "Metadata": "Metadata", "Resources": "Resource", "Font": "Resource", "XObject": "Resource", "Outlines": "Outline", "First": "Outline", "Names": "Name", "Parent": "Parent"}
+
+
+def typed_edges(nodes: DataFrame) -> DataFrame:
+    """(doc_id, src, dst, edge_type, ord): references in the entries of a node's own dictionary, by entry, and in order within it."""
+    entries = F.map_entries(F.from_json("value", "map<string,string>"))
+    each = nodes.where(F.col("value").startswith("{")).select("doc_id", F.col("node_id").alias("src"), F.explode(entries).alias("e"))
+    kinds = F.create_map(*(F.lit(x) for kv in TYPED.items() for x in kv))
+    named = each.select("doc_id", "src", F.coalesce(kinds[F.col("e.key")], F.lit("Reference")).alias("edge_type"), F.posexplode(F.regexp_extract_all("e.value", F.lit(r'"R":\s*"(\d+ \d+)"'), 1)).alias("ord", "dst"))
+    return named.select("doc_id", "src", "dst", "edge_type", F.col("ord").cast("long").alias("ord"))
+
+
+def page_order(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, page): pages numbered from 1 in the order of the page tree; those it does not reach follow by object number."""
+    kids = typed_edges(nodes.where("node_type in ('Catalog', 'Pages')")).where("edge_type = 'Child'")
+    whole = lambda c: F.concat_ws("|", "doc_id", c)
+    edges = kids.select(whole("src").alias("src"), whole("dst").alias("dst"), F.lpad(F.col("ord").cast("string"), 10, "0").alias("step"))
+    start = nodes.where("node_type = 'Catalog'").select(whole("node_id").alias("node_id"), F.lit("").alias("step"))
+    reached = graph.walk(edges, start, step="step").groupBy("node_id").agg(F.min("path").alias("path")).withColumnRenamed("node_id", "at")
+    pages = nodes.where("node_type = 'Page'").select("doc_id", "node_id", whole("node_id").alias("at")).join(reached, "at", "left")
+    number = F.split("node_id", " ")[0].cast("int")
+    order = Window.partitionBy("doc_id").orderBy(F.col("path").isNull(), "path", number)
+    return pages.select("doc_id", "node_id", F.row_number().over(order).alias("page"))
+
+
+def shown_text(ops: bytes) -> str:
+    """What a content stream's text operators show: a line for each line of text, a gap or a wide step as a space."""
+    out, stack, fresh, at, last = [], [], False, 0, None
+
+    def show(value: object) -> None:
+        nonlocal fresh
+        if isinstance(value, str) and value.startswith("("):
+            if fresh and out:
+                out.append("\n")
+            fresh = False
+            out.append(value[1:])
+
+    while m := TOKEN.search(ops, at):
+        t = m[0]
+        if t[:1] == b"%":
+            at = m.end()
+            continue
+        try:
+            value, at = parse_value(ops, m.start())
+            stack.append(value)
+            continue
+        except PdfError:
+            at = m.end()
+        number = [v for v in stack if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        if t in (b"Tj", b"'", b'"') and stack:
+            fresh = fresh or t != b"Tj"
+            show(stack[-1])
+        elif t == b"TJ" and stack and isinstance(stack[-1], list):
+            for item in stack[-1]:
+                if isinstance(item, (int, float)) and item <= -200 and out and not out[-1].endswith((" ", "\n")):
+                    out.append(" ")
+                show(item)
+        elif t == b"T*":
+            fresh = True
+        elif t in (b"Td", b"TD") and len(number) >= 2:
+            if number[-1]:
+                fresh = True
+            elif number[-2] and out and not out[-1].endswith((" ", "\n")):
+                out.append(" ")
+        elif t == b"Tm" and len(number) >= 6:
+            fresh, last = fresh or last != number[-1], number[-1]
+        elif t == b"BT":
+            fresh = True
+        elif t == b"BI":  # an inline image: its bytes are no operators
+            end = re.compile(rb"\bID\s.*?\sEI\b", re.S).search(ops, at)
+            at = end.end() if end else at
+        stack.clear()
+    return "".join(out)
 
 
 def page_texts(nodes: DataFrame) -> DataFrame:
-    """(doc_id, page, text) of the strings shown by each page's content streams, a line for each; pages by object number."""
-    pages = nodes.where("node_type = 'Page'").select("doc_id", F.split("node_id", " ")[0].cast("int").alias("page"), F.get_json_object("value", "$.Contents.R").alias("contents"))
-    streams = nodes.where(F.col("stream").isNotNull()).select("doc_id", F.col("node_id").alias("contents"), F.decode("stream", "ISO-8859-1").alias("ops"))
-    shown = F.transform(F.regexp_extract_all("ops", F.lit(SHOWN), 1), lambda h: F.decode(F.unhex(h), "UTF-16BE"))
-    lines = F.transform(shown, lambda s: F.regexp_replace(s, "^﻿", ""))
-    return pages.join(streams, ["doc_id", "contents"]).select("doc_id", "page", F.array_join(lines, "\n").alias("text"))
+    """(doc_id, page, text) of what each page's content streams, one or several, show, in their order; pages by the page tree."""
+    kept = stored(nodes.where("node_type in ('Catalog', 'Pages', 'Page') or stream is not null"), "objects")
+    pages = kept.where("node_type = 'Page'")
+    contents = F.regexp_extract_all(F.get_json_object("value", "$.Contents"), F.lit(r'"R":\s*"(\d+ \d+)"'), 1)
+    parts = pages.select("doc_id", "node_id", F.posexplode(contents).alias("place", "contents"))
+    streams = kept.where("stream is not null").select("doc_id", F.col("node_id").alias("contents"), "stream")
+
+    @F.pandas_udf("string")
+    def shown(streams: pd.Series) -> pd.Series:
+        return streams.map(lambda ops: None if ops is None else shown_text(bytes(ops)))
+
+    joined = parts.join(streams, ["doc_id", "contents"]).select("doc_id", "node_id", "place", shown("stream").alias("text")).where("text <> ''")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n")
+    texts = joined.groupBy("doc_id", "node_id").agg(lines.alias("text"))
+    return page_order(kept).join(texts, ["doc_id", "node_id"], "left").select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Signatures of formats that a file may be as well.
+SIGNATURES = {
+    "ZIP": b"PK\x03\x04",
+    "ZIP_EOCD": b"PK\x05\x06",
+    "RAR": b"Rar!\x1a\x07\x00",
+    "7Z": b"7z\xbc\xaf\x27\x1c",
+    "ELF": b"\x7fELF",
+    "MZ": b"MZ",
+    "OLE": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1",
+    "PNG": b"\x89PNG\r\n\x1a\n",
+    "JPEG": b"\xff\xd8\xff",
+    "GIF87a": b"GIF87a",
+    "GIF89a": b"GIF89a",
+    "MP4": b"ftyp",
+}
+HEAD_AND_TAIL = 256 << 10
+
+
+def signature_hits(files: DataFrame, window: int = HEAD_AND_TAIL) -> DataFrame:
+    """(doc_id, format, offset) of every signature in the first or last ``window`` bytes of (doc_id, content), each place once."""
+    text = F.decode("content", "ISO-8859-1")
+    magic = F.explode(F.array(*(F.struct(F.lit(k).alias("format"), F.lit(m.decode("latin-1")).alias("magic")) for k, m in SIGNATURES.items()))).alias("m")
+    held = files.select("doc_id", text.alias("text")).select("doc_id", "text", magic).where(F.contains("text", "m.magic"))
+    # every split is just before a signature, so what is ahead of it adds up to its place
+    parts = held.select("doc_id", "m.format", "m.magic", F.length("text").alias("size"), F.startswith("text", "m.magic").alias("first"), F.posexplode(F.split("text", F.concat(F.lit(r"(?=\Q"), "m.magic", F.lit(r"\E)")))).alias("k", "part"))
+    ahead = F.sum(F.length("part")).over(Window.partitionBy("doc_id", "format").orderBy("k")) - F.length("part")
+    hits = parts.withColumn("offset", ahead).where((F.col("k") > 0) | F.col("first"))
+    whole = (F.col("offset") + F.length("magic") <= window) | (F.col("offset") >= F.col("size") - window)
+    return hits.where(whole).select("doc_id", "format", F.col("offset").cast("long").alias("offset"))
+
+
+def heuristics(rows: DataFrame) -> DataFrame:
+    """(doc_id, check, n) of what does not fit together in a parsed document's bytes and tables."""
+    doc = documents(rows)
+    beyond = rows.where("kind = 'object' and offset is not null").join(doc.select("doc_id", "size"), "doc_id").where("offset >= size").groupBy("doc_id").agg(F.count(F.lit(1)).alias("beyond"))
+    checks = {
+        "TrailingData": F.col("has_trailing").cast("long"),
+        "MultipleEOF": F.when(F.col("eof_marks") > 1, F.col("eof_marks")).cast("long"),
+        "MultipleStartXref": F.when((F.col("revisions") <= 1) & (F.col("startxrefs") > 1), F.col("startxrefs")).cast("long"),
+        "XRefOffsetOutOfBounds": F.col("beyond"),
+        "TrailerSizeMismatch": F.when(F.col("entries") < F.col("trailer_size"), F.col("trailer_size") - F.col("entries")),
+        "MissingEndObj": F.col("unclosed"),
+    }
+    found = F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for k, n in checks.items()))
+    return doc.join(beyond, "doc_id", "left").select("doc_id", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("f")).select("doc_id", "f.*")
 
 
 def render(doc_id: int, text: str, lines_per_page: int = 40) -> bytes:
