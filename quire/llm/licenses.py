@@ -9,6 +9,10 @@ one row each, and a window of similarity s collides with probability
 shorter than that are met by windows of five words at every word, whose MinHash is
 their one shingle's hash. Retrieved templates are then verified by exact shingle
 containment in the whole text.
+
+Templates are a table: ``TEMPLATES`` has the short notices and the whole texts of the
+short licenses; a library of any size (whole texts of long licenses too) is passed as
+rows or made by ``template_table`` from a table of texts.
 """
 
 from __future__ import annotations
@@ -16,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 
-BROADCAST_WORDS = 100_000
 SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 16, 8, 6, 0.9
 #: Public license notices and standard paragraphs.
 TEMPLATES = [
@@ -62,6 +65,41 @@ TEMPLATES = [
         "header",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ),
+    (
+        "MIT",
+        "text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "ISC",
+        "text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "text",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "text",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ),
+    (
+        "BSL-1.0",
+        "text",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ),
 ]
 
 
@@ -77,11 +115,15 @@ def shingles_of(words: Column, n: int = SHINGLE) -> Column:
     return let(words, hashes)
 
 
+def template_table(texts: DataFrame) -> DataFrame:
+    """(license, part, words, shingles) of a table (license, part, text), those of at least five words; a name and part count once."""
+    words = texts.select("license", "part", words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    return words.withColumn("shingles", shingles_of(F.col("words"))).where(F.size("shingles") > 0).dropDuplicates(["license", "part"])
+
+
 def templates(spark: SparkSession, rows=None) -> DataFrame:
-    """(license, part, words, shingles) of license templates of at least five words."""
-    own = spark.createDataFrame(rows or TEMPLATES, "license string, part string, text string")
-    words = own.select("license", "part", words_of(F.coalesce("text", F.lit(""))).alias("words"))
-    return words.withColumn("shingles", shingles_of(F.col("words"))).where(F.size("shingles") > 0)
+    """``template_table`` of ``rows`` (license, part, text), by default ``TEMPLATES``."""
+    return template_table(spark.createDataFrame(rows or TEMPLATES, "license string, part string, text string"))
 
 
 def _windows(shingles: Column, step: int) -> Column:
@@ -102,22 +144,22 @@ def _windows(shingles: Column, step: int) -> Column:
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(key, license, part, n_shingles, n_found, containment) of every template held by a row of ``docs``.
 
-    ``known`` is what ``templates`` returns; what is made of it is broadcast if it
-    has at most ``BROADCAST_WORDS`` words and shuffled beyond that. Null, empty or
-    short texts hold nothing. Rows that repeat are reported once.
+    ``known`` is what ``templates`` or ``template_table`` returns; what is made of it is
+    stored, so that Spark knows its size, broadcasts it under its own limit and
+    shuffles beyond that. Null, empty or short texts hold nothing. Rows that repeat are
+    reported once. Other columns of ``docs`` are left out, whatever their names.
     """
-    n_words = known.agg(F.sum(F.size("words"))).first()[0] or 0
-    near = F.broadcast if n_words <= BROADCAST_WORDS else (lambda df: df)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), body.alias("body")).withColumn("row", F.struct(F.xxhash64("key", "body").alias("r1"), F.hash("body", "key").alias("r2")))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), body.alias("body")).withColumn("row", F.struct(F.xxhash64("key", "body").alias("r1"), F.hash("body", "key").alias("r2")))
     hashed = rows.select("row", shingles_of(words_of(F.col("body"))).alias("shingles"))
     long = F.size("words") >= WINDOW + STRIDE - 1
     name = F.struct("license", "part").alias("name")
     marks = known.select(name, F.explode(_windows(F.col("shingles"), 1)).alias("w"), long.alias("long")).where((F.col("w.band") >= 0) == F.col("long"))
-    marks = marks.groupBy("w.band", "w.value").agg(F.collect_set("name").alias("names"))
-    hits = hashed.select("row", F.explode(_windows(F.col("shingles"), STRIDE)).alias("w")).select("row", "w.band", "w.value").join(near(marks), ["band", "value"])
+    marks = stored(marks.groupBy("w.band", "w.value").agg(F.collect_set("name").alias("names")), "marks")
+    hits = hashed.select("row", F.explode(_windows(F.col("shingles"), STRIDE)).alias("w")).select("row", "w.band", "w.value").join(marks, ["band", "value"])
     found = hits.select("row", F.explode("names").alias("name")).distinct()
-    found = found.select("row", "name.*").join(near(known.select("license", "part", F.col("shingles").alias("theirs"))), ["license", "part"])
+    theirs = stored(known.select("license", "part", F.col("shingles").alias("theirs")), "templates")
+    found = found.select("row", "name.*").join(theirs, ["license", "part"])
     both = rows.join(found, "row").withColumn("n_shingles", F.size(F.array_distinct("theirs")).cast("long"))
     both = both.withColumn("n_found", F.size(F.array_intersect("theirs", shingles_of(words_of(F.col("body"))))).cast("long"))
     both = both.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 4)).where(F.col("containment") >= containment).dropDuplicates(["row", "license", "part"])

@@ -77,4 +77,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc, op10_html_extraction)}
 
-ORACLE_SQL: dict[str, str] = {}
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_words = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')".format
+_shingles = "unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))"
+
+#: The license scan by its definition: every shingle of every text against every template. The others are beyond SQL; tests/llm has brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": f"""WITH t(license, part, body) AS (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in licenses.TEMPLATES)}),
+ theirs AS (SELECT DISTINCT license, part, {_shingles} AS s FROM (SELECT license, part, {_words("body")} AS w FROM t)),
+ n AS (SELECT license, part, count(*) AS n_shingles FROM theirs GROUP BY ALL),
+ own AS (SELECT DISTINCT doc_id, {_shingles} AS s FROM (SELECT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL)),
+ hits AS (SELECT doc_id, license, part, count(*) AS n_found FROM own JOIN theirs USING (s) GROUP BY ALL)
+ SELECT doc_id, license, part, n_shingles, n_found, round(n_found / n_shingles, 4) AS containment FROM hits JOIN n USING (license, part) WHERE round(n_found / n_shingles, 4) >= {licenses.CONTAINMENT}"""
+}

@@ -11,9 +11,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, html_extract, language_id, licenses, media, ngram_join, packing, repeats, toxicity, warc
+from quire.llm.queries import ORACLE_SQL, QUERIES
 from quire.llm.suffix_array import Sorted, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -509,6 +511,104 @@ def test_decontamination_of_short_and_slot_heavy_items(spark):
     assert found == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 2): False, (4, 3): True}
 
 
+def brute_contamination(texts, bench, window=8, coverage=0.6):
+    """(doc, item, verbatim) by the definition: every window of every form of every item looked for at every place of every text."""
+    D = decontaminate
+    P = lambda p: p.replace("(?i)", "")
+
+    def tagged(text, keep, starts=False):
+        value = r"\g<0>" if keep else ""
+        out = regex.sub(D.NAMES, f" {D.NAME}{value} ", regex.sub(f"[{D.SLOTS}]", " ", text))
+        if starts:
+            out = regex.sub(D.STARTS, f" {D.NAME}{value} ", out)
+        out = regex.sub(P(D.UNITS), f" {D.UNIT}{value} ", out, flags=regex.I)
+        return regex.sub(rf"(?<![{D.SLOTS}\p{{L}}])" + D.NUMBERS if keep else D.NUMBERS, f" {D.NUMBER}{value} ", out)
+
+    split = lambda t: [w for w in regex.split(D.BREAK, t.lower()) if w]
+    canonical, slots = (lambda t, s=False: split(tagged(t, False, s))), (lambda t: split(tagged(t, True)))
+    marks = {D.NAME, D.NUMBER, D.UNIT}
+    plain = lambda t: [w[1:] if w[:1] in marks else w for w in slots(t)]
+    free = lambda words, i, n: 2 * sum(w not in marks for w in words[i : i + n]) >= n
+    runs = lambda words, n: [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    out = set()
+    for item, body in bench.items():
+        words = canonical(body or "")
+        if len(words) < 4:
+            continue
+        n, marked = min(window, len(words)), canonical(body, True)
+        marked = marked if len(marked) == len(words) else words
+        first, rest = marked[:1] + words[1:], words[:1] + marked[1:]
+        for doc, text in texts.items():
+            own, values, hits = canonical(text or ""), plain(text or ""), set()
+            for form in (words, first, rest, marked):
+                hits |= {(at, p - at) for at, x in enumerate(runs(form, n)) if free(form, at, n) for p, y in enumerate(runs(own, n)) if x == y}
+            strict = [at for at in range(len(words) - n + 1) if not (free(words, at, n) and free(first, at, n))]
+            wanted = runs(plain(body), n)
+            hits |= {(at, p - at) for at in strict for p, y in enumerate(runs(values, n)) if wanted[at] == y}
+            found, all_free = {at for at, _ in hits}, [at for at in range(len(words) - n + 1) if free(words, at, n)]
+            share = max(len(found) / (len(words) - n + 1), len(found & {*all_free}) / len(all_free) if all_free else 0)
+            if share < coverage:
+                continue
+            offset = min({o for _, o in hits}, key=lambda o: (-len({at for at, x in hits if x == o}), o))
+            mine, theirs, pairs = slots(text), slots(body), set()
+            for i, b in enumerate(theirs):
+                if 0 <= i + offset < len(mine):
+                    b = D.NAME + b if marked[i : i + 1] == [D.NAME] and b[:1] not in marks else b
+                    if b[:1] in marks and mine[i + offset][:1] == b[:1]:
+                        pairs.add((b, mine[i + offset]))
+            if len(pairs) == len({b for b, _ in pairs}):
+                out.add((doc, item, all(b == m for b, m in pairs)))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    names, units = ["Ann", "Bob", "Zoë", "Xi"], ["km", "hours", "kg"]
+
+    def sentence(n):
+        words = [r.choice([r.choice(WORDS), r.choice(WORDS), r.choice(names), str(r.randint(1, 30)), f"{r.randint(1, 9)} {r.choice(units)}"]) for _ in range(n)]
+        return words[0].capitalize() + " " + " ".join(words[1:]) + r.choice([".", "?"])
+
+    def changed(text):
+        kind = r.randrange(5)
+        if kind == 0:
+            return text
+        if kind == 1:
+            a, b = r.sample(names, 2)
+            return text.replace(a, b).replace("1", "7")
+        if kind == 2:
+            return regex.sub(r"\d+", lambda m: str(int(m[0]) + 1), text)
+        words = text.split(" ")
+        k = r.randrange(len(words))
+        return " ".join(words[:k] + ["extra"] * (kind - 2) + words[k + kind - 3 :])
+
+    bench = {k: " ".join(sentence(r.randint(3, 12)) for _ in range(r.randint(1, 2))) for k in range(25)}
+    texts = {k: sentence(9) + " " + r.choice(["So: ", "", "Then, "]) + changed(r.choice(list(bench.values()))) + " " + sentence(8) for k in range(160)}
+    texts |= {900: None, 901: "", 902: " ".join(sentence(10) for _ in range(400)) + " " + bench[3]}
+    got = decontaminate.contamination(spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.createDataFrame([*bench.items()], "item_id long, text string"))
+    want = brute_contamination(texts, bench)
+    assert len({v for *_, v in want}) == 2 and {(x["doc_id"], x["item_id"], x["verbatim"]) for x in got.collect()} == want
+
+
+def test_license_scan_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(con.sql(ORACLE_SQL["op6_license_scan"]).fetchall())
+    assert want and sorted(tuple(x) for x in QUERIES["op6_license_scan"](spark, sf).collect()) == want
+
+
+def test_whole_license_texts_are_met_by_their_windows(spark):
+    whole = {name: t for name, part, t in licenses.TEMPLATES if part == "text"}
+    edited = {name: " ".join(w for k, w in enumerate(t.split()) if k % 90 != 45) for name, t in whole.items()}
+    rows = [(k, prose(k, 300) + "\n" + t + "\n" + prose(k + 9, 5000)) for k, t in enumerate(edited.values())] + [(50, prose(5, 80)), (50, prose(5, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "words": F.lit(2), "part": F.lit(3)})
+    found = licenses.scan(docs, licenses.templates(spark)).collect()
+    assert {(r["doc_id"], r["license"]) for r in found if r["part"] == "text"} >= set(enumerate(edited))
+
+
 def test_license_scan(spark):
     texts = {i: t for i, (_, _, t) in enumerate(licenses.TEMPLATES)}
     rows = [(i, prose(i, 50) + "\n" + t + "\n" + prose(i + 1, 50)) for i, t in texts.items()] + [(100, None), (101, ""), (102, prose(7, 300)), (103, "MIT License"), (0, prose(0, 50) + "\n" + texts[0] + "\n" + prose(1, 50))]
