@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, random_words, slices, stored, utf8
+from .common import components, forget, mix, random_words, slices, stored, utf8
 
 N, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 SLICE = 1 << 19
@@ -218,7 +218,7 @@ def _links(block: pa.Table, bands: int, similarity: float) -> tuple[np.ndarray,
     return left[i], right[j], jaccard[i, j]
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, with_links: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(groups, links) of all rows of ``docs``.
 
     ``groups``: (key, rep, class_id, n_copies, n_links) a row of ``docs``: ``rep``
@@ -226,7 +226,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     that set, ``class_id`` the smallest key that links lead to, ``n_links`` how many
     other sets its set is linked to. ``links``: (a, b, jaccard), a < b, all verified
     pairs of reps that share a bucket; worked out only when it is read, as a group
-    of m mutually similar sets has m * (m - 1) / 2 of them. Keys are integers; a null
+    of m mutually similar sets has m * (m - 1) / 2 of them, and None without
+    ``with_links``, when the tables behind it are deleted. Keys are integers; a null
     key takes part as a text of its own but stands for nothing (class_id null if all
     are null). Repeated rows count as copies. Empty tables give empty results.
     """
@@ -268,7 +269,11 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     kind = docs.schema[key].dataType.simpleString()
     linked = stored(dealt.mapInArrow(ends, f"id {kind}, to {kind}, n long"), "linked")
-    links = dealt.mapInArrow(pairs, f"a {kind}, b {kind}, jaccard double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    if with_links:
+        links = dealt.mapInArrow(pairs, f"a {kind}, b {kind}, jaccard double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    else:
+        links = None
+        forget(members, grams)
     labels = components(linked.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     counts = linked.groupBy("id").agg(F.sum("n").alias("n_links"))
     named = classes.join(labels.join(counts, "id").withColumnRenamed("id", "rep"), "rep", "left")
@@ -286,7 +291,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **sett
 
     All columns are kept unchanged, whatever their names.
     """
-    groups, _ = ngram_join(docs, key, text, **settings)
+    groups, _ = ngram_join(docs, key, text, **settings, with_links=False)
     keep = groups.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("keep")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(f"`{key}`").alias("key"))
     left = rows.join(keep, F.col("key").eqNullSafe(F.col("keep")), "left_semi")

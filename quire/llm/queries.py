@@ -12,7 +12,7 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    groups, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents"), with_links=False)
     return groups
 
 
