@@ -191,3 +191,41 @@ def performance_breakdown(samples: DataFrame) -> DataFrame:
     """(op, n, total, mean, least, most, share) of (op, value) samples."""
     by = samples.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
     return by.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy()))
+
+
+def compare_pages(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, page, change): pages (doc_id, page, mark) of two versions that are Added, Removed, Modified or the Same; a page that repeats counts once, by its least mark."""
+    one = lambda df, name: df.groupBy("doc_id", "page").agg(F.min("mark").alias(name), F.lit(True).alias(f"in_{name}"))
+    both = one(a, "a").join(one(b, "b"), ["doc_id", "page"], "full")
+    change = F.when(F.col("in_a").isNull(), "Added").when(F.col("in_b").isNull(), "Removed").when(F.col("a").eqNullSafe(F.col("b")), "Same").otherwise("Modified")
+    return both.select("doc_id", "page", change.alias("change"))
+
+
+def success_rates(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, n, success_rate) of chunks (key, n_errors): the share without errors."""
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("n_errors") == 0, 1.0).otherwise(0.0)).alias("success_rate"))
+
+
+def type_statistics(items: DataFrame) -> DataFrame:
+    """(kind, n, bytes) of media items (kind, size)."""
+    return items.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+def predominant(items: DataFrame, key: str) -> DataFrame:
+    """(key, predominant): the kind that most items (key, kind) have; of equals the first by alphabet."""
+    counts = items.groupBy(key, "kind").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(key).agg(F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("predominant"))
+
+
+def action_threats(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, action, severity) of parsed actions: what a script holds, where an address leads, what else acts outside the document."""
+    entry = lambda name: F.coalesce(F.expr(f"substring(get_json_object(value, '$.{name}'), 2)"), F.lit(""))
+    action = entry("S")
+    severity = (
+        F.when(action.isin("JavaScript", "JS"), F.when(rules.is_suspicious_script(entry("JS")), "High").otherwise("Medium"))
+        .when(action == "Launch", "Critical")
+        .when((action == "URI") & (entry("URI") != ""), F.when(rules.is_threat_url(entry("URI")), "High").otherwise("Medium"))
+        .when(((action == "SubmitForm") & (entry("F") != "")) | (action == "ImportData"), "High")
+        .when(action == "GoToR", "Low")
+    )
+    return nodes.select("doc_id", "node_id", action.alias("action"), severity.alias("severity")).where("severity is not null")

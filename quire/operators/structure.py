@@ -123,14 +123,71 @@ def _rc4(key: bytes, data: bytes) -> bytes:
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
 
-def file_key(password: bytes, owner: bytes, permissions: int, file_id: bytes, length: int = 16) -> bytes:
-    """The file key of the standard security handler, revision 3."""
+def file_key(password: bytes, owner: bytes, permissions: int, file_id: bytes, length: int = 16, revision: int = 3) -> bytes:
+    """The file key of the standard security handler, revisions 2 to 4 (2 has 40 bits and no rounds)."""
+    length = 5 if revision == 2 else length
     key = hashlib.md5((password + PAD)[:32] + owner + (permissions & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()
-    for _ in range(50):
+    for _ in range(0 if revision == 2 else 50):
         key = hashlib.md5(key[:length]).digest()
     return key[:length]
 
 
+def _rounds(key: bytes, data: bytes, revision: int, back: bool = False) -> bytes:
+    """RC4 with the key, and from revision 3 with 19 keys made of it; ``back`` undoes it."""
+    steps = range(1) if revision == 2 else range(20)
+    for k in reversed(steps) if back else steps:
+        data = _rc4(bytes(b ^ k for b in key), data)
+    return data
+
+
+def _owner_key(owner_password: bytes, length: int, revision: int) -> bytes:
+    key = hashlib.md5((owner_password + PAD)[:32]).digest()
+    for _ in range(0 if revision == 2 else 50):
+        key = hashlib.md5(key).digest()
+    return key[: 5 if revision == 2 else length]
+
+
+def owner_entry(owner_password: bytes, user_password: bytes, length: int = 16, revision: int = 3) -> bytes:
+    """The /O entry: the padded user password under the owner's key."""
+    return _rounds(_owner_key(owner_password or user_password, length, revision), (user_password + PAD)[:32], revision)
+
+
+def user_entry(key: bytes, file_id: bytes, revision: int = 3) -> bytes:
+    """The /U entry of a file key: the padding under it, from revision 3 the digest of padding and file id (16 bytes, filled up with zeros)."""
+    if revision == 2:
+        return _rounds(key, PAD, 2)
+    return _rounds(key, hashlib.md5(PAD + file_id).digest(), revision).ljust(32, b"\0")
+
+
+def is_user_password(password: bytes, owner: bytes, user: bytes, permissions: int, file_id: bytes, length: int = 16, revision: int = 3) -> bool:
+    n = 32 if revision == 2 else 16
+    return user_entry(file_key(password, owner, permissions, file_id, length, revision), file_id, revision)[:n] == user[:n]
+
+
+def is_owner_password(password: bytes, owner: bytes, user: bytes, permissions: int, file_id: bytes, length: int = 16, revision: int = 3) -> bool:
+    """Whether it opens the /O entry to a user password that fits /U."""
+    found = _rounds(_owner_key(password, length, revision), owner, revision, back=True)
+    return is_user_password(found, owner, user, permissions, file_id, length, revision)
+
+
+def checked_passwords(rows: DataFrame) -> DataFrame:
+    """Adds ``is_user`` and ``is_owner`` to rows with password, owner, user (binary), permissions, file_id (binary) and revision (2 to 4; nulls and other revisions give null)."""
+
+    @F.pandas_udf("is_user boolean, is_owner boolean")
+    def check(password: pd.Series, owner: pd.Series, user: pd.Series, permissions: pd.Series, file_id: pd.Series, revision: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, o, u, flags, i, r in zip(password, owner, user, permissions, file_id, revision):
+            if any(x is None for x in (p, o, u, flags, i, r)) or r not in (2, 3, 4):
+                out.append((None, None))
+                continue
+            given = (bytes(p), bytes(o), bytes(u), int(flags), bytes(i), 16, int(r))
+            out.append((is_user_password(*given), is_owner_password(*given)))
+        return pd.DataFrame(out, columns=["is_user", "is_owner"])
+
+    done = rows.withColumn("checked", check("password", "owner", "user", "permissions", "file_id", "revision"))
+    return done.select(*rows.columns, "checked.*")
+
+
 def object_key(key: bytes, obj: int, gen: int) -> bytes:
     return hashlib.md5(key + obj.to_bytes(3, "little") + gen.to_bytes(2, "little")).digest()[: min(16, len(key) + 5)]
 

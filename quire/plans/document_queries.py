@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..operators import conformance
+from ..operators import conformance, findings
 from ..sources import pdf
 from ..sources.bridge import table
 from ..sources.shared import stored
@@ -120,6 +120,11 @@ def document_heuristics(spark, d):
     return pdf.heuristics(_rows(spark, d))
 
 
+@_register("@all SELECT doc_id, 'JavaScript' AS action, 'Medium' AS severity FROM d WHERE js UNION ALL SELECT doc_id, 'URI', 'Medium' FROM d WHERE uri")
+def action_threats(spark, d):
+    return findings.action_threats(pdf.objects(_rows(spark, d))).select("doc_id", "action", "severity")
+
+
 def signature_hits(spark, d):
     """Signatures of other formats in the written files; compressed bytes are beyond SQL, tests compare with a plain search."""
     return pdf.signature_hits(pdf.rendered(table(spark, d, "documents").where("text is not null")))

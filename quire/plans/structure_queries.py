@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -159,13 +160,31 @@ def repetitive_contents(spark, d):
 
 @_register("SELECT p_type AS kind, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY p_type")
 def media_statistics(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("bytes"))
+    return findings.type_statistics(table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_size").alias("size")))
 
 
-@_register("SELECT p_brand, max_by(p_type, n) AS predominant FROM (SELECT p_brand, p_type, count(*) * 1000 + min(p_partkey) % 1000 AS n FROM part GROUP BY ALL) GROUP BY p_brand")
+@_register("SELECT p_brand, arg_min(p_type, (-n, p_type)) AS predominant FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
 def predominant_types(spark, d):
-    counts = table(spark, d, "part").groupBy("p_brand", "p_type").agg((F.count(F.lit(1)) * 1000 + F.min("p_partkey") % 1000).alias("n"))
-    return counts.groupBy("p_brand").agg(F.max_by("p_type", "n").alias("predominant"))
+    return findings.predominant(table(spark, d, "part").select("p_brand", F.col("p_type").alias("kind")), "p_brand")
+
+
+@_register("SELECT c_custkey, CAST(2 + c_custkey % 3 AS INT) AS revision, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AS is_user, c_custkey % 5 <> 0 AND c_custkey % 7 = 0 AS is_owner FROM customer")
+def password_checks(spark, d):
+    """Entries made for each customer's name and segment as passwords, then tried with the user's, the owner's (one in seven) or a wrong one (one in five)."""
+
+    @F.pandas_udf("owner binary, user binary")
+    def entries(name: pd.Series, segment: pd.Series, ident: pd.Series, revision: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, s, i, r in zip(name, segment, ident, revision):
+            owner = structure.owner_entry(s.encode(), n.encode(), revision=int(r))
+            out.append((owner, structure.user_entry(structure.file_key(n.encode(), owner, -44, bytes(i), revision=int(r)), bytes(i), int(r))))
+        return pd.DataFrame(out, columns=["owner", "user"])
+
+    key = F.col("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", (2 + key % 3).cast("int").alias("revision"), F.md5(key.cast("string")).cast("binary").alias("file_id"), F.lit(-44).alias("permissions"))
+    rows = rows.withColumn("made", entries("c_name", "c_mktsegment", "file_id", "revision")).select("*", "made.*")
+    tried = F.when(key % 5 == 0, "wrong").when(key % 7 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
+    return structure.checked_passwords(rows.withColumn("password", F.encode(tried, "UTF-8"))).select("c_custkey", "revision", "is_user", "is_owner")
 
 
 @_register("SELECT l_returnflag AS algorithm, count(*) AS n, sum(l_quantity) AS original, sum(l_quantity * (1 - l_discount)) AS compressed, min((l_quantity * (1 - l_discount)) / l_quantity) AS best, max((l_quantity * (1 - l_discount)) / l_quantity) AS worst FROM lineitem GROUP BY l_returnflag".replace("sum(l_quantity * (1 - l_discount))", "round(sum(l_quantity * (1 - l_discount)), 2)"))

@@ -230,10 +230,8 @@ def revision_delta(spark, d):
  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, CASE WHEN a.page IS NULL THEN 'Added' WHEN b.page IS NULL THEN 'Removed' ELSE 'Same' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.page = b.page""")
 def page_compare(spark, d):
     lines = table(spark, d, "lineitem")
-    a = lines.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).distinct().withColumn("a", F.lit(1))
-    b = lines.where("l_orderkey % 2 = 1 and l_orderkey > 1").select((F.col("l_orderkey") - 1).alias("doc_id"), F.col("l_linenumber").alias("page")).distinct().withColumn("b", F.lit(1))
-    change = F.when(F.col("a").isNull(), "Added").when(F.col("b").isNull(), "Removed").otherwise("Same")
-    return a.join(b, ["doc_id", "page"], "full").select("doc_id", "page", change.alias("change"))
+    pages = lambda df, key: df.select(key.alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit(0).alias("mark"))
+    return findings.compare_pages(pages(lines.where("l_orderkey % 2 = 0"), F.col("l_orderkey")), pages(lines.where("l_orderkey % 2 = 1 and l_orderkey > 1"), F.col("l_orderkey") - 1))
 
 
 @_register("SELECT event_type AS op, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(sum(value) / (SELECT sum(value) FROM events), 6) AS share FROM events GROUP BY event_type")
@@ -258,7 +256,7 @@ def property_values(spark, d):
 
 @_register("SELECT event_type, count(*) AS n, avg(CASE WHEN value < 10 THEN 1.0 ELSE 0.0 END) AS success_rate FROM events GROUP BY event_type")
 def chunk_success_rate(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("value") < 10, 1.0).otherwise(0.0)).alias("success_rate"))
+    return findings.success_rates(table(spark, d, "events").select("event_type", (F.col("value") >= 10).cast("int").alias("n_errors")), "event_type")
 
 
 @_register("SELECT CAST(n_chars AS BIGINT) AS n_chars, level, n FROM (SELECT n_chars // 1000 AS n_chars, CASE WHEN h >= 0.9 THEN 'Healthy' WHEN h >= 0.7 THEN 'PartiallyRecovered' WHEN h >= 0.4 THEN 'Damaged' ELSE 'SeverelyDamaged' END AS level, count(*) AS n FROM (SELECT n_chars, 1 - (doc_id % 11) * 0.1 AS h FROM documents) GROUP BY ALL)")

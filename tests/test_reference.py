@@ -293,6 +293,20 @@ def test_signature_hits_against_plain_search(spark):
     assert {tuple(x) for x in pdf.signature_hits(files, 20).collect()} == narrow
 
 
+def test_passwords_of_three_revisions():
+    for revision in (2, 3, 4):
+        owner = structure.owner_entry(b"boss", b"me", revision=revision)
+        given = (owner, structure.user_entry(structure.file_key(b"me", owner, -4, b"id", revision=revision), b"id", revision), -4, b"id", 16, revision)
+        assert structure.is_user_password(b"me", *given) and structure.is_owner_password(b"boss", *given)
+        assert not structure.is_user_password(b"boss", *given) and not structure.is_owner_password(b"me", *given) and not structure.is_user_password(b"", *given)
+
+
+def test_actions(spark):
+    acts = ['{"S": "/JavaScript", "JS": "(eval(x)"}', '{"S": "/JavaScript"}', '{"S": "/Launch"}', '{"S": "/URI", "URI": "(ftp://x"}', '{"S": "/URI"}', '{"S": "/SubmitForm", "F": "(u"}', '{"S": "/ImportData"}', '{"S": "/GoToR"}', '{"S": "/GoTo"}', "[1]"]
+    nodes = spark.createDataFrame([(1, str(k), v) for k, v in enumerate(acts)], "doc_id long, node_id string, value string")
+    assert {r["node_id"]: r["severity"] for r in findings.action_threats(nodes).collect()} == {"0": "High", "1": "Medium", "2": "Critical", "3": "High", "5": "High", "6": "High", "7": "Low"}
+
+
 def test_revisions(spark):
     rows = spark.createDataFrame([(1, 0, "a", 1), (1, 0, "b", 1), (1, 1, "a", 2), (1, 1, "c", 1), (1, 2, "a", 2), (1, 2, "c", 1)], "doc_id long, rev int, obj string, mark int")
     got = {tuple(r)[1:] for r in findings.revision_delta(rows).collect()}
