@@ -7,14 +7,15 @@ alike) differ between pages and how its presentation (the sequence of child tags
 does. The importance of a path is the larger of the two entropies, divided by the
 largest possible one. A path that fewer than ``PAGES`` different pages show has
 importance 1: there is nothing to compare. Elements that are menus, forms, adverts,
-comments or the like by their kind or by a whole class, id or role name have no
-importance, nor has anything in them; such a name is all that tells an advert that
-changes from page to page. The composite importance of a path is the greatest of
-itself and all paths below it.
+comments or the like by their kind or by a whole class, id or role name are one node of
+the tree for each kind and name, wherever they stand, of importance 0; such a name is
+all that tells an advert that changes from page to page. What lies outside the article
+or main element of pages that have one is such a node too. The composite importance of
+a path is the greatest of itself and all paths below it.
 
 From each page go the branches whose composite importance is under ``IMPORTANCE``,
-and the own text of paths whose importance alone is. Where a page has an article or
-main element with text left, that is the main text.
+and the own text of paths whose importance alone is; what is outside the article only
+where the article has text left.
 
 A block is the text between two block-level tags; character references are
 decoded, white space inside is one space, blocks are joined by an empty line.
@@ -54,6 +55,8 @@ CLOSES = {
 }
 #: Class, id and role names of what is not the article; each must be the whole name.
 MARKS = re.compile(r"(?:(?:site|page|top|main|post|article)[-_]?)?(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:[-_]?(?:area|bar|block|box|buttons?|container|form|items?|links?|list|menu|notice|panel|posts|section|thread|unit|wrap(?:per)?|[0-9]+))*|(?:site|page|top)[-_]?header|header", re.I)
+#: The node of all that lies outside the article of pages that have one.
+OUTSIDE = "outside!"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
@@ -125,9 +128,9 @@ class Page:
                 continue
             _, path, main = stack[-1]
             if tag not in INLINE:
-                name, marked = _name(tag, m[3])
+                name, marked = _name(tag, m[3]) if tag not in OUTER else (tag, False)
                 self.children[path] = zlib.crc32(tag.encode(), self.children.get(path, 0))
-                out = tag in DROPPED or (tag == "header" and not main) or (marked and tag not in OUTER)
+                out = tag in DROPPED or (tag == "header" and not main) or marked
                 path = f"{path}>{name}"
                 places[path] = places.get(path, 0) + 1
                 path = f"{path}[{places[path]}]{'!' if out else ''}"
@@ -161,12 +164,18 @@ class Page:
 
     def text(self, low: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> str:
         """The kept blocks; a branch goes with any of its ancestors in ``low``, a block alone with its path in ``own``."""
-        below = tuple(p + ">" for p in low)
-        kept = [(text, main) for path, text, main in self.blocks if path not in low and path not in own and not path.startswith(below)]
-        only = any(main for _, main in kept)
+        below = tuple(p + ">" for p in low if p.startswith(">"))
+        kept = [(text, main) for path, text, main in self.blocks if path not in low and path not in own and not path.startswith(below) and not ("!" in path and node_of(path) in low)]
+        only = OUTSIDE in low and any(main for _, main in kept)
         return "\n\n".join(text for text, main in kept if main or not only)
 
 
+def node_of(path: str) -> str:
+    """The tree's node of a block's path: the path, or the kind and name of what rules it out."""
+    end = path.find("!")
+    return path if end < 0 else path[path.rfind(">", 0, end) + 1 : path.rfind("[", 0, end)] + "!"
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case, empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -186,9 +195,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[str, int] = {}
             for path, text, _ in page.blocks:
                 own[path] = zlib.crc32(text.encode().translate(FOLD), own.get(path, 0))
+            if any(main and "!" not in path for path, _, main in page.blocks):
+                seen.setdefault((host, OUTSIDE), [])
             for path, mark in own.items():
                 if "!" in path:  # ruled out whatever it holds
-                    seen.setdefault((host, path[: path.index("!") + 1]), [])
+                    seen.setdefault((host, node_of(path)), [])
                 else:
                     seen.setdefault((host, path), []).append((whole, mark, page.children.get(path, 0)))
         if seen:
@@ -216,7 +227,7 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html", least_pag
     tree = paths.join(both, ["host", "at"], "left").select("host", "path", F.coalesce("pages", F.lit(0)).alias("pages"), "content", F.col("style").alias("presentation"), importance.alias("importance"))
     steps = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">"))
-    spread = tree.select("host", F.explode(F.when(F.col("path") == "", F.array("path")).otherwise(above)).alias("above"), F.struct("path", "pages", "content", "presentation", "importance").alias("own"))
+    spread = tree.select("host", F.explode(F.when(F.col("path").startswith(">"), above).otherwise(F.array("path"))).alias("above"), F.struct("path", "pages", "content", "presentation", "importance").alias("own"))
     merged = spread.groupBy("host", F.col("above").alias("path")).agg(F.max(F.when(F.col("above") == F.col("own.path"), F.col("own"))).alias("own"), F.max("own.importance").alias("composite"))
     return merged.where("own is not null").select("host", "path", *(f"own.{c}" for c in ("pages", "content", "presentation", "importance")), "composite")
 

@@ -635,11 +635,14 @@ def test_blocks_of_a_page(spark):
 
 
 def test_nothing_goes_without_the_style_tree(spark, monkeypatch):
-    page = lambda k: f"<body><nav>menu</nav><div><p>On this site since 19{k}0</p></div><div><p>{prose(k, 20)}</p></div></body>"
+    page = lambda k: f"<body class='post-{k}'><nav>menu</nav><div><p>On this site since 19{k}0</p></div><div><p>{prose(k, 20)}</p></div></body>"
     pages = [page(k) for k in range(6)]
+    article = f"<p>before</p><article><p>{prose(9, 20)}</p></article>"
+    assert texts_of(spark, article) == [prose(9, 20)]
     assert texts_of(spark, *pages, host=lambda k: "one") == [prose(k, 20) for k in range(6)]
     tree = html_extract.style_tree
     monkeypatch.setattr(html_extract, "style_tree", lambda *a: tree(*a).where("false"))
+    assert texts_of(spark, article) == [f"before\n\n{prose(9, 20)}"]
     assert texts_of(spark, *pages, host=lambda k: "one")[3] == f"menu\n\nOn this site since 1930\n\n{prose(3, 20)}"
 
 
@@ -651,7 +654,7 @@ def test_style_tree_against_brute_force(spark):
         own = {}
         page = html_extract.Page(h)
         for path, text, _ in page.blocks:
-            own.setdefault(path, []).append(re.sub("[1-9]", "0", text))
+            own.setdefault(html_extract.node_of(path), []).append(re.sub("[1-9]", "0", text))
         for path, blocks in own.items():
             seen.setdefault(path, []).append((tuple(blocks), page.children.get(path)))
 
