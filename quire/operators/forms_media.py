@@ -78,3 +78,14 @@ def font_inventory(fonts: DataFrame) -> DataFrame:
     """(doc_id, name, subtype, encoding, embedded) of font dictionaries (doc_id, value JSON); subset prefixes are dropped."""
     entry = lambda key, other: F.regexp_replace(F.coalesce(F.get_json_object("value", f"$.{key}"), F.lit(other)), "^/", "")
     return fonts.select("doc_id", F.regexp_replace(entry("BaseFont", "Unknown"), "^[A-Z]{6}\\+", "").alias("name"), entry("Subtype", "Type1").alias("subtype"), entry("Encoding", "StandardEncoding").alias("encoding"), F.col("value").rlike("FontFile[23]?").alias("embedded"))
+
+
+def template_packets(parts: DataFrame) -> DataFrame:
+    """(doc_id, ord, name, root, n_bytes) of the named parts of form templates (doc_id, ord, name, xml): empty ones are none, a part without a name is a packet."""
+    root = F.regexp_extract("xml", r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+    return parts.where("length(xml) > 0").select("doc_id", "ord", F.coalesce("name", F.lit("packet")).alias("name"), root.alias("root"), F.octet_length("xml").cast("long").alias("n_bytes"))
+
+
+def hybrid_forms(packets: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc_id) of documents that have both template packets and form fields of the older kind."""
+    return packets.select("doc_id").distinct().join(fields.select("doc_id"), "doc_id", "left_semi")

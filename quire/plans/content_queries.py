@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import content, structure
+from ..operators import content, findings, forms_media, graph, structure
+from ..sources import export
 from ..sources.bridge import table
 from . import structure_queries, text_queries
 from .graph_queries import _name_trees
@@ -161,15 +162,11 @@ _NAMED = "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON
 
 @_register(f"SELECT r_name AS tree, c_name AS name, concat('app.alert(''', c_name, ''')') AS script {_NAMED} WHERE c_mktsegment = 'BUILDING'")
 def named_scripts(spark, d):
-    from ..operators import graph
-
     return content.named_scripts(graph.tree_entries(*_name_trees(spark, d)), _named_objects(spark, d))
 
 
 @_register(f"SELECT r_name AS tree, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE c_name END AS file_name, c_custkey * 10 AS size, 'text/plain' AS mime {_NAMED} WHERE c_mktsegment = 'MACHINERY'")
 def embedded_files(spark, d):
-    from ..operators import graph
-
     return content.embedded_files(graph.tree_entries(*_name_trees(spark, d)), _named_objects(spark, d))
 
 
@@ -183,3 +180,43 @@ def rich_media(spark, d):
 @_register("SELECT p_partkey AS doc_id, 'dc:title' AS key, p_name AS value FROM part")
 def namespace_properties(spark, d):
     return content.properties_of(structure.xmp_properties(structure_queries._packets(spark, d)), "dc:")
+
+
+_DIFFS = text_queries.ORACLE["page_compare"]
+
+
+@_register(f"""WITH c AS ({_DIFFS}), n AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (change = 'Added') AS a, count(*) FILTER (change = 'Removed') AS r, string_agg(concat('- page ', page, ': ', change), chr(10) ORDER BY page) FILTER (change <> 'Same') AS lines FROM c GROUP BY doc_id)
+ SELECT doc_id, concat_ws(chr(10), format('similarity {{:.2f}}%', greatest(0, least(1, 1 - (a + r) / (pages + 10))) * 100), concat('changes ', a + r), concat('added ', a), concat('removed ', r), 'modified 0', lines) AS report FROM n""")
+def diff_reports(spark, d):
+    """Each order compared with the one after it, as text."""
+    changes = text_queries.page_compare(spark, d)
+    return export.diff_reports(changes, changes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")))
+
+
+_TOML = "string_agg(concat('[[findings]]', chr(10), 'severity = \"', severity, '\"', chr(10), 'rule = \"', rule, '\"'), chr(10) || chr(10) ORDER BY concat(severity, '\"', rule)) AS tables"
+
+
+@_register(f"""WITH s AS ({text_queries.ORACLE["risk_scores"]}), t AS (SELECT doc_id, {_TOML} FROM ({text_queries.ALL}, {text_queries.FOUND} SELECT * FROM every_threat) GROUP BY doc_id)
+ SELECT doc_id, concat('score = ', score, chr(10), 'level = "', level, '"', chr(10), 'is_safe = ', CASE WHEN safe THEN 'true' ELSE 'false' END, chr(10), chr(10), tables) AS report FROM s JOIN t USING (doc_id)""")
+def toml_reports(spark, d):
+    found = findings.all_threats(text_queries._texts(spark, d))
+    return export.report_toml(findings.risk(found), found)
+
+
+def _form_parts(spark, d):
+    """Orders as parts of their customers' forms: one status has no content, one priority no name."""
+    c = F.col
+    name = F.when(c("o_orderpriority") != "5-LOW", F.lower("o_orderpriority"))
+    body = F.when(c("o_orderstatus") == "F", F.lit("")).otherwise(F.concat(F.lit("<?xml version='1.0'?>\n<xfa:part"), c("o_orderstatus"), F.lit(" id='"), c("o_orderkey").cast("string"), F.lit("'/>")))
+    return table(spark, d, "orders").select(c("o_custkey").alias("doc_id"), c("o_orderkey").alias("ord"), name.alias("name"), body.alias("xml"))
+
+
+@_register("SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE WHEN o_orderpriority = '5-LOW' THEN 'packet' ELSE lower(o_orderpriority) END AS name, concat('part', o_orderstatus) AS root, strlen(concat('<?xml version=''1.0''?>', chr(10), '<xfa:part', o_orderstatus, ' id=''', o_orderkey, '''/>')) AS n_bytes FROM orders WHERE o_orderstatus <> 'F'")
+def template_packets(spark, d):
+    return forms_media.template_packets(_form_parts(spark, d))
+
+
+@_register("SELECT DISTINCT o_custkey AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND c_mktsegment = 'BUILDING'")
+def hybrid_forms(spark, d):
+    fields = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc_id"))
+    return forms_media.hybrid_forms(forms_media.template_packets(_form_parts(spark, d)), fields)

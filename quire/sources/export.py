@@ -125,3 +125,31 @@ def write_json(records: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+
+
+def _toml_text(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def report_toml(risks: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, report): a security report as TOML, its findings as an array of tables in order; texts without findings have none."""
+    table = F.concat(F.lit("[[findings]]\nseverity = "), _toml_text(F.col("severity")), F.lit("\nrule = "), _toml_text(F.col("rule")))
+    tables = findings.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(table)), "\n\n").alias("tables"))
+    head = F.concat(F.lit("score = "), F.col("score").cast("string"), F.lit("\nlevel = "), _toml_text(F.col("level")), F.lit("\nis_safe = "), F.col("safe").cast("string"))
+    return risks.join(tables, "doc_id", "left").select("doc_id", F.concat_ws("\n\n", head, "tables").alias("report"))
+
+
+def diff_reports(changes: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc_id, report): pages that changed (doc_id, page, change), counted and listed, below the similarity from ``totals`` (doc_id, n_pages).
+
+    Pages that stayed the same are counted in ``n_pages`` alone.
+    """
+    differ = changes.where("change <> 'Same'")
+    line = F.struct("page", F.format_string("- page %s: %s", F.col("page").cast("string"), "change").alias("line"))
+    count = lambda name: F.count_if(F.col("change") == name).alias(name)
+    by = differ.groupBy("doc_id").agg(count("Added"), count("Removed"), count("Modified"), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    both = totals.join(by, "doc_id", "left").na.fill(0, ["Added", "Removed", "Modified"])
+    n = F.col("Added") + F.col("Removed") + F.col("Modified")
+    like = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - n / (F.col("n_pages") + 10)))
+    head = F.format_string("similarity %.2f%%\nchanges %d\nadded %d\nremoved %d\nmodified %d", like * 100, n, "Added", "Removed", "Modified")
+    return both.select("doc_id", F.concat_ws("\n", head, F.array_join("lines", "\n")).alias("report"))

@@ -1,10 +1,13 @@
 """Operators over content: threats, strings, provenance, codec choices, merged trees."""
 
+import tomllib
+
 import pytest
 
 from pyspark.sql import functions as F
 
-from quire.operators import content
+from quire.operators import content, forms_media
+from quire.sources import export
 
 
 def _rows(df):
@@ -72,3 +75,27 @@ def test_rich_media_and_throughput(spark):
     assert _rows(content.rich_media(made)) == [(1, 2, ["b", "a"], 2, 1), (2, 0, [], 0, 0)]
     samples = spark.createDataFrame([("a", 1048576, 500), ("a", 1048576, 500), ("b", 9, 0)], "k string, bytes long, ms long")
     assert _rows(content.throughput(samples, "k")) == [("a", 2, 2.0), ("b", 1, 0.0)]
+
+
+def test_packets_and_hybrid_forms(spark):
+    parts = spark.createDataFrame([(1, 0, "template", "<?xml version='1.0'?><xfa:template a='1'/>"), (1, 1, None, "<data>é</data>"), (2, 0, "x", ""), (3, 0, "y", None)], "doc_id int, ord int, name string, xml string")
+    packets = forms_media.template_packets(parts)
+    assert _rows(packets) == [(1, 0, "template", "template", 42), (1, 1, "packet", "data", 15)]
+    fields = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id int, field string")
+    assert _rows(forms_media.hybrid_forms(packets, fields)) == [(1,)]
+
+
+def test_toml_reports_are_read_back(spark):
+    risks = spark.createDataFrame([(1, 70, "MEDIUM", False), (2, 0, "LOW", True)], "doc_id int, score long, level string, safe boolean")
+    found = spark.createDataFrame([(1, "b", "High"), (1, 'a "quoted" \\ rule', "Medium")], "doc_id int, rule string, severity string")
+    reports = {r.doc_id: tomllib.loads(r.report) for r in export.report_toml(risks, found).collect()}
+    assert reports[1] == {"score": 70, "level": "MEDIUM", "is_safe": False, "findings": [{"severity": "High", "rule": "b"}, {"severity": "Medium", "rule": 'a "quoted" \\ rule'}]}
+    assert reports[2] == {"score": 0, "level": "LOW", "is_safe": True}
+
+
+def test_diff_reports(spark):
+    changes = spark.createDataFrame([(1, 2, "Modified"), (1, 1, "Added"), (1, 3, "Same"), (2, 1, "Same")], "doc_id int, page int, change string")
+    totals = spark.createDataFrame([(1, 10), (2, 1), (3, 0)], "doc_id int, n_pages long")
+    got = dict(_rows(export.diff_reports(changes, totals)))
+    assert got[1] == "similarity 90.00%\nchanges 2\nadded 1\nremoved 0\nmodified 1\n- page 1: Added\n- page 2: Modified"
+    assert got[2] == got[3] == "similarity 100.00%\nchanges 0\nadded 0\nremoved 0\nmodified 0"
