@@ -31,14 +31,37 @@ CODES = {
     "ALT_TEXT_MISSING": "Error",
     "STRUCT_TREE_ROOT_MISSING": "Error",
     "ACCESSIBILITY_METADATA_MISSING": "Error",
+    "PAGES_NO_COUNT": "Error",
+    "PAGES_COUNT_MISSING": "Warning",
+    "CATALOG_VERSION_MISSING": "Warning",
+    "CATALOG_VERSION_MISMATCH": "Warning",
+    "XREF_MISSING": "Error",
+    "TRAILER_SIZE_INCONSISTENT": "Warning",
+    "TRAILER_ID_INVALID": "Warning",
+    "METADATA_NOT_STREAM": "Warning",
+    "METADATA_SUBTYPE_INVALID": "Warning",
+    "FONT_ENCODING_MISSING": "Warning",
+    "DEVICE_RGB_DISALLOWED": "Error",
+    "IMAGE_DEVICE_RGB_DISALLOWED": "Error",
+    "LANG_EMPTY": "Error",
+    "STRUCT_ELEM_MISSING": "Error",
+    "METADATA_STREAM_INVALID": "Error",
+    "XMP_PACKET_MISSING": "Warning",
+    "READING_ORDER_INCOMPLETE": "Error",
 }
 #: Rules of each profile.
 PROFILES = {
-    "PDF-2.0": ["CATALOG_MISSING", "MULTIPLE_CATALOGS", "TRAILER_ROOT_MISSING", "TRAILER_SIZE_MISSING", "PAGES_TREE_MISSING", "PAGES_NO_KIDS", "PAGES_COUNT_MISMATCH", "CATALOG_PAGES_MISSING", "TRAILER_ID_MISSING"],
-    "PDF/A-1b": ["CATALOG_MISSING", "ENCRYPTION_NOT_ALLOWED", "JAVASCRIPT_NOT_ALLOWED", "EXTERNAL_REFERENCE_NOT_ALLOWED", "FONT_NOT_EMBEDDED", "TRANSPARENCY_NOT_ALLOWED", "EMBEDDED_FILE_NOT_ALLOWED"],
-    "PDF/X": ["CATALOG_MISSING", "ENCRYPTION_NOT_ALLOWED", "JAVASCRIPT_NOT_ALLOWED", "OUTPUT_INTENTS_MISSING", "TRIM_BOX_MISSING"],
-    "PDF/UA": ["CATALOG_MISSING", "NO_TAGGED_STRUCTURE", "LANG_MISSING", "ALT_TEXT_MISSING", "STRUCT_TREE_ROOT_MISSING", "ACCESSIBILITY_METADATA_MISSING"],
-}
+    "PDF-2.0": [
+        "CATALOG_MISSING", "MULTIPLE_CATALOGS", "TRAILER_ROOT_MISSING", "TRAILER_SIZE_MISSING", "PAGES_TREE_MISSING", "PAGES_NO_KIDS", "PAGES_NO_COUNT", "PAGES_COUNT_MISMATCH", "PAGES_COUNT_MISSING", "CATALOG_PAGES_MISSING",
+        "TRAILER_ID_MISSING", "TRAILER_ID_INVALID", "CATALOG_VERSION_MISSING", "CATALOG_VERSION_MISMATCH", "XREF_MISSING", "TRAILER_SIZE_INCONSISTENT", "METADATA_NOT_STREAM", "METADATA_SUBTYPE_INVALID", "FONT_ENCODING_MISSING",
+    ],
+    "PDF/A-1b": ["CATALOG_MISSING", "PAGES_TREE_MISSING", "ENCRYPTION_NOT_ALLOWED", "JAVASCRIPT_NOT_ALLOWED", "EXTERNAL_REFERENCE_NOT_ALLOWED", "FONT_NOT_EMBEDDED", "TRANSPARENCY_NOT_ALLOWED", "EMBEDDED_FILE_NOT_ALLOWED"],
+    "PDF/X": ["CATALOG_MISSING", "PAGES_TREE_MISSING", "ENCRYPTION_NOT_ALLOWED", "JAVASCRIPT_NOT_ALLOWED", "FONT_NOT_EMBEDDED", "OUTPUT_INTENTS_MISSING", "DEVICE_RGB_DISALLOWED", "IMAGE_DEVICE_RGB_DISALLOWED", "TRIM_BOX_MISSING"],
+    "PDF/UA": [
+        "CATALOG_MISSING", "PAGES_TREE_MISSING", "NO_TAGGED_STRUCTURE", "LANG_MISSING", "LANG_EMPTY", "STRUCT_ELEM_MISSING", "ALT_TEXT_MISSING", "STRUCT_TREE_ROOT_MISSING", "READING_ORDER_INCOMPLETE",
+        "ACCESSIBILITY_METADATA_MISSING", "METADATA_STREAM_INVALID", "XMP_PACKET_MISSING",
+    ],
+}
 
 
 def _entry(name: str) -> Column:
@@ -46,11 +69,19 @@ def _entry(name: str) -> Column:
 
 
 def document_facts(rows: DataFrame) -> DataFrame:
-    """One row a document: counts over its objects that all rules draw on, and its own facts, in one aggregation over one parse."""
+    """One row a document: counts over its objects that all rules draw on, and its own facts, in one aggregation over one parse.
+
+    What the catalog refers to is looked up among the ids of the few objects that can be
+    it: metadata streams, and dictionaries that have both parts of a structure tree.
+    """
     whole = pdf.type_of(F.col("value"), F.col("stream"))
     nodes = rows.where("kind in ('doc', 'object')").withColumn("node_type", F.when(F.col("kind") == "object", whole))
     is_type = lambda *names: F.coalesce(F.col("node_type").isin(*names), F.lit(False))
     catalog, inner = is_type("Catalog"), F.col("kind") == "object"
+    ident, stream = F.concat_ws(" ", "obj", "gen"), F.col("stream").isNotNull()
+    xml = stream & (_entry("Subtype") == "/XML")
+    ids = lambda cond: F.collect_set(F.when(F.coalesce(inner & cond, F.lit(False)), ident))
+    rgb = lambda path: F.coalesce(F.contains(_entry(path), F.lit("/DeviceRGB")), F.lit(False))
     out = nodes.groupBy("doc_id").agg(
         F.count_if(inner).alias("n_objects"),
         F.count_if(catalog).alias("n_catalogs"),
@@ -65,6 +96,22 @@ def document_facts(rows: DataFrame) -> DataFrame:
         F.count_if(is_type("Page") & (_entry("Group.S") == "/Transparency")).alias("n_transparent"),
         F.count_if(is_type("Page") & _entry("TrimBox").isNull()).alias("n_untrimmed"),
         F.count_if(inner & _entry("S").isin("/Figure", "/Formula", "/Table") & _entry("Alt").isNull()).alias("n_without_alt"),
+        F.count_if(is_type("Pages") & _entry("Count").isNull()).alias("n_without_count"),
+        F.count_if(is_type("Page") & rgb("Resources.ColorSpace")).alias("n_rgb_pages"),
+        F.count_if(is_type("Image") & rgb("ColorSpace")).alias("n_rgb_images"),
+        F.count_if(is_type("Font") & _entry("Encoding").isNull() & _entry("ToUnicode").isNull()).alias("n_unencoded_fonts"),
+        F.count_if(inner & (_entry("Type") == "/StructElem")).alias("n_elements"),
+        F.max(F.when(inner, F.col("obj"))).alias("last_object"),
+        F.max(F.when(catalog, _entry("Version"))).alias("catalog_version"),
+        F.max(F.when(catalog, _entry("Lang"))).alias("lang"),
+        F.max(F.when(catalog, _entry("Metadata.R"))).alias("metadata"),
+        F.max(F.when(catalog, _entry("StructTreeRoot.R"))).alias("tree"),
+        F.bool_or(catalog & _entry("StructTreeRoot.K").isNotNull() & _entry("StructTreeRoot.ParentTree").isNotNull()).alias("whole_tree"),
+        ids(_entry("K").isNotNull() & _entry("ParentTree").isNotNull()).alias("trees"),
+        ids(xml | (stream & (_entry("Type") == "/Metadata"))).alias("metadata_streams"),
+        ids(xml).alias("xml_subtypes"),
+        ids(xml & F.coalesce(_entry("Type") == "/Metadata", F.lit(True))).alias("xml_streams"),
+        ids(xml & F.contains(F.decode("stream", "ISO-8859-1"), F.lit("x:xmpmeta"))).alias("packets"),
         F.bool_or(catalog & _entry("Pages").isNotNull()).alias("has_pages"),
         F.bool_or(catalog & _entry("OpenAction").isNotNull()).alias("has_open_action"),
         F.bool_or(catalog & _entry("MarkInfo").isNotNull()).alias("tagged"),
@@ -82,6 +129,11 @@ def _rules(profile: str) -> Column:
     """The rules of ``profile`` that a row of ``document_facts`` breaks."""
     n = lambda name: F.coalesce(name, F.lit(0))
     lacks = lambda name: (~F.coalesce(name, F.lit(False))).cast("long")
+    within = lambda name, sets: F.coalesce(F.array_contains(sets, F.col(name)), F.lit(False))
+    named, of_two = F.coalesce("has_metadata", F.lit(False)), F.coalesce(F.split("version", r"\.")[0].cast("int") >= 2, F.lit(False))
+    is_two = F.coalesce(F.col("catalog_version").isin("/2.0", "(2.0"), F.lit(False))
+    xml = within("metadata", "xml_streams")
+    whole = within("tree", "trees") | F.coalesce("whole_tree", F.lit(False))
     counts = {
         "CATALOG_MISSING": (n("n_catalogs") == 0).cast("long"),
         "MULTIPLE_CATALOGS": (n("n_catalogs") > 1).cast("long"),
@@ -89,7 +141,7 @@ def _rules(profile: str) -> Column:
         "TRAILER_SIZE_MISSING": F.col("trailer_size").isNull().cast("long"),
         "PAGES_TREE_MISSING": (n("n_page_trees") == 0).cast("long"),
         "PAGES_NO_KIDS": n("n_without_kids"),
-        "PAGES_COUNT_MISMATCH": (n("count") != n("n_pages")).cast("long"),
+        "PAGES_COUNT_MISMATCH": F.coalesce(F.col("count") != n("n_pages"), F.lit(False)).cast("long"),
         "CATALOG_PAGES_MISSING": lacks("has_pages"),
         "TRAILER_ID_MISSING": lacks("has_id"),
         "ENCRYPTION_NOT_ALLOWED": F.col("encrypted").cast("long"),
@@ -105,6 +157,23 @@ def _rules(profile: str) -> Column:
         "ALT_TEXT_MISSING": n("n_without_alt"),
         "STRUCT_TREE_ROOT_MISSING": lacks("has_structure"),
         "ACCESSIBILITY_METADATA_MISSING": lacks("has_metadata"),
+        "PAGES_NO_COUNT": n("n_without_count"),
+        "PAGES_COUNT_MISSING": F.col("count").isNull().cast("long"),
+        "CATALOG_VERSION_MISSING": (of_two & ~is_two).cast("long"),
+        "CATALOG_VERSION_MISMATCH": (~of_two & is_two).cast("long"),
+        "XREF_MISSING": (n("entries") == 0).cast("long"),
+        "TRAILER_SIZE_INCONSISTENT": F.coalesce(F.col("trailer_size") < n("last_object") + 1, F.lit(False)).cast("long"),
+        "TRAILER_ID_INVALID": (F.col("has_id") & ~F.col("two_ids")).cast("long"),
+        "METADATA_NOT_STREAM": (named & ~within("metadata", "metadata_streams")).cast("long"),
+        "METADATA_SUBTYPE_INVALID": (within("metadata", "metadata_streams") & ~within("metadata", "xml_subtypes")).cast("long"),
+        "FONT_ENCODING_MISSING": n("n_unencoded_fonts"),
+        "DEVICE_RGB_DISALLOWED": n("n_rgb_pages"),
+        "IMAGE_DEVICE_RGB_DISALLOWED": n("n_rgb_images"),
+        "LANG_EMPTY": F.coalesce(F.col("lang") == "(", F.lit(False)).cast("long"),
+        "STRUCT_ELEM_MISSING": (n("n_elements") == 0).cast("long"),
+        "METADATA_STREAM_INVALID": (named & ~xml).cast("long"),
+        "XMP_PACKET_MISSING": (xml & ~within("metadata", "packets")).cast("long"),
+        "READING_ORDER_INCOMPLETE": (F.coalesce("has_structure", F.lit(False)) & ~whole).cast("long"),
     }
     found = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(CODES[c]).alias("severity"), counts[c].alias("n")) for c in PROFILES[profile]))
     return F.filter(found, lambda x: x["n"] > 0)

@@ -85,7 +85,7 @@ RULES = {
     "PDF-2.0": "SELECT doc_id, 'TRAILER_ID_MISSING' AS code, 'Warning' AS severity, CAST(1 AS BIGINT) AS n FROM d",
     "PDF/A-1b": "SELECT doc_id, 'ENCRYPTION_NOT_ALLOWED' AS code, 'Error' AS severity, CAST(1 AS BIGINT) AS n FROM d WHERE encrypted UNION ALL SELECT doc_id, 'JAVASCRIPT_NOT_ALLOWED', 'Error', 1 FROM d WHERE js UNION ALL SELECT doc_id, 'EXTERNAL_REFERENCE_NOT_ALLOWED', 'Error', 1 FROM d WHERE uri UNION ALL SELECT doc_id, 'EMBEDDED_FILE_NOT_ALLOWED', 'Error', 1 FROM d WHERE file",
     "PDF/X": "SELECT doc_id, 'ENCRYPTION_NOT_ALLOWED' AS code, 'Error' AS severity, CAST(1 AS BIGINT) AS n FROM d WHERE encrypted UNION ALL SELECT doc_id, 'JAVASCRIPT_NOT_ALLOWED', 'Error', 1 FROM d WHERE js UNION ALL SELECT doc_id, 'OUTPUT_INTENTS_MISSING', 'Error', 1 FROM d UNION ALL SELECT doc_id, 'TRIM_BOX_MISSING', 'Warning', n_pages FROM d",
-    "PDF/UA": "SELECT doc_id, unnest(['NO_TAGGED_STRUCTURE', 'LANG_MISSING', 'STRUCT_TREE_ROOT_MISSING', 'ACCESSIBILITY_METADATA_MISSING']) AS code, 'Error' AS severity, CAST(1 AS BIGINT) AS n FROM d",
+    "PDF/UA": "SELECT doc_id, unnest(['NO_TAGGED_STRUCTURE', 'LANG_MISSING', 'STRUCT_TREE_ROOT_MISSING', 'ACCESSIBILITY_METADATA_MISSING', 'STRUCT_ELEM_MISSING']) AS code, 'Error' AS severity, CAST(1 AS BIGINT) AS n FROM d",
 }
 
 
@@ -101,7 +101,7 @@ for _name, _p in (("validate_base", "PDF-2.0"), ("validate_archive", "PDF/A-1b")
     _profile(_name, _p, RULES[_p])
 
 
-@_register("@all SELECT doc_id, CAST(f AS BIGINT) AS failed, CAST(7 - f AS BIGINT) AS passed, f = 0 AS is_valid FROM (SELECT doc_id, encrypted::INT + js::INT + uri::INT + file::INT AS f FROM d)")
+@_register("@all SELECT doc_id, CAST(f AS BIGINT) AS failed, CAST(8 - f AS BIGINT) AS passed, f = 0 AS is_valid FROM (SELECT doc_id, encrypted::INT + js::INT + uri::INT + file::INT AS f FROM d)")
 def validation_report(spark, d):
     return conformance.report(_rows(spark, d), "PDF/A-1b")
 

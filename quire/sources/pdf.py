@@ -300,8 +300,9 @@ def read(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int
 def document_facts(value: Column) -> list[Column]:
     """The columns of a document's facts, from the value of its ``doc`` row."""
     fact = lambda name: F.get_json_object(value, f"$.{name}")
+    ids = F.filter(F.from_json(fact("trailer.ID"), "array<string>"), lambda x: x.startswith("("))
     kinds = {"size": "long", "revisions": "int", "recovered": "boolean", "eof_marks": "int", "header": "boolean", "has_xref": "boolean", "has_trailer": "boolean", "ends": "boolean", "declared": "long", "entries": "long", "startxrefs": "int", "unclosed": "long"}
-    return [fact("version").alias("version"), *(fact(k).cast(t).alias(k) for k, t in kinds.items()), fact("trailing").cast("boolean").alias("has_trailing"), fact("trailer.Encrypt").isNotNull().alias("encrypted"), fact("trailer.Root.R").alias("root"), fact("trailer.Size").cast("long").alias("trailer_size"), fact("trailer.ID").isNotNull().alias("has_id")]
+    return [fact("version").alias("version"), *(fact(k).cast(t).alias(k) for k, t in kinds.items()), fact("trailing").cast("boolean").alias("has_trailing"), fact("trailer.Encrypt").isNotNull().alias("encrypted"), fact("trailer.Root.R").alias("root"), fact("trailer.Size").cast("long").alias("trailer_size"), fact("trailer.ID").isNotNull().alias("has_id"), F.coalesce(F.size(ids) == 2, F.lit(False)).alias("two_ids")]
 
 
 def documents(rows: DataFrame) -> DataFrame:

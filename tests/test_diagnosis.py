@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import diagnosis
+from quire.operators import conformance, diagnosis
 from quire.plans import diagnosis_queries
+from quire.sources import pdf
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
@@ -110,3 +111,31 @@ def test_a_batch_applies_changes_in_order(spark):
     assert _rows(links.select("src", "dst")) == [("a", "b"), ("r", "a")]
     with pytest.raises(ValueError):
         diagnosis.apply_batch(nodes, edges, [("swap", nodes)])
+
+
+def _file(catalog, *objects, version="2.0", trailer="/Root 1 0 R /Size 20 /ID [(a) (b)]"):
+    body = [f"<< /Type /Catalog /Pages 2 0 R {catalog} >>", *objects]
+    return "".join([f"%PDF-{version}\n", *(f"{k} 0 obj\n{b}\nendobj\n" for k, b in enumerate(body, 1)), f"trailer\n<< {trailer} >>\n%%EOF"]).encode()
+
+
+def test_rules_of_profiles(spark):
+    pages = "<< /Type /Pages /Count 1 /Kids [3 0 R] >>", "<< /Type /Page /Parent 2 0 R /TrimBox [0 0 1 1] >>"
+    packet = lambda sub, text, kind="/Type /Metadata": f"<< {kind} /Subtype /{sub} /Length {len(text)} >>\nstream\n{text}\nendstream"
+    good = _file("/Version /2.0 /Metadata 4 0 R /Lang (en) /MarkInfo << /Marked true >> /StructTreeRoot 5 0 R", *pages, packet("XML", "<x:xmpmeta/>"), "<< /Type /StructTreeRoot /K [6 0 R] /ParentTree 7 0 R >>", "<< /Type /StructElem /S /P >>", "<< /Nums [] >>")
+    bad = _file(
+        "/Lang () /Metadata 4 0 R /StructTreeRoot 5 0 R", "<< /Type /Pages /Kids [3 0 R] >>", "<< /Type /Page /Resources << /ColorSpace << /A [/Indexed /DeviceRGB 1 (x)] >> >> >>", packet("Text", "plain"), "<< /Type /StructTreeRoot /K [] >>",
+        "<< /Type /StructElem /S /Figure >>", "<< /Type /XObject /Subtype /Image /ColorSpace /DeviceRGB >>", "<< /Type /Font >>", trailer="/Root 1 0 R /Size 3 /ID [(a)]",
+    )
+    old = _file("/Version /2.0 /Metadata << /A 1 >>", *pages, version="1.7", trailer="/Root 1 0 R /Size 20")
+    rows = pdf.parse(spark.createDataFrame([(1, good), (2, bad), (3, old)], "doc_id long, content binary"))
+
+    def broken(doc, profile):
+        return {r.code for r in conformance.issues(rows, profile).where(F.col("doc_id") == doc).collect()}
+
+    assert broken(1, "PDF-2.0") == set()
+    assert broken(1, "PDF/UA") == set()
+    assert broken(2, "PDF-2.0") == {"PAGES_NO_COUNT", "PAGES_COUNT_MISSING", "CATALOG_VERSION_MISSING", "TRAILER_SIZE_INCONSISTENT", "TRAILER_ID_INVALID", "METADATA_SUBTYPE_INVALID", "FONT_ENCODING_MISSING"}
+    assert broken(2, "PDF/UA") == {"NO_TAGGED_STRUCTURE", "LANG_EMPTY", "ALT_TEXT_MISSING", "READING_ORDER_INCOMPLETE", "METADATA_STREAM_INVALID"}
+    assert broken(2, "PDF/X") == {"FONT_NOT_EMBEDDED", "OUTPUT_INTENTS_MISSING", "DEVICE_RGB_DISALLOWED", "IMAGE_DEVICE_RGB_DISALLOWED", "TRIM_BOX_MISSING"}
+    assert broken(3, "PDF-2.0") == {"TRAILER_ID_MISSING", "CATALOG_VERSION_MISMATCH", "METADATA_NOT_STREAM"}
+    assert broken(3, "PDF/X") == {"OUTPUT_INTENTS_MISSING"}
