@@ -63,6 +63,9 @@ PROFILES = {
     ],
 }
 
+#: The least version that a profile supports.
+LEAST = {"PDF-2.0": 1.4, "PDF/A-1b": 1.4, "PDF/X": 1.3, "PDF/UA": 1.7}
+
 
 def _entry(name: str) -> Column:
     return F.get_json_object("value", f"$.{name}")
@@ -192,6 +195,15 @@ def report(rows: DataFrame, profile: str) -> DataFrame:
     return out.select("doc_id", failed.alias("failed"), (F.lit(len(PROFILES[profile])) - failed).cast("long").alias("passed"), (~grave).alias("is_valid"))
 
 
+def all_reports(rows: DataFrame, least: dict[str, float] = LEAST) -> DataFrame:
+    """(doc_id, profile, failed, passed, is_valid) by every profile whose least version a document has, in one pass over it."""
+    one = lambda p, fit: F.when(fit, F.struct(F.lit(p).alias("profile"), _rules(p).alias("broken"), F.lit(len(PROFILES[p])).alias("n")))
+    each = document_facts(rows).select("doc_id", F.explode(F.array_compact(F.array(*(one(p, F.col("version").cast("double") >= v) for p, v in least.items())))).alias("r"))
+    failed = F.size("r.broken").cast("long")
+    grave = F.exists("r.broken", lambda x: x["severity"].isin("Error", "Critical"))
+    return each.select("doc_id", "r.profile", failed.alias("failed"), (F.col("r.n") - failed).cast("long").alias("passed"), (~grave).alias("is_valid"))
+
+
 def indicators(rows: DataFrame) -> DataFrame:
     """(doc_id, check, status) of what a document can do by itself; a single pass row where nothing was found."""
     facts = document_facts(rows)

@@ -6,7 +6,7 @@ references are ``{"R": "number generation"}``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -293,6 +293,16 @@ def completion(tasks: DataFrame, key: str) -> DataFrame:
     return tasks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("done"), F.lit(False)).cast("double")).alias("share"))
 
 
+def timeline(changes: DataFrame) -> DataFrame:
+    """(doc_id, rev, previous, n_changes, grown) of changes (doc_id, rev): each revision beside the one before it, null for the first.
+
+    ``grown`` is how many more changes it has than the one before.
+    """
+    own = Window.partitionBy("doc_id").orderBy("rev")
+    by = changes.groupBy("doc_id", "rev").agg(F.count(F.lit(1)).alias("n_changes"))
+    return by.select("doc_id", "rev", F.lag("rev").over(own).alias("previous"), "n_changes", (F.col("n_changes") - F.lag("n_changes").over(own)).alias("grown"))
+
+
 def minima(ranges: list[tuple[float, float]]) -> Column:
     """A calculator function's values: the least of each range, whatever the input, as program text is not run."""
     return F.array(*(F.lit(float(low)) for low, _ in ranges))

@@ -235,6 +235,13 @@ def completion(spark, d):
     return diagnosis.completion(table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("done")), "o_custkey").withColumn("share", F.round("share", 6))
 
 
+@_register("WITH r AS (SELECT o_custkey AS doc_id, year(o_orderdate)::INT AS rev, count(*) AS n_changes FROM orders GROUP BY ALL) SELECT doc_id, rev, coalesce(lag(rev) OVER w, 0)::INT AS previous, n_changes, coalesce(n_changes - lag(n_changes) OVER w, 0) AS grown FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY rev)")
+def revision_timeline(spark, d):
+    """Customers as documents, a year's orders as a revision's changes."""
+    found = diagnosis.timeline(table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.year("o_orderdate").alias("rev")))
+    return found.withColumn("previous", F.coalesce("previous", F.lit(0))).withColumn("grown", F.coalesce("grown", F.lit(0)))
+
+
 @_register("SELECT event_id, 0.5::DOUBLE AS low, -1.0::DOUBLE AS lower FROM events")
 def calculator_values(spark, d):
     y = diagnosis.minima([(0.5, 2.0), (-1.0, 1.0)])

@@ -106,6 +106,12 @@ def validation_report(spark, d):
     return conformance.report(_rows(spark, d), "PDF/A-1b")
 
 
+@_register("""@all, p AS (SELECT doc_id, 'PDF/A-1b' AS profile, encrypted::INT + js::INT + uri::INT + file::INT AS f, 8 AS n, encrypted OR js OR uri OR file AS bad FROM d UNION ALL SELECT doc_id, 'PDF-2.0', 1, 19, false FROM d
+ UNION ALL SELECT doc_id, 'PDF/UA', 5, 12, true FROM d WHERE doc_id % 4 = 3 UNION ALL SELECT doc_id, 'PDF/X', encrypted::INT + js::INT + 2, 9, true FROM d) SELECT doc_id, profile, CAST(f AS BIGINT) AS failed, CAST(n - f AS BIGINT) AS passed, NOT bad AS is_valid FROM p""")
+def validation_of_all_profiles(spark, d):
+    return conformance.all_reports(_rows(spark, d))
+
+
 @_register("@all SELECT doc_id, i AS integrity, i AS score, CASE WHEN i = 1 THEN 'Healthy' ELSE 'Damaged' END AS level FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 2 AND NOT has_trailing THEN 1.0 ELSE 2 / 3 END::DOUBLE AS i FROM d)")
 def document_health(spark, d):
     """A file ends with its end mark only where the line break after it is cut off, here for one in four."""

@@ -153,3 +153,20 @@ def diff_reports(changes: DataFrame, totals: DataFrame) -> DataFrame:
     like = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - n / (F.col("n_pages") + 10)))
     head = F.format_string("similarity %.2f%%\nchanges %d\nadded %d\nremoved %d\nmodified %d", like * 100, n, "Added", "Removed", "Modified")
     return both.select("doc_id", F.concat_ws("\n", head, F.array_join("lines", "\n")).alias("report"))
+
+
+#: JSON types of the types that have one.
+JSON_TYPES = {T.StringType: "string", T.BooleanType: "boolean", T.ByteType: "integer", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer", T.FloatType: "number", T.DoubleType: "number", T.DecimalType: "number"}
+
+
+def json_schema(kind: T.DataType, title: str | None = None) -> dict:
+    """The draft-07 schema of what ``to_json_lines`` writes for a type: null fields are left out there and so not required here."""
+    if isinstance(kind, T.StructType):
+        out: dict = {"type": "object", "required": [f.name for f in kind if not f.nullable], "properties": {f.name: json_schema(f.dataType) for f in kind}}
+    elif isinstance(kind, T.ArrayType):
+        out = {"type": "array", "items": json_schema(kind.elementType)}
+    elif isinstance(kind, T.MapType):
+        out = {"type": "object", "additionalProperties": json_schema(kind.valueType)}
+    else:  # dates, times and bytes (base64) are strings
+        out = {"type": JSON_TYPES.get(type(kind), "string")}
+    return {"$schema": "http://json-schema.org/draft-07/schema#", "title": title, **out} if title else out

@@ -7,11 +7,12 @@ shared folder. ``drain`` processes all that is there and returns that table.
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,6 +44,33 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/table").select(*stream.columns)
 
 
+def consume(stream: DataFrame, each: Callable[[DataFrame, int], bool]) -> int:
+    """Gives the micro-batches of all that is there to ``each`` until it returns False; the number of batches it was given.
+
+    A batch can come again after a failure, under its old number.
+    """
+    base = f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    given, ended = set(), threading.Event()
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        if not ended.is_set():
+            given.add(epoch)
+            if each(batch, epoch) is False:
+                ended.set()
+
+    query = stream.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(step).start()
+    while not query.awaitTermination(1):
+        if ended.is_set():
+            query.stop()
+    return len(given)
+
+
+def observed(df: DataFrame, name: str, kind: str = "node_type") -> tuple[DataFrame, Observation]:
+    """``df`` with an observation of its rows and of its kinds (about), filled when an action has run through it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n"), F.approx_count_distinct(kind).alias("kinds")), seen
+
+
 def type_counts(events: DataFrame, kind: str = "event_type") -> DataFrame:
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
 

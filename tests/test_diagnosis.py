@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import conformance, diagnosis
 from quire.plans import diagnosis_queries
-from quire.sources import pdf
+from quire.sources import export, pdf
+from quire.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
@@ -139,3 +140,30 @@ def test_rules_of_profiles(spark):
     assert broken(2, "PDF/X") == {"FONT_NOT_EMBEDDED", "OUTPUT_INTENTS_MISSING", "DEVICE_RGB_DISALLOWED", "IMAGE_DEVICE_RGB_DISALLOWED", "TRIM_BOX_MISSING"}
     assert broken(3, "PDF-2.0") == {"TRAILER_ID_MISSING", "CATALOG_VERSION_MISMATCH", "METADATA_NOT_STREAM"}
     assert broken(3, "PDF/X") == {"OUTPUT_INTENTS_MISSING"}
+
+
+def test_schema_of_an_export(spark):
+    df = spark.createDataFrame([(1, "a", [1.5], {"k": True}, (b"x", None))], "id long not null, name string, xs array<double>, flags map<string,boolean>, s struct<data:binary,day:date>")
+    got = export.json_schema(df.schema, "Rows")
+    assert got["$schema"].endswith("draft-07/schema#") and got["title"] == "Rows" and got["required"] == ["id"]
+    assert got["properties"] == {
+        "id": {"type": "integer"}, "name": {"type": "string"}, "xs": {"type": "array", "items": {"type": "number"}}, "flags": {"type": "object", "additionalProperties": {"type": "boolean"}},
+        "s": {"type": "object", "required": [], "properties": {"data": {"type": "string"}, "day": {"type": "string"}}},
+    }
+
+
+def test_a_consumer_ends_its_stream(spark, sf, tmp_path):
+    path = str(tmp_path / "events")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(4).write.parquet(path)
+    seen = []
+    keep = lambda limit: lambda batch, epoch: seen.append(batch.count()) or len(seen) < limit
+    assert ingest.consume(ingest.file_stream(spark, path, 1), keep(2)) == 2 and len(seen) == 2
+    seen.clear()
+    assert ingest.consume(ingest.file_stream(spark, path, 1), keep(99)) == 4
+    assert sum(seen) == spark.read.parquet(path).count()
+
+
+def test_rows_are_observed_on_their_way(spark):
+    df, seen = ingest.observed(spark.createDataFrame([("a",), ("a",), ("b",)], "node_type string"), "nodes")
+    df.collect()
+    assert seen.get == {"n": 3, "kinds": 2}
