@@ -39,6 +39,8 @@ LEVELS = {
 }
 #: Misspelt keywords.
 TYPOS = {"obje": "obj", "endobje": "endobj", "stram": "stream", "endstram": "endstream"}
+#: Keywords that a word with one wrong character stands for.
+KEYWORDS = ["obj", "endobj", "stream", "endstream", "xref", "trailer", "startxref", "Type", "Catalog", "Pages", "Page", "Font"]
 
 
 def _entry(name: str, value: str = "value") -> Column:
@@ -242,13 +244,13 @@ def strategies(level: str) -> list[str]:
 
 
 def repaired(files: DataFrame, level: str = "Aggressive") -> DataFrame:
-    """(doc_id, text, actions) of files (doc_id, text): header, trailer and end mark, references, control characters, misspelt keywords and brackets mended.
+    """(doc_id, text, actions) of files (doc_id, text): header, trailer and end mark, references, stream bounds, control characters, misspelt keywords and brackets mended.
 
     ``text`` holds one character a byte (ISO-8859-1). ``actions`` names what changed the
     text, in the order of the level's priorities; what a level leaves out is not tried. A
     null text stays null. Every step is an expression over whole texts.
     """
-    mends = {"BasicStructure": _basic_structure, "Reference": _references, "Encoding": _encoding, "Heuristic": _heuristic}
+    mends = {"BasicStructure": _basic_structure, "Reference": _references, "Stream": _streams, "Encoding": _encoding, "Heuristic": _heuristic, "FuzzyMatching": _keywords}
     none = F.array().cast("array<string>")
     out = files.select("doc_id", "text", none.alias("actions"))
     for name in strategies(level):
@@ -270,6 +272,17 @@ def _references(t: Column) -> Column:
     return F.regexp_replace(t, r"\b(\d+)\s+(\d+)R\b", "$1 $2 R")
 
 
+def _streams(t: Column) -> Column:
+    return F.regexp_replace(t, r"(?s)\bstream(?:\r?\n)?(.*?)\n?endstream", "stream\n$1\nendstream")
+
+
+def _keywords(t: Column) -> Column:
+    """Words that are no keyword but one edit away from one become the first such keyword; white space stays."""
+    near = lambda w: F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.levenshtein(w, k, 1) == 1)
+    right = lambda w: F.when((F.length(w) > 10) | w.isin(KEYWORDS), w).otherwise(F.coalesce(F.get(near(w), 0), w))
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"[ \t\n\r]+|[^ \t\n\r]+"), 0), right), "")
+
+
 def _encoding(t: Column) -> Column:
     return F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
 
@@ -293,6 +306,14 @@ def completion(tasks: DataFrame, key: str) -> DataFrame:
     return tasks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("done"), F.lit(False)).cast("double")).alias("share"))
 
 
+def textual_values(values: DataFrame) -> DataFrame:
+    """(doc_id, node_id, text) of every key, name and string, however deep, in values (doc_id, node_id, value); references are no text."""
+    plain = F.regexp_replace("value", r'\{"R":\s*"\d+ \d+"\}', "null")
+    quoted = F.regexp_extract_all(plain, F.lit(r'("(?:[^"\\]++|\\.)*+")'), 1)
+    texts = F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>")
+    return values.select("doc_id", "node_id", F.explode(texts).alias("text")).withColumn("text", F.regexp_replace("text", "^[/(]", ""))
+
+
 def timeline(changes: DataFrame) -> DataFrame:
     """(doc_id, rev, previous, n_changes, grown) of changes (doc_id, rev): each revision beside the one before it, null for the first.
 

@@ -205,21 +205,23 @@ def linearized_files(spark, d):
     return found.select("p_partkey", "l.version", "l.length", "l.hint_offset", F.coalesce("l.hint_length", F.lit(-1)).alias("hint_length"), "l.objects")
 
 
+_KEYS = "[" + ", ".join(f"'{k}'" for k in diagnosis.KEYWORDS) + "]"
 _END = r"concat(CASE WHEN contains(a, 'trailer') THEN a ELSE concat(a, 'trailer', chr(10), '<<', chr(10), '/Size 2', chr(10), '/Root 1 0 R', chr(10), '>>', chr(10), 'startxref', chr(10), '0', chr(10)) END"
 
 
-@_register(rf"""WITH t AS (SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN 'junk %PDF-1.7 ' WHEN 1 THEN '%PDF-1.7 ' ELSE '' END, text, ' 12 0R ', chr(1), ' obje [ ( stram', CASE WHEN doc_id % 2 = 0 THEN ' trailer %%EOF' ELSE '' END) AS text FROM documents WHERE text IS NOT NULL),
+@_register(rf"""WITH t AS (SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN 'junk %PDF-1.7 ' WHEN 1 THEN '%PDF-1.7 ' ELSE '' END, text, ' 12 0R ', chr(1), ' obje [ ( stram stream Q q endstream Fomt', CASE WHEN doc_id % 2 = 0 THEN ' trailer %%EOF' ELSE '' END) AS text FROM documents WHERE text IS NOT NULL),
  h AS (SELECT doc_id, text, CASE WHEN strpos(text, '%PDF-') = 0 THEN concat('%PDF-1.4', chr(10), text) ELSE substr(text, strpos(text, '%PDF-')) END AS a FROM t),
  b AS (SELECT doc_id, text, {_END}, CASE WHEN contains(a, 'trailer') AND (ends_with(a, '%%EOF') OR ends_with(a, concat('%%EOF', chr(10)))) THEN '' ELSE concat(chr(10), '%%EOF') END) AS b FROM h),
- r AS (SELECT *, regexp_replace(b, '\b(\d+)\s+(\d+)R\b', '\1 \2 R', 'g') AS r FROM b), e AS (SELECT *, regexp_replace(r, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS e FROM r),
+ r AS (SELECT *, regexp_replace(b, '\b(\d+)\s+(\d+)R\b', '\1 \2 R', 'g') AS r FROM b), x AS (SELECT *, regexp_replace(r, '(?s)\bstream(?:\r?\n)?(.*?)\n?endstream', concat('stream', chr(10), '\1', chr(10), 'endstream'), 'g') AS x FROM r), e AS (SELECT *, regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS e FROM x),
  w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(e, '\bobje\b', 'obj', 'g'), '\bendobje\b', 'endobj', 'g'), '\bstram\b', 'stream', 'g'), '\bendstram\b', 'endstream', 'g') AS w FROM e),
- m AS (SELECT *, greatest(0, length(regexp_replace(w, '[^\[(<]', '', 'g')) - length(regexp_replace(w, '[^\])>]', '', 'g'))) AS n FROM w)
- SELECT doc_id, md5(concat(w, repeat(']', n))) AS digest, concat_ws(',', CASE WHEN b <> text THEN 'BasicStructure' END, CASE WHEN r <> b THEN 'Reference' END, CASE WHEN e <> r THEN 'Encoding' END, CASE WHEN w <> e OR n > 0 THEN 'Heuristic' END) AS actions FROM m""")
+ m AS (SELECT *, greatest(0, length(regexp_replace(w, '[^\[(<]', '', 'g')) - length(regexp_replace(w, '[^\])>]', '', 'g'))) AS n FROM w), v AS (SELECT *, concat(w, repeat(']', n)) AS v FROM m),
+ z AS (SELECT *, array_to_string(list_transform(regexp_extract_all(v, '[ \t\n\r]+|[^ \t\n\r]+'), lambda t: CASE WHEN length(t) > 10 OR list_contains({_KEYS}, t) THEN t ELSE coalesce(list_filter({_KEYS}, lambda k: levenshtein(t, k) = 1)[1], t) END), '') AS z FROM v)
+ SELECT doc_id, md5(z) AS digest, concat_ws(',', CASE WHEN b <> text THEN 'BasicStructure' END, CASE WHEN r <> b THEN 'Reference' END, CASE WHEN x <> r THEN 'Stream' END, CASE WHEN e <> x THEN 'Encoding' END, CASE WHEN w <> e OR n > 0 THEN 'Heuristic' END, CASE WHEN z <> v THEN 'FuzzyMatching' END) AS actions FROM z""")
 def repaired_files(spark, d):
     """Every text as a damaged file: what is wrong follows from the id."""
     c = F.col("doc_id")
     head = F.when(c % 3 == 0, "junk %PDF-1.7 ").when(c % 3 == 1, "%PDF-1.7 ").otherwise("")
-    tail = F.concat(F.lit(" 12 0R \x01 obje [ ( stram"), F.when(c % 2 == 0, " trailer %%EOF").otherwise(""))
+    tail = F.concat(F.lit(" 12 0R \x01 obje [ ( stram stream Q q endstream Fomt"), F.when(c % 2 == 0, " trailer %%EOF").otherwise(""))
     files = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(head, "text", tail).alias("text"))
     return diagnosis.repaired(files).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.array_join("actions", ",").alias("actions"))
 
@@ -235,6 +237,15 @@ def completion(spark, d):
     return diagnosis.completion(table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("done")), "o_custkey").withColumn("share", F.round("share", 6))
 
 
+@_register("SELECT p_partkey AS doc_id, text FROM (SELECT p_partkey, unnest(['Type', 'Part', 'Kids', 'Info', 'Title', concat('a \"', p_name, '\"'), p_brand, p_type, 'Next']) AS text FROM part)")
+def textual_values(spark, d):
+    """Parts as dictionaries with names, strings with quotes, an array and a reference."""
+    info = F.struct(F.concat(F.lit('(a "'), "p_name", F.lit('"')).alias("Title"))
+    value = F.to_json(F.struct(F.lit("/Part").alias("Type"), F.array(F.concat(F.lit("("), "p_brand"), F.concat(F.lit("/"), "p_type")).alias("Kids"), info.alias("Info"), F.struct(F.lit("7 0").alias("R")).alias("Next")))
+    made = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("v").alias("node_id"), value.alias("value"))
+    return diagnosis.textual_values(made).select("doc_id", "text")
+
+
 @_register("WITH r AS (SELECT o_custkey AS doc_id, year(o_orderdate)::INT AS rev, count(*) AS n_changes FROM orders GROUP BY ALL) SELECT doc_id, rev, coalesce(lag(rev) OVER w, 0)::INT AS previous, n_changes, coalesce(n_changes - lag(n_changes) OVER w, 0) AS grown FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY rev)")
 def revision_timeline(spark, d):
     """Customers as documents, a year's orders as a revision's changes."""

@@ -95,6 +95,10 @@ def test_repairs_by_level(spark):
     assert mended[5][0] is None
     careful = {r.doc_id: r.actions for r in diagnosis.repaired(files, "Conservative").collect()}
     assert careful[3] == []
+    text = "%PDF-1.4\nstream\r\nabc endstream\nstream\nok\nendstream page Fond Pages trailer\n%%EOF"
+    (one,) = diagnosis.repaired(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert one.text == "%PDF-1.4\nstream\nabc \nendstream\nstream\nok\nendstream Page Font Pages trailer\n%%EOF"
+    assert one.actions == ["Stream", "FuzzyMatching"]
 
 
 def test_a_batch_applies_changes_in_order(spark):
