@@ -43,9 +43,9 @@ STEP, PLACE = random_words(2, 1)[0], random_words(3, 64)
 SCALE, SHIFT = (random_words(s, 1024).astype(np.uint32) | np.uint32(1) for s in (4, 5))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 places where texts begin among them."""
-    inside = BYTE[data] != 0
+def word_hashes(data: np.ndarray, offsets: np.ndarray, byte: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n + 1 places where texts begin among them; ``byte`` is 0 for what parts words."""
+    inside = byte[data] != 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -56,13 +56,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     place = np.arange(len(data)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
     longest = int(place[inside].max()) + 1
     powers = np.cumprod(np.full(longest, STEP, np.uint64))
-    values = BYTE[data] * powers[np.minimum(place, longest - 1)]
+    values = byte[data] * powers[np.minimum(place, longest - 1)]
     return mix(np.add.reduceat(values, starts)), np.searchsorted(starts, offsets)
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(data: np.ndarray, offsets: np.ndarray, n: int = N, byte: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every text's n-grams in order, and where each text's begin."""
-    words, at = word_hashes(data, offsets)
+    words, at = word_hashes(data, offsets, byte)
     count = np.diff(at)
     number = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     out = np.zeros(len(words) + n, np.uint64)
@@ -77,9 +77,9 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarra
     return mix(out[: len(words)][keep]), np.concatenate([[0], np.cumsum(number)])
 
 
-def sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+def sets(data: np.ndarray, offsets: np.ndarray, n: int = N, byte: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Like ngrams, each text's sorted and without repeats."""
-    grams, at = ngrams(data, offsets, n)
+    grams, at = ngrams(data, offsets, n, byte)
     each = [np.unique(grams[p:q]) for p, q in zip(at[:-1], at[1:])]
     return np.concatenate(each) if each else grams, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
 
