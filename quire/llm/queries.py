@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, licenses, media, near_dedup, ngram_join, packing, repeats, toxicity, warc
-from .common import stored, table
+from . import decontaminate, html_extract, language_id, licenses, media, near_dedup, ngram_join, packing, periodic_runs, repeats, toxicity, warc
+from .common import let, stored, table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -75,11 +75,40 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def periodic(words: Column) -> Column:
+        """From word g % n on, words repeat with the contract's period."""
+        a = g % F.size(words)
+        p = 1 + F.floor((F.size(words) - a) / (3 + g % 8))
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    text = F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.array_join(let(words, periodic), " ")).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    found = found.withColumn("best", best)
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc, op10_html_extraction, op13_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc, op10_html_extraction, op12_periodic_runs, op13_minhash_near_dedup)}
 
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _words = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')".format
