@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, licenses, media, near_dedup, ngram_join, packing, periodic_runs, repeats, toxicity, warc
+from . import alignment, decontaminate, html_extract, language_id, licenses, media, near_dedup, ngram_join, packing, periodic_runs, repeats, toxicity, warc
 from .common import let, stored, table
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -75,6 +75,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), first, second, groups=False)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
     g = F.floor(h / 10)
@@ -108,7 +115,7 @@ def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc, op10_html_extraction, op12_periodic_runs, op13_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_media_columns, op3_best_fit_packing, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_toxicity, op8_language_id, op9_warc, op10_html_extraction, op11_tokenizer_alignment, op12_periodic_runs, op13_minhash_near_dedup)}
 
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _words = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')".format
