@@ -31,7 +31,7 @@ SLOTS = f"{NAME}-{UNIT}"
 NAMES = r"(?<=[^.!?\s]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 #: Capitalised words that are names if the text before them says so.
 STARTS = rf"(?<![\p{{L}}\p{{N}}{SLOTS}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
-NUMBERS = r"\p{N}+(?:[.,]\p{N}+)*"
+NUMBERS = r"\p{N}++(?:[.,]\p{N}++)*+"  # possessive: the engine loops; otherwise it recurses once a part
 #: Unit words.
 UNITS = r"(?i)(?<![\p{L}\p{N}" + SLOTS + r"])(?:km|cm|mm|kg|mg|lbs?|oz|ml|miles?|met(?:er|re)s?|kilomet(?:er|re)s?|inch(?:es)?|feet|yards?|grams?|kilograms?|lit(?:er|re)s?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent)(?![\p{L}\p{N}])"
 #: Points and commas part words except between digits.
