@@ -113,7 +113,7 @@ def uri_status(url: Column) -> Column:
 
 
 def is_language_code(code: Column) -> Column:
-    return code.rlike("^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$")
+    return code.rlike("^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8}+)*+$")  # possessive: no recursion on long codes
 
 
 def parse_version(text: Column) -> Column:

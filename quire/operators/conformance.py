@@ -233,6 +233,8 @@ def health(rows: DataFrame) -> DataFrame:
 
 def content_operators(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, place, op): operators of content streams in order, operands left out."""
-    plain = F.regexp_replace(F.decode("stream", "ISO-8859-1"), r"<[0-9A-Fa-f\s]*>|\((?:\\.|[^\\()])*\)|/\S+|\[|\]", " ")
+    # possessive groups loop; others recurse once a repetition and end the stack on a long string
+    inner = r"[^\\()]++|\\."
+    plain = F.regexp_replace(F.decode("stream", "ISO-8859-1"), rf"(?s)<[0-9A-Fa-f\s]*+>|\((?:{inner}|\((?:{inner})*+\))*+\)|/\S+|\[|\]", " ")
     ops = F.filter(F.split(F.trim(plain), r"\s+"), lambda t: t.rlike(r"^[A-Za-z'\"*][A-Za-z0-9'\"*]*$"))
     return nodes.where((F.col("node_type") == "ContentStream") & F.col("stream").isNotNull()).select("doc_id", "node_id", F.posexplode(ops).alias("place", "op"))
