@@ -19,7 +19,7 @@ empty set and is linked with nothing.
 5. Connected components of all verified links are the groups.
 
 With ``bands`` of ``rows`` bins a pair of similarity s shares a bucket with
-probability 1 - (1 - s**rows)**bands: 0.99998 at 0.85 for 28 bands of 6.
+probability 1 - (1 - s**rows)**bands: 0.99999 at 0.85 for 24 bands of 6.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import components, forget, mix, random_words, slices, stored, utf8
 from .ngram_join import PLACE, band_hashes, common_grams, sets
 
-N, PERCENT, BANDS, ROWS = 3, 85, 28, 6
+N, PERCENT, BANDS, ROWS = 3, 85, 24, 6
 SLICE = 1 << 19
 #: Members of a star's block; sets and shingles of a part of a bucket.
 SPOKES, MOST, GRAMS = 256, 512, 1 << 20
+#: Keys of texts to be fetched that are broadcast; more of them are joined by a shuffle.
+BROADCAST = 1 << 22
 BYTE = random_words(31, 256)
 BYTE[[*range(9, 14), 32]] = 0
 BYTE[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]
@@ -112,11 +114,14 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(band, bucket, rep, n_shingles, centre, centre_n) of buckets of two classes or more; those with the same members are taken once."""
-    buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    sizes = buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "n_shingles")).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
-    once = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket", "c")).alias("b")).select("b.band", "b.bucket", F.col("b.c.rep").alias("centre"), F.col("b.c.n_shingles").alias("centre_n"))
-    return buckets.join(once, ["band", "bucket"]).select("band", "bucket", "rep", "n_shingles", "centre", "centre_n")
+    """(bucket, rep, n_shingles, centre) of buckets of two classes or more; those with the same members are taken once.
+
+    Hashes of different bands are apart, so a hash alone is a bucket.
+    """
+    buckets = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
+    once = sizes.groupBy("n", "centre", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "centre")
+    return buckets.join(once, "bucket").select("bucket", "rep", "n_shingles", "centre")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -140,8 +145,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def _stars(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(a, b): the verified edges from the centre of every bucket to its other members."""
+    hubs = members.where("rep = centre").select("centre", F.col("n_shingles").alias("centre_n")).distinct()
     sized = F.least("n_shingles", "centre_n") * 100 >= F.greatest("n_shingles", "centre_n") * percent
-    edges = members.where("rep <> centre").where(sized).select("centre", "rep").distinct()
+    edges = members.where("rep <> centre").select("centre", "rep", "n_shingles").distinct().join(hubs, "centre").where(sized).select("centre", "rep").distinct()
     counts = edges.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("parts"))
     dealt = edges.join(counts, "centre").select("centre", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), "rep")
     both = dealt.unionByName(counts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("rep")))
@@ -176,25 +182,25 @@ def _rest(members: DataFrame, grams: DataFrame, labels: DataFrame, percent: int)
     ``GRAMS`` shingles.
     """
     named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    apart = named.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("band", "bucket")
+    apart = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("bucket")
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-1.000001 * float(np.log(percent / 100)))).cast("int")
-    open_ = named.join(apart, ["band", "bucket"]).select("band", "bucket", "rep", "label", "n_shingles", level.alias("level"))
-    parts = open_.groupBy("band", "bucket", "level").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MOST, F.sum("n_shingles") / GRAMS)).cast("int").alias("parts"))
-    around = parts.select("band", "bucket", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"), F.col("level").alias("to"), F.col("parts").alias("others"))
-    own = open_.join(parts, ["band", "bucket", "level"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(2)), "parts").cast("int"))
-    met = own.join(around, ["band", "bucket", "level"]).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    open_ = named.join(apart, "bucket").select("bucket", "rep", "label", "n_shingles", level.alias("level"))
+    parts = open_.groupBy("bucket", "level").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MOST, F.sum("n_shingles") / GRAMS)).cast("int").alias("parts"))
+    around = parts.select("bucket", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"), F.col("level").alias("to"), F.col("parts").alias("others"))
+    own = open_.join(parts, ["bucket", "level"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(2)), "parts").cast("int"))
+    met = own.join(around, ["bucket", "level"]).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     mine, theirs = F.struct("level", "side"), F.struct(F.col("to").alias("level"), F.col("with").alias("side"))
     low, high = F.least(mine, theirs), F.greatest(mine, theirs)
-    block = met.select("band", "bucket", low["level"].alias("l1"), low["side"].alias("s1"), high["level"].alias("l2"), high["side"].alias("s2"), "rep", "label", (mine == low).alias("first"))
+    block = met.select("bucket", low["level"].alias("l1"), low["side"].alias("s1"), high["level"].alias("l2"), high["side"].alias("s2"), "rep", "label", (mine == low).alias("first"))
     # a block that is one part twice holds each class once
-    whole = block.join(grams.withColumnRenamed("id", "rep"), "rep").select("band", "bucket", "l1", "s1", "l2", "s2", "label", "first", "grams")
+    whole = block.join(grams.withColumnRenamed("id", "rep"), "rep").select("bucket", "l1", "s1", "l2", "s2", "label", "first", "grams")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 6):
-            labels_of, lists = rows.column(6).combine_chunks(), rows.column(8).combine_chunks()
-            label, first = labels_of.to_numpy(), rows.column(7).combine_chunks().to_numpy(zero_copy_only=False)
+        for rows in _runs(batches, 5):
+            labels_of, lists = rows.column(5).combine_chunks(), rows.column(7).combine_chunks()
+            label, first = labels_of.to_numpy(), rows.column(6).combine_chunks().to_numpy(zero_copy_only=False)
             sizes = lists.value_lengths().to_numpy().astype(np.int64)
-            same = all(rows.column(k)[0].as_py() == rows.column(k + 2)[0].as_py() for k in (2, 3))
+            same = all(rows.column(k)[0].as_py() == rows.column(k + 2)[0].as_py() for k in (1, 2))
             left, right = np.flatnonzero(first), np.arange(len(sizes)) if same else np.flatnonzero(~first)
             asked = label[left][:, None] != label[right][None, :]
             small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
@@ -213,7 +219,7 @@ def _rest(members: DataFrame, grams: DataFrame, labels: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[at, 0], labels_of.type), pa.array(ends[at, 1], labels_of.type)], names=["a", "b"])
 
     kind = members.schema["rep"].dataType.simpleString()
-    keys = ["band", "bucket", "l1", "s1", "l2", "s2"]
+    keys = ["bucket", "l1", "s1", "l2", "s2"]
     return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(joined, f"a {kind}, b {kind}")
 
 
@@ -253,7 +259,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     some = signed.where("n_shingles > 0")
     classes = stored(some.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).where("rep is not null"), "sets")
     members = stored(_members(classes), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    wanted = stored(members.select(F.col("rep").alias("id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted, "id")
     repeated = signed.groupBy("id").count().where("count > 1 and id is not null").limit(1).count() > 0
     grams = stored(shingle_sets(texts.dropDuplicates(["id", "text"]) if repeated else texts, "id", "text", n), "grams")
