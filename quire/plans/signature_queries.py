@@ -38,7 +38,8 @@ def _parsed(spark, d) -> tuple[DataFrame, DataFrame]:
     return blobs, stored(signatures.der_nodes(blobs), "der")
 
 
-NUMBER = F.col("blob").cast("long").alias("s_suppkey")
+def number():
+    return F.col("blob").cast("long").alias("s_suppkey")
 
 
 @_register("@all SELECT s_suppkey, concat('CN=', n_name, ',O=', r_name) AS issuer, CAST(s_suppkey + 100 AS BIGINT) AS serial, 'SHA-256' AS digest, sha256(message) AS message_digest, make_timestamp(2025, 1, 1 + s_suppkey % 28, 12, 0, 0) AS signing_time, s_suppkey % 3 = 0 AS stamped FROM s")
@@ -46,7 +47,7 @@ def cms_signers(spark, d):
     blobs, nodes = _parsed(spark, d)
     certs = signatures.certificates(nodes, blobs).select("blob", F.col("issuer_raw").alias("raw"), "serial", F.col("issuer").alias("said"))
     found = signatures.signers(nodes, blobs).join(certs.withColumnRenamed("raw", "issuer"), ["blob", "issuer", "serial"])
-    return found.select(NUMBER, F.col("said").alias("issuer"), F.conv("serial", 16, 10).cast("long").alias("serial"), "digest", F.lower(F.hex("message_digest")).alias("message_digest"), "signing_time", F.col("stamp").isNotNull().alias("stamped"))
+    return found.select(number(), F.col("said").alias("issuer"), F.conv("serial", 16, 10).cast("long").alias("serial"), "digest", F.lower(F.hex("message_digest")).alias("message_digest"), "signing_time", F.col("stamp").isNotNull().alias("stamped"))
 
 
 @_register("""@all SELECT s_suppkey, concat('CN=', s_name, ',O=', n_name) AS subject, false AS is_ca, 'Digital Signature,Non Repudiation' AS usage, concat('http://ocsp.example/', nation) AS ocsp, concat('http://crl.example/', replace(r_name, ' ', '-'), '.crl') AS crl, CASE WHEN ended THEN 2000 ELSE 2040 END AS last_year FROM s
@@ -56,7 +57,7 @@ def cms_signers(spark, d):
 def certificate_facts(spark, d):
     blobs, nodes = _parsed(spark, d)
     certs = signatures.certificates(nodes, blobs)
-    return certs.select(NUMBER, "subject", "is_ca", F.array_join("usage", ",").alias("usage"), F.array_join("ocsp", ",").alias("ocsp"), F.array_join("crl", ",").alias("crl"), F.year("not_after").alias("last_year"))
+    return certs.select(number(), "subject", "is_ca", F.array_join("usage", ",").alias("usage"), F.array_join("ocsp", ",").alias("ocsp"), F.array_join("crl", ",").alias("crl"), F.year("not_after").alias("last_year"))
 
 
 def _roots(blobs: DataFrame) -> DataFrame:
@@ -74,17 +75,17 @@ def certificate_chains(spark, d):
     certs = stored(signatures.certificates(nodes, blobs), "certificates")
     signer = signatures.signers(nodes, blobs).select("blob", F.col("issuer").alias("issuer_raw"), "serial")
     leaves = certs.join(signer, ["blob", "issuer_raw", "serial"]).select("blob", "cert", F.lit(AT).cast("timestamp").alias("at"))
-    return signatures.chains(certs, leaves, _roots(blobs)).select(NUMBER, "step", "subject", "status")
+    return signatures.chains(certs, leaves, _roots(blobs)).select(number(), "step", "subject", "status")
 
 
 @_register("@all SELECT s_suppkey, NOT changed AS digest_ok, NOT broken AS signature_ok, CASE WHEN broken THEN 'Invalid' WHEN changed THEN 'DigestMismatch' ELSE 'Valid' END AS status FROM s")
 def signature_checks(spark, d):
     blobs = _blobs(spark, d)
-    return signatures.verified(blobs, blobs.select("blob", "message")).select(NUMBER, "digest_ok", "signature_ok", "status")
+    return signatures.verified(blobs, blobs.select("blob", "message")).select(number(), "digest_ok", "signature_ok", "status")
 
 
 @_register("@all SELECT s_suppkey, TIMESTAMP '2025-01-02 03:04:05' AS time, '1.3.6.1.4.1.99999.1' AS policy, 'SHA-256' AS digest, sha256(message) AS imprint, CAST(1 + s_suppkey % 9 AS INT) AS seconds, 5 AS millis FROM s WHERE s_suppkey % 3 = 0")
 def time_stamps(spark, d):
     blobs, nodes = _parsed(spark, d)
     tokens = signatures.signers(nodes, blobs).where("stamp is not null").select("blob", F.col("stamp").alias("content"))
-    return signatures.stamps(tokens).select(NUMBER, "time", "policy", "digest", F.lower(F.hex("imprint")).alias("imprint"), "seconds", "millis")
+    return signatures.stamps(tokens).select(number(), "time", "policy", "digest", F.lower(F.hex("imprint")).alias("imprint"), "seconds", "millis")

@@ -44,6 +44,15 @@ def text_of(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def _said(raw: bytes) -> str:
+    return "(" + text_of(raw)
+
+
+def _kept(raw: bytes) -> str:
+    """A string's bytes in hex, for documents whose strings are still encrypted."""
+    return "<" + raw.hex()
+
+
 def _literal(data: bytes, at: int) -> tuple[bytes, int]:
     """The bytes of the parenthesised string at ``at``, and where it ends."""
     out, depth, i = bytearray(), 1, at + 1
@@ -68,8 +77,8 @@ def _literal(data: bytes, at: int) -> tuple[bytes, int]:
     raise PdfError("string without end")
 
 
-def parse_value(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
-    """(JSON-able value, end) of the value at ``at``."""
+def parse_value(data: bytes, at: int = 0, depth: int = 0, say=_said) -> tuple[object, int]:
+    """(JSON-able value, end) of the value at ``at``; ``say`` gives what stands for a string."""
     if depth > DEPTH:
         raise PdfError("nested too deeply")
     m = TOKEN.search(data, at)
@@ -81,18 +90,18 @@ def parse_value(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
     if t == b"<<":
         out: dict = {}
         while True:
-            key, at = parse_value(data, at, depth + 1)
+            key, at = parse_value(data, at, depth + 1, say)
             if key is _END_DICT:
                 return out, at
             if not isinstance(key, str) or not key.startswith("/"):
                 raise PdfError("a key is no name")
-            out[key[1:]], at = parse_value(data, at, depth + 1)
+            out[key[1:]], at = parse_value(data, at, depth + 1, say)
             if out[key[1:]] in (_END_DICT, _END_ARRAY):
                 raise PdfError("a key without value")
     if t == b"[":
         items: list = []
         while True:
-            item, at = parse_value(data, at, depth + 1)
+            item, at = parse_value(data, at, depth + 1, say)
             if item is _END_ARRAY:
                 return items, at
             if item is _END_DICT:
@@ -104,9 +113,9 @@ def parse_value(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
         return _END_ARRAY, at
     if t[:1] == b"(":
         raw, at = _literal(data, m.start())
-        return "(" + text_of(raw), at
+        return say(raw), at
     if t[:1] == b"<":
-        return "(" + text_of(codecs.hex_decode(t[1:])), at
+        return say(codecs.hex_decode(t[1:])), at
     if t[:1] == b"/":
         return re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes.fromhex(h[1].decode()), t).decode("utf-8", "replace"), at
     if t in (b"true", b"false", b"null"):
@@ -124,13 +133,13 @@ def parse_value(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
 _END_DICT, _END_ARRAY = object(), object()
 
 
-def _object(data: bytes, at: int) -> tuple[int, int, object, bytes | None]:
+def _object(data: bytes, at: int, say=_said) -> tuple[int, int, object, bytes | None]:
     """(number, generation, value, raw stream) of the object at ``at``; a broken value is null."""
     m = OBJECT.match(data, at) or OBJECT.search(data, at, at + 64)
     if not m:
         raise PdfError("no object here")
     try:
-        value, end = parse_value(data, m.end())
+        value, end = parse_value(data, m.end(), 0, say)
     except PdfError:
         return int(m[1]), int(m[2]), None, None
     mark = re.compile(rb"\s*stream\r?\n?").match(data, end)
@@ -156,7 +165,7 @@ def _decoded(value: dict, raw: bytes) -> bytes:
     return codecs.decode(raw, filters_of(value), predictor)
 
 
-def _section(data: bytes, at: int) -> tuple[dict, dict]:
+def _section(data: bytes, at: int, say=_said) -> tuple[dict, dict]:
     """({(obj, gen): (kind, offset or container, index)}, trailer) of the cross-reference section at ``at``."""
     entries: dict = {}
     if data[at : at + 4] == b"xref":
@@ -176,15 +185,15 @@ def _section(data: bytes, at: int) -> tuple[dict, dict]:
         mark = re.compile(rb"trailer\s*").match(data, at)
         if not mark:
             raise PdfError("no trailer")
-        trailer = parse_value(data, mark.end())[0]
+        trailer = parse_value(data, mark.end(), 0, say)[0]
         if not isinstance(trailer, dict):
             raise PdfError("the trailer is no dictionary")
         if isinstance(trailer.get("XRefStm"), int):  # a hybrid file: its stream tells of objects that the table calls free
-            for key, entry in _section(data, trailer["XRefStm"])[0].items():
+            for key, entry in _section(data, trailer["XRefStm"], say)[0].items():
                 if entries.get(key, ("free",))[0] == "free":
                     entries[key] = entry
         return entries, trailer
-    _, _, value, raw = _object(data, at)
+    _, _, value, raw = _object(data, at, say)
     if not isinstance(value, dict) or value.get("Type") != "/XRef" or raw is None:
         raise PdfError("no cross-reference section")
     body, widths = _decoded(value, raw), value.get("W")
@@ -208,8 +217,13 @@ def _section(data: bytes, at: int) -> tuple[dict, dict]:
     return entries, value
 
 
-def read_document(data: bytes) -> list[tuple]:
-    """Rows (kind, rev, obj, gen, offset, value JSON, stream) of one document; damaged ones are scanned for objects."""
+def read_document(data: bytes, raw: bool = False) -> list[tuple]:
+    """Rows (kind, rev, obj, gen, offset, value JSON, stream) of one document; damaged ones are scanned for objects.
+
+    With ``raw`` strings are ``<`` and their bytes in hex, streams are as they are in the
+    file, and objects inside object streams are null: what decryption starts from.
+    """
+    say = _kept if raw else _said
     head = re.search(rb"%PDF-(\d)\.(\d)", data[:1024])
     starts = list(re.finditer(rb"startxref\s+(\d+)", data))
     sections, at, seen, recovered = [], int(starts[-1][1]) if starts else -1, set(), False
@@ -218,7 +232,7 @@ def read_document(data: bytes) -> list[tuple]:
             if at >= len(data):
                 raise PdfError("a section beyond the end")
             seen.add(at)
-            sections.append(_section(data, at))
+            sections.append(_section(data, at, say))
             at = sections[-1][1].get("Prev", -1)
             if not isinstance(at, int):
                 raise PdfError("the older section's place is no number")
@@ -229,7 +243,7 @@ def read_document(data: bytes) -> list[tuple]:
         found = {(int(m[1]), int(m[2])): ("used", m.start(), 0) for m in OBJECT.finditer(data)}
         last = data.rfind(b"trailer")
         try:
-            trailer = parse_value(data, last + 7)[0] if last >= 0 else {}
+            trailer = parse_value(data, last + 7, 0, say)[0] if last >= 0 else {}
         except DAMAGE:
             trailer = {}
         sections = [(found, trailer if isinstance(trailer, dict) else {})]
@@ -249,24 +263,26 @@ def read_document(data: bytes) -> list[tuple]:
     for (obj, gen), (rev, (kind, where, index)) in sorted(newest.items()):
         try:
             if kind == "used":
-                number, _, value, raw = _object(data, where)
+                number, _, value, body = _object(data, where, say)
                 if number != obj:
                     raise PdfError("another object is here")
+            elif raw:
+                value, body = None, None
             else:
                 if where not in packed:
-                    _, _, outer, body = _object(data, newest[where, 0][1][1])
-                    plain = _decoded(outer, body)
+                    _, _, outer, inner = _object(data, newest[where, 0][1][1])
+                    plain = _decoded(outer, inner)
                     pairs = list(map(int, plain[: outer["First"]].split()))
                     packed[where] = [parse_value(plain, outer["First"] + o)[0] for o in pairs[1::2]]
-                value, raw = packed[where][index], None
+                value, body = packed[where][index], None
         except DAMAGE:
-            value, raw = None, None
-        stream = None
-        if raw is not None:
+            value, body = None, None
+        stream = body
+        if body is not None and not raw:
             try:
-                stream = _decoded(value, raw)
+                stream = _decoded(value, body)
             except DAMAGE:
-                stream = raw
+                pass
         rows.append(("object", rev, obj, gen, where if kind == "used" else None, json.dumps(value, ensure_ascii=False), stream))
     return rows
 
@@ -274,8 +290,8 @@ def read_document(data: bytes) -> list[tuple]:
 ROWS = "doc_id long, kind string, rev int, obj int, gen int, offset long, value string, stream binary"
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Object rows of a table (doc_id, content binary); null content has none."""
+def parse(files: DataFrame, raw: bool = False) -> DataFrame:
+    """Object rows of a table (doc_id, content binary); null content has none. ``raw``: see ``read_document``."""
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +299,7 @@ def parse(files: DataFrame) -> DataFrame:
             for doc, content in zip(batch.column(0), batch.column(1)):
                 if content.as_py() is None:
                     continue
-                out = read_document(content.as_py())
+                out = read_document(content.as_py(), raw)
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(out), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=[x.split()[0] for x in ROWS.split(", ")])
 
     return files.select("doc_id", "content").mapInArrow(rows, ROWS)
