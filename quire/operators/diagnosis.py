@@ -250,12 +250,11 @@ def repaired(files: DataFrame, level: str = "Aggressive") -> DataFrame:
     text, in the order of the level's priorities; what a level leaves out is not tried. A
     null text stays null. Every step is an expression over whole texts.
     """
-    mends = {"BasicStructure": _basic_structure, "Reference": _references, "Stream": _streams, "Encoding": _encoding, "Heuristic": _heuristic, "FuzzyMatching": _keywords}
     none = F.array().cast("array<string>")
     out = files.select("doc_id", "text", none.alias("actions"))
     for name in strategies(level):
-        if name in mends:
-            better = out.withColumn("mended", mends[name](F.col("text")))
+        if name in MENDS:
+            better = out.withColumn("mended", MENDS[name](F.col("text")))
             changed = F.when(F.col("mended") != F.col("text"), F.array(F.lit(name))).otherwise(none)
             out = better.select("doc_id", F.col("mended").alias("text"), F.concat("actions", changed).alias("actions"))
     return out
@@ -295,6 +294,21 @@ def _heuristic(t: Column) -> Column:
     return F.when(missing > 0, F.concat(t, F.repeat(F.lit("]"), missing))).otherwise(t)
 
 
+def outside_streams(t: Column, mend) -> Column:
+    """``t`` with ``mend`` on all that is not between ``stream`` and ``endstream``."""
+    pieces = F.split(t, r"(?=\bstream\b)|(?<=endstream)")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("stream"), p).otherwise(mend(p))), "")
+
+
+def _data(t: Column) -> Column:
+    """Outside of streams: null characters become spaces, lone carriage returns line breaks of two characters, letters stuck to a decimal number go."""
+    return outside_streams(t, lambda p: F.regexp_replace(F.regexp_replace(F.translate(p, "\0", " "), r"\r(?!\n)", "\r\n"), r"(?<![\w.])(\d++\.\d*+)[A-Za-z]++", "$1"))
+
+
+#: Repairs that are one expression over a whole text; those by tokens are in ``recovery``.
+MENDS = {"BasicStructure": _basic_structure, "DataRecovery": _data, "Reference": _references, "Stream": _streams, "Encoding": _encoding, "Heuristic": _heuristic, "FuzzyMatching": _keywords}
+
+
 def stage_statistics(events: DataFrame) -> DataFrame:
     """(stage, n_items, n_errors, ms, rate) of processed items (stage, ms, failed): items a second of time spent, 0 where none was."""
     by = events.groupBy("stage").agg(F.count(F.lit(1)).alias("n_items"), F.count_if("failed").alias("n_errors"), F.sum("ms").alias("ms"))
