@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.shared import stored
 
 URL = r"(?:https?|ftp|file)://[^\s')]+"
 
@@ -58,9 +59,9 @@ def combinations(found: DataFrame) -> DataFrame:
 
 
 def all_threats(texts: DataFrame) -> DataFrame:
-    """(doc_id, rule, severity): the findings and what their combinations add."""
-    found = threats(texts)
-    return found.select("doc_id", "rule", "severity").unionByName(combinations(found))
+    """(doc_id, rule, severity): the findings and what their combinations add. The rules run once; their rows are stored for both."""
+    found = stored(threats(texts).select("doc_id", "rule", "severity"), "threats")
+    return found.unionByName(combinations(found))
 
 
 def risk(found: DataFrame) -> DataFrame:

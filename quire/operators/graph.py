@@ -161,16 +161,20 @@ def insert_nodes(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[Da
 def clone_subtrees(nodes: DataFrame, edges: DataFrame, clones: DataFrame, suffix: str = "'") -> tuple[DataFrame, DataFrame]:
     """The nodes and edges to add for copies of subtrees: ``clones`` (node_id, new_parent); a copy's id is the old one and ``suffix``.
 
-    Child edges inside a subtree are copied with its nodes; references keep their targets.
+    A node that several clones hold, because they overlap or one is asked for twice, gets
+    as many suffixes as its place among them (by clone and new parent). Child edges inside
+    a subtree are copied with its nodes; references keep their targets.
     """
-    under = walk(edges.where(F.col("edge_type") == CHILD), clones.select("node_id"))
-    ids = under.select("node_id").distinct()
-    new = lambda c: F.concat(c, F.lit(suffix))
-    copies = nodes.join(ids, "node_id", "left_semi").withColumn("node_id", new(F.col("node_id")))
-    own = edges.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi")
-    child = F.col("edge_type") == CHILD
-    inner = own.select(new(F.col("src")).alias("src"), F.when(child, new(F.col("dst"))).otherwise(F.col("dst")).alias("dst"), "edge_type", "ord")
-    outer = clones.select(F.col("new_parent").alias("src"), new(F.col("node_id")).alias("dst"), F.lit(CHILD).alias("edge_type"), F.lit(0).cast("long").alias("ord"))
+    asked = clones.select(F.col("node_id").alias("origin"), "new_parent").distinct()
+    under = walk(edges.where(F.col("edge_type") == CHILD), clones.select("node_id")).select("origin", "node_id").join(asked, "origin")
+    nth = F.row_number().over(Window.partitionBy("node_id").orderBy("origin", "new_parent"))
+    copied = stored(under.withColumn("copy", F.concat("node_id", F.repeat(F.lit(suffix), nth))), "copies")
+    copies = nodes.join(copied.select("node_id", "copy"), "node_id").withColumn("node_id", F.col("copy")).select(*nodes.columns)
+    own = copied.select("origin", "new_parent", F.col("node_id").alias("src"), F.col("copy").alias("new_src")).join(edges, "src")
+    target = copied.select("origin", "new_parent", F.col("node_id").alias("dst"), F.col("copy").alias("new_dst"))
+    joined = own.join(target, ["origin", "new_parent", "dst"], "left")
+    inner = joined.select(F.col("new_src").alias("src"), F.when(F.col("edge_type") == CHILD, F.col("new_dst")).otherwise(F.col("dst")).alias("dst"), "edge_type", "ord")
+    outer = copied.where("node_id = origin").select(F.col("new_parent").alias("src"), F.col("copy").alias("dst"), F.lit(CHILD).alias("edge_type"), F.lit(0).cast("long").alias("ord"))
     return copies, inner.unionByName(outer).select(*edges.columns)
 
 
@@ -198,16 +202,19 @@ def tree_entries(trees: DataFrame, kids: DataFrame, entries: DataFrame) -> DataF
 
 
 def tree_lookup(trees: DataFrame, limits: DataFrame, kids: DataFrame, entries: DataFrame, asked: DataFrame) -> DataFrame:
-    """(tree, key, value) of ``asked`` (tree, key), going down only into nodes whose ``limits`` (node_id, low, high) hold the key."""
+    """(tree, key, value) of ``asked`` (tree, key), going down only into nodes whose ``limits`` (node_id, low, high) hold the key.
+
+    A node is looked at once for a key, so that trees with cycles end; of several values the least counts.
+    """
     at = asked.join(trees, "tree")
-    found, level = None, at.select("tree", "key", "node_id")
+    level, levels = at.select("tree", "key", "node_id").distinct(), []
     kids = stored(kids.select(F.col("src").alias("node_id"), "dst").join(limits.withColumnRenamed("node_id", "dst"), "dst", "left"), "limits")
     while True:
         level = stored(level, "lookup")
+        levels.append(level)
         if level.isEmpty():
             break
-        here = level.join(entries, ["node_id", "key"]).select("tree", "key", "value")
-        found = here if found is None else found.unionByName(here)
         inside = F.col("low").isNull() | F.col("key").between(F.col("low"), F.col("high"))
-        level = level.join(kids, "node_id").where(inside).select("tree", "key", F.col("dst").alias("node_id"))
-    return (found if found is not None else at.join(entries, ["node_id", "key"]).select("tree", "key", "value")).groupBy("tree", "key").agg(F.min("value").alias("value"))
+        below = level.join(kids, "node_id").where(inside).select("tree", "key", F.col("dst").alias("node_id")).distinct()
+        level = below.join(together(levels), ["tree", "key", "node_id"], "left_anti")
+    return together(levels).join(entries, ["node_id", "key"]).groupBy("tree", "key").agg(F.min("value").alias("value"))
