@@ -37,6 +37,8 @@ N, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 SLICE = 1 << 19
 #: Sets and n-grams of a part of a bucket; columns of a block's matrix at a time.
 MOST, GRAMS, WIDE = 512, 1 << 20, 1 << 12
+#: Keys of texts to be fetched that are broadcast; more of them are joined by a shuffle.
+BROADCAST = 1 << 22
 BYTE = random_words(1, 256)
 BYTE[[b for b in range(128) if not chr(b).isalnum()]] = 0
 STEP, PLACE = random_words(2, 1)[0], random_words(3, 64)
@@ -235,8 +237,12 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     classes = stored(signed.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "sets")
     members = stored(_blocks(classes, bands), "members")
 
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").dropDuplicates(["id"]) if _repeats(signed) else docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    wanted = stored(members.select(F.col("rep").alias("id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    if _repeats(signed):
+        texts = texts.dropDuplicates(["id"])
     grams = stored(ngram_sets(texts, "id", "text", n), "grams")
     block = ["band", "bucket", "part", "other"]
     whole = members.join(grams.withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", F.col("bands").alias("keys")), "rep")
