@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import fax
+
 MAX_BYTES, MAX_RATIO = 50 << 20, 1000
 
 
@@ -199,10 +201,26 @@ ENCODERS = {
 }
 
 
-def decode(data: bytes, filters: list[str], predictor: dict | None = None) -> bytes:
-    """``filters`` applied in order, a predictor after the last."""
+def fax_decode(data: bytes, parms: dict) -> bytes:
+    """A fax image by the entries of its decode parameters."""
+    number = lambda name, least: parms[name] if isinstance(parms.get(name), int) and not isinstance(parms[name], bool) else least
+    try:
+        return fax.decode(data, number("K", 0), number("Columns", 1728), number("Rows", 0), parms.get("BlackIs1") is True, parms.get("EncodedByteAlign") is True)
+    except fax.FaxError as e:
+        raise CodecError(str(e)) from e
+
+
+def decode(data: bytes, filters: list[str], predictor: dict | None = None, parms: list[dict] | None = None) -> bytes:
+    """``filters`` applied in order, a predictor after the last; ``parms`` are the decode parameters of each filter."""
     size = len(data)
-    for name in filters:
+    for k, name in enumerate(filters):
+        own = parms[k] if parms and k < len(parms) and isinstance(parms[k], dict) else {}
+        if name == "CCITTFaxDecode":
+            data = fax_decode(data, own)
+            if len(data) > MAX_BYTES:
+                raise CodecError("output limit")
+            size = max(size, len(data))  # a white page is a few bits long
+            continue
         if name not in DECODERS:
             raise CodecError(f"unknown filter {name}")
         data = DECODERS[name](data)

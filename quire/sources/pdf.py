@@ -159,10 +159,11 @@ def filters_of(value: dict) -> list[str]:
 
 
 def _decoded(value: dict, raw: bytes) -> bytes:
-    parms = value.get("DecodeParms") or {}
-    parms = parms[0] if isinstance(parms, list) and parms else parms
+    given = value.get("DecodeParms") or {}
+    each = given if isinstance(given, list) else [given]
+    parms = each[0] if each else {}
     predictor = {"predictor": parms["Predictor"], "colors": parms.get("Colors", 1), "bits": parms.get("BitsPerComponent", 8), "columns": parms.get("Columns", 1)} if isinstance(parms, dict) and parms.get("Predictor", 1) > 1 else None
-    return codecs.decode(raw, filters_of(value), predictor)
+    return codecs.decode(raw, filters_of(value), predictor, each)
 
 
 def _section(data: bytes, at: int, say=_said) -> tuple[dict, dict]:
