@@ -57,7 +57,10 @@ CLOSES = {
 MARKS = re.compile(r"(?:(?:site|page|top|main|post|article)[-_]?)?(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:[-_]?(?:area|bar|block|box|buttons?|container|form|items?|links?|list|menu|notice|panel|posts|section|thread|unit|wrap(?:per)?|[0-9]+))*|(?:site|page|top)[-_]?header|header", re.I)
 #: The node of all that lies outside the article of pages that have one.
 OUTSIDE = "outside!"
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag ends before the next "<" outside of quotes, and nothing is tried twice: time grows with the page, whatever it holds.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
+#: Elements nested deeper than this share the path of the one at this depth.
+DEEPEST = 256
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
@@ -90,14 +93,14 @@ class Page:
         self._parts: list[str] = []
         places: dict[str, int] = {}
         stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, in main
-        at, n = 0, len(html)
+        at, n, last = 0, len(html), html.rfind(">")
         raw: str | None = None
         while at < n:
             if raw:
                 end = re.compile(rf"</{re.escape(raw)}(?![\w-])[^>]*>", re.I).search(html, at)
                 at, raw = (end.end() if end else n), None
                 continue
-            m = TAG.search(html, at)
+            m = TAG.search(html, at) if at <= last or "<!--" in html[at:] else None
             if m is None:
                 self._parts.append(html[at:])
                 break
@@ -128,13 +131,16 @@ class Page:
                 continue
             _, path, main = stack[-1]
             if tag not in INLINE:
-                name, marked = _name(tag, m[3]) if tag not in OUTER else (tag, False)
+                name, marked = _name(tag, m[3])
+                if tag in OUTER and not (tag == "article" and marked and ".comment" in name):  # readers' comments are articles as well
+                    name, marked = tag, False
                 self.children[path] = zlib.crc32(tag.encode(), self.children.get(path, 0))
                 out = tag in DROPPED or (tag == "header" and not main) or marked
-                path = f"{path}>{name}"
-                places[path] = places.get(path, 0) + 1
-                path = f"{path}[{places[path]}]{'!' if out else ''}"
-                main = main or tag in MAIN
+                if len(stack) <= DEEPEST:
+                    path = f"{path}>{name}"
+                    places[path] = places.get(path, 0) + 1
+                    path = f"{path}[{places[path]}]{'!' if out else ''}"
+                main = main or (tag in MAIN and not marked)
             if tag in RAW:
                 raw = None if m[3].rstrip().endswith("/") else tag
                 continue

@@ -82,40 +82,69 @@ def _png(b, at):
     return None
 
 
-def _jpeg(b, at):
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+def _chain(known: dict, p: int, step):
+    """Where the chain of parts from ``p`` on ends, null if it breaks: ``step`` gives (next place, None) or (None, end).
+
+    ``known`` keeps the answer for every place passed, so that no part is walked twice
+    however many magic numbers lead to it.
+    """
+    path = []
+    while p not in known:
+        path.append(p)
+        p, end = step(p)
+        if p is None:
+            break
+    else:
+        end = known[p]
+    for q in path:
+        known[q] = end
+    return end
+
+
+def _jpeg(b, at, known):
+    ends = known.setdefault("ends", [0, -1])  # from the first place to the second there is no end mark, but at the second
+
+    def end_after(p):
+        if not ends[0] <= p <= ends[1]:
+            ends[:] = [p, b.find(b"\xff\xd9", p)]
+            if ends[1] < 0:
+                ends[1] = len(b) + 1
+        return None if ends[1] > len(b) else ends[1] + 2
+
+    def step(p):
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, None
         kind, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
         if n < 2:
-            return None
-        p += 2 + n
-        if kind == 0xDA:
-            end = b.find(b"\xff\xd9", p)
-            return Found(at, end + 2 - at, "image/jpeg") if end >= 0 else None
-    return None
+            return None, None
+        return (None, end_after(p + 2 + n)) if kind == 0xDA else (p + 2 + n, None)
+
+    end = _chain(known, at + 2, step)
+    return Found(at, end - at, "image/jpeg") if end else None
 
 
-def _gif(b, at):
+def _gif(b, at, known):
     if at + 13 > len(b):
         return None
-    flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+    inner = known.setdefault("inner", {})
 
     def blocks(p):
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        return p + 1
+        return _chain(inner, p, lambda p: (p + b[p] + 1, None) if p < len(b) and b[p] else (None, p + 1))
 
-    while p < len(b):
+    def step(p):
+        if p >= len(b):
+            return None, None
         if b[p] == 0x3B:
-            return Found(at, p + 1 - at, "image/gif")
+            return None, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+            return blocks(p + 2), None
+        if b[p] == 0x2C and p + 10 <= len(b):
+            return blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0)), None
+        return None, None
+
+    flags = b[at + 10]
+    end = _chain(known, at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), step)
+    return Found(at, end - at, "image/gif") if end else None
 
 
 def _pdf(b, at, marks):
@@ -137,19 +166,18 @@ def _zip(b, at, marks):
     return Found(at, end + 22 + note - at, "application/zip") if start + size == end - at and end + 22 + note <= len(b) else None
 
 
-def _ogg(b, at):
-    p = at
-    while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\x00":
+def _ogg(b, at, known):
+    def step(p):
+        if p + 27 > len(b) or bytes(b[p : p + 5]) != b"OggS\x00":
+            return None, None
         n = b[p + 26]
-        if p + 27 + n > len(b):
-            return None
         q = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if q > len(b):
-            return None
-        last, p = b[p + 5] & 4, q
-        if last:
-            return Found(at, p - at, "audio/ogg")
-    return None
+        if p + 27 + n > len(b) or q > len(b):
+            return None, None
+        return (None, q) if b[p + 5] & 4 else (q, None)
+
+    end = _chain(known, at, step)
+    return Found(at, end - at, "audio/ogg") if end else None
 
 
 def _flac(b, at):
@@ -223,7 +251,9 @@ def sniff(media: bytes, finder: ahocorasick.Automaton) -> list[Found]:
             marks[name].append(end + 1 - n)
         else:
             magic.append((name, end + 1 - n))
-    hits = [VALIDATE[name](media, at, marks) if name in ("PDF", "ZIP") else VALIDATE[name](media, at) for name, at in magic]
+    known: dict[str, dict] = {"OGG": {}, "GIF": {}, "JPEG": {}}
+    more = {"PDF": marks, "ZIP": marks, "OGG": known["OGG"], "GIF87": known["GIF"], "GIF89": known["GIF"], "JPEG": known["JPEG"]}
+    hits = [VALIDATE[name](media, at, more[name]) if name in more else VALIDATE[name](media, at) for name, at in magic]
     return sorted({h for h in hits if h}, key=lambda h: (h.offset, -h.length))
 
 

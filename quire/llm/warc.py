@@ -3,13 +3,15 @@
 The reader walks an archive once: an incremental zlib decompressor inflates a
 member chunk by chunk, the header names the block's length, the block is taken
 by that length, and block and payload digests are verified. Records of any type and
-of other writers are read; what they do not say is null.
+of other writers are read; what they do not say is null, and a bad record is a row that
+says what is wrong.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -89,40 +91,109 @@ class Record:
         return self.http[1] if self.headers.get("content-type", "").startswith("application/http") else self.block
 
 
-def _members(archive: bytes) -> Iterator[bytes]:
-    at, view = 0, memoryview(archive)
-    while at < len(view):
-        inflate, parts = zlib.decompressobj(MEMBER), []
-        while not inflate.eof:
-            if at >= len(view):
-                raise WarcError("the archive ends inside a member")
-            piece = view[at : at + CHUNK]
+BREAKS = re.compile(rb"\r?\n\r?\n")  # ends a header, and a record
+
+
+def _member(archive: memoryview, at: int) -> tuple[bytes, int]:
+    """The plain bytes of the gzip member at ``at``, and where the next begins."""
+    inflate, parts = zlib.decompressobj(MEMBER), []
+    while not inflate.eof:
+        if at >= len(archive):
+            raise WarcError("the archive ends inside a member")
+        piece = archive[at : at + CHUNK]
+        try:
+            parts.append(inflate.decompress(piece))
+        except zlib.error as e:
+            raise WarcError(str(e)) from e
+        at += len(piece) - len(inflate.unused_data)
+    return b"".join(parts), at
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A body without its chunks' sizes, null if it is no chunked one."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n").match(body, at):
+        n, at = int(m[1], 16), m.end()
+        if not n:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        out.append(body[at : at + n])
+        at += n + 2
+    return None
+
+
+def _record(data: bytes, at: int) -> tuple[Record | None, str | None, int]:
+    """(record, what is wrong with it, where the next one begins) of the record at ``at``; lines may end without a carriage return."""
+    mark = BREAKS.search(data, at)
+    if not mark or data[at : at + 5] != b"WARC/":
+        return None, "no WARC header", len(data)
+    lines = data[at : mark.start()].decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    length = headers.get("content-length", "")
+    if not length.isdecimal():
+        return Record(headers, b""), "the header names no length", len(data)
+    end = mark.end() + int(length)
+    record = Record(headers, data[mark.end() : end])
+    closed = BREAKS.match(data, end) if end <= len(data) else None
+    after = closed.end() if closed else end
+    if not closed or not (after == len(data) or data[after : after + 5] == b"WARC/" or data[after : after + 1] == b"\0"):
+        following = data.find(b"\nWARC/1.", mark.end())
+        return record, "the block's length is not the header's", len(data) if following < 0 else following + 1
+    if not _agrees(headers.get("warc-block-digest"), record.block):
+        return record, "block digest mismatch", after
+    if headers.get("warc-type") == "response" and not _agrees(headers.get("warc-payload-digest"), record.payload):
+        plain = _unchunked(record.payload) if "chunked" in record.http[0].get("transfer-encoding", "").lower() else None
+        if plain is None or not _agrees(headers.get("warc-payload-digest"), plain):
+            return record, "payload digest mismatch", after
+    return record, None, after
+
+
+def scan_records(archive: bytes) -> Iterator[tuple[Record | None, str | None]]:
+    """(record, None) for every sound record of one archive, in order, and (what is known, what is wrong) for every other.
+
+    One record a gzip member is the rule; several in one, plain archives and zeros that
+    fill up are taken too. Behind a bad stretch reading goes on at the next gzip head or
+    WARC header.
+    """
+    view, at = memoryview(archive), 0
+    while at < len(archive):
+        if archive[at] in b"\0\r\n":
+            at += 1
+            continue
+        if archive[at : at + 2] == b"\x1f\x8b":
             try:
-                parts.append(inflate.decompress(piece))
-            except zlib.error as e:
-                raise WarcError(str(e)) from e
-            at += len(piece) - len(inflate.unused_data)
-        yield b"".join(parts)
+                data, end = _member(view, at)
+            except WarcError as e:
+                yield None, str(e)
+                at = archive.find(b"\x1f\x8b\x08", at + 2)
+                if at < 0:
+                    return
+                continue
+            inner = 0
+            while inner < len(data):
+                if data[inner] in b"\0\r\n":
+                    inner += 1
+                    continue
+                record, wrong, inner = _record(data, inner)
+                yield record, wrong
+            at = end
+        elif archive[at : at + 5] == b"WARC/":
+            record, wrong, at = _record(archive, at)
+            yield record, wrong
+        else:
+            yield None, "no WARC header"
+            nexts = [x for x in (archive.find(b"\x1f\x8b\x08", at + 1), archive.find(b"\nWARC/1.", at)) if x >= 0]
+            if not nexts:
+                return
+            at = min(nexts)
 
 
 def read_records(archive: bytes) -> Iterator[Record]:
     """The records of one archive, in order; raises WarcError at the first bad one."""
-    for member in _members(archive):
-        head, mark, rest = member.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "replace").split("\r\n")
-        if not mark or not lines[0].startswith("WARC/"):
-            raise WarcError("no WARC header")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = headers.get("content-length", "")
-        length = int(length) if length.isdecimal() else -1
-        if length < 0 or rest[length:] != b"\r\n\r\n":
-            raise WarcError("the block's length is not the header's")
-        block = rest[:length]
-        if not _agrees(headers.get("warc-block-digest"), block):
-            raise WarcError("block digest mismatch")
-        record = Record(headers, block)
-        if headers.get("warc-type") == "response" and not _agrees(headers.get("warc-payload-digest"), record.payload):
-            raise WarcError("payload digest mismatch")
+    for record, wrong in scan_records(archive):
+        if wrong:
+            raise WarcError(wrong)
         yield record
 
 
@@ -160,26 +231,30 @@ def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20, min_payload:
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
     """Every record of a column of whole archives (``content`` of Spark's binaryFile source works too).
 
-    Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to
-    and payload (null for a revisit). Null or empty archives hold no record. A page_id
+    Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to,
+    payload (null for a revisit) and error, which is null but for records that are cut
+    off, malformed or fail their digest: these have a row with what is known of them. Null or empty archives hold no record. A page_id
     is null where the record has none or another writer's id; a digest that a record
     does not give is worked out from its payload, null for a revisit. An archive is
     inflated record by record; as a cell of a table it has at most 2 GB.
     """
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
                 out = []
-                for r in read_records(blob.as_py() or b""):
+                for r, wrong in scan_records(blob.as_py() or b""):
+                    if r is None:
+                        out.append((None, None, None, None, None, None, None, wrong))
+                        continue
                     kind = r.headers.get("warc-type")
                     full = r.payload if kind != "revisit" else None
                     length = r.http[0].get("content-length", "") if full is None else str(len(full))
                     digest = r.headers.get("warc-payload-digest") or (None if full is None else _digest(full))
-                    out.append((page_of(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), kind, int(length) if length.isdecimal() else None, digest and digest.removeprefix("sha1:"), page_of(r.headers.get("warc-refers-to")), full))
+                    out.append((page_of(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), kind, int(length) if length.isdecimal() else None, digest and digest.removeprefix("sha1:"), page_of(r.headers.get("warc-refers-to")), full, wrong))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
