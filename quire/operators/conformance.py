@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import pdf
+from ..sources.shared import stored, together
+from . import graph
 
 #: Code, severity.
 CODES = {
@@ -238,3 +240,152 @@ def content_operators(nodes: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.decode("stream", "ISO-8859-1"), rf"(?s)<[0-9A-Fa-f\s]*+>|\((?:{inner}|\((?:{inner})*+\))*+\)|/\S+|\[|\]", " ")
     ops = F.filter(F.split(F.trim(plain), r"\s+"), lambda t: t.rlike(r"^[A-Za-z'\"*][A-Za-z0-9'\"*]*$"))
     return nodes.where((F.col("node_type") == "ContentStream") & F.col("stream").isNotNull()).select("doc_id", "node_id", F.posexplode(ops).alias("place", "op"))
+
+
+#: The fonts that every reader has.
+STANDARD_FONTS = ["Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic", "Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique", "Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique", "Symbol", "ZapfDingbats"]
+#: Codes of the archive validator, their severities; the last ones only where it is strict.
+ARCHIVE_CODES = {
+    "PDF_A_VERSION": "Error", "PDF_A_COLOR_SPACE": "Error", "PDF_A_FONT_EMBEDDING": "Error", "PDF_A_FONT_ENCODING": "Error", "PDF_A_MULTIMEDIA": "Error", "PDF_A_JAVASCRIPT": "Error", "PDF_A_ANNOTATION_TYPE": "Error",
+    "PDF_A_ANNOTATION_APPEARANCE": "Warning", "PDF_A_XFA": "Error", "PDF_A_ENCRYPTION": "Error", "PDF_A_XMP_METADATA": "Error", "PDF_A_TRANSPARENCY": "Error", "PDF_A_EMBEDDED_FILES": "Error", "PDF_A_XREF_FORMAT": "Warning",
+    "PDF_A_OUTPUT_INTENT": "Warning", "PDF_A_LZW_DECODE": "Warning", "PDF_A_METADATA_SYNC": "Warning",
+}
+STRICT_ONLY = ["PDF_A_OUTPUT_INTENT", "PDF_A_LZW_DECODE", "PDF_A_METADATA_SYNC"]
+
+
+def archive_issues(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """(doc_id, code, severity, n) by the archive validator, over parsed rows, in one aggregation.
+
+    It looks at dictionaries as they are written: resources, forms and actions that lie
+    behind a reference are judged where they stand as objects of their own.
+    """
+    node_type = F.when(F.col("kind") == "object", pdf.type_of(F.col("value"), F.col("stream")))
+    nodes = rows.where("kind in ('doc', 'object')").withColumn("node_type", node_type)
+    is_ = lambda *names: F.coalesce(F.col("node_type").isin(*names), F.lit(False))
+    has = lambda name: _entry(name).isNotNull()
+    sub = F.coalesce(F.substring(_entry("Subtype"), 2, 100), F.lit(""))
+    inner, device = F.col("kind") == "object", ("/DeviceRGB", "/DeviceGray", "/DeviceCMYK")
+    spaces = F.coalesce(F.map_values(F.from_json(_entry("Resources.ColorSpace"), "map<string,string>")), F.array().cast("array<string>"))
+    font, annotation, catalog = is_("Font"), is_("Annotation"), is_("Catalog")
+    embedded = has("FontFile") | has("FontFile2") | has("FontFile3") | (F.coalesce(F.json_array_length(_entry("DescendantFonts")), F.lit(0)) > 0)
+    bare = sub.isin("Type1", "MMType1", "TrueType") & ~has("Encoding") & ~F.coalesce(F.substring(_entry("BaseFont"), 2, 100).isin(STANDARD_FONTS), F.lit(False))
+    script = F.coalesce(_entry("S") == "/JavaScript", F.lit(False))
+    group = F.coalesce((_entry("Type") == "/Group") & (_entry("S") == "/Transparency"), F.lit(False))
+    clear = inner & F.col("value").startswith("{") & (has("BM") | has("CA") | has("ca") | has("SMask"))
+    any_script = (catalog & (has("Names.JavaScript") | F.coalesce(_entry("OpenAction.S") == "/JavaScript", F.lit(False)))) | (is_("Annotation", "Action", "JavaScriptAction") & script & F.coalesce(_entry("Type").isin("/Action", "/Annot"), F.lit(False)))
+    filters = F.coalesce(_entry("Filter"), F.lit(""))
+    lzw = is_("Image") & ((filters == "/LZWDecode") | F.contains(filters, F.lit('"/LZWDecode"')))
+    facts = nodes.groupBy("doc_id").agg(
+        F.max(((is_("Image") & F.coalesce(_entry("ColorSpace").isin(*device), F.lit(False))) | (is_("Page") & F.exists(spaces, lambda s: s.isin(*device)))).cast("int")).alias("device"),
+        F.coalesce(F.max((catalog & has("OutputIntents")).cast("int")), F.lit(0)).alias("intents"),
+        F.count_if(font & ~embedded).alias("fonts"),
+        F.count_if(font & (sub != "Type3") & bare).alias("encodings"),
+        F.max((annotation & sub.isin("Movie", "Sound", "Screen", "RichMedia")).cast("int")).alias("media"),
+        (F.count_if(is_("JavaScriptAction")) + F.max(any_script.cast("int"))).alias("scripts"),
+        F.count_if(annotation & sub.isin("Movie", "Sound", "FileAttachment")).alias("kinds"),
+        F.count_if(annotation & (sub != "") & ~has("AP") & (sub != "Popup")).alias("looks"),
+        F.max((catalog & has("AcroForm.XFA")).cast("int")).alias("xfa"),
+        F.coalesce(F.max((catalog & has("Metadata")).cast("int")), F.lit(0)).alias("metadata"),
+        (F.count_if(clear) + F.count_if(inner & group) + F.count_if(inner & F.coalesce(_entry("Group.S") == "/Transparency", F.lit(False)))).alias("transparent"),
+        F.count_if(is_("Filespec", "EmbeddedFile")).alias("files"),
+        F.count_if(is_("XRef")).alias("streams"),
+        F.count_if(lzw).alias("lzw"),
+        F.max(F.when(F.col("kind") == "doc", F.col("value"))).alias("doc"),
+    )
+    whole = facts.select("*", *pdf.document_facts(F.col("doc"))).drop("doc")
+    n, one = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    version = F.split("version", r"\.")
+    counts = {
+        "PDF_A_VERSION": one((version[0].cast("int") != 1) | (version[1].cast("int") > 4)),
+        "PDF_A_COLOR_SPACE": one((n("device") == 1) & (n("intents") == 0)),
+        "PDF_A_FONT_EMBEDDING": n("fonts"),
+        "PDF_A_FONT_ENCODING": n("encodings"),
+        "PDF_A_MULTIMEDIA": n("media"),
+        "PDF_A_JAVASCRIPT": n("scripts"),
+        "PDF_A_ANNOTATION_TYPE": n("kinds"),
+        "PDF_A_ANNOTATION_APPEARANCE": n("looks"),
+        "PDF_A_XFA": n("xfa"),
+        "PDF_A_ENCRYPTION": one(F.col("encrypted")),
+        "PDF_A_XMP_METADATA": one(n("metadata") == 0),
+        "PDF_A_TRANSPARENCY": n("transparent"),
+        "PDF_A_EMBEDDED_FILES": one(n("files") > 0),
+        "PDF_A_XREF_FORMAT": one((n("streams") > 0) & F.col("has_trailer")),
+        "PDF_A_OUTPUT_INTENT": one(n("intents") == 0),
+        "PDF_A_LZW_DECODE": n("lzw"),
+        "PDF_A_METADATA_SYNC": F.lit(1).cast("long"),
+    }
+    found = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), counts[c].alias("n")) for c, s in ARCHIVE_CODES.items() if strict or c not in STRICT_ONLY))
+    return whole.select("doc_id", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("f")).select("doc_id", "f.*")
+
+
+#: Codes about what refers to what.
+LINK_CODES = {"CYCLIC_STRUCTURE": "Error", "TOUNICODE_NOT_STREAM": "Warning", "STRUCT_TREE_ROOT_INVALID": "Error"}
+
+
+def link_issues(objects: DataFrame) -> DataFrame:
+    """(doc_id, code, severity, n) of stored ``objects``: documents whose links lead back to where they come from, fonts whose map is no stream, structure trees that are no dictionary.
+
+    Links are those of ``pdf.typed_edges`` that lead down: a reference to a parent or to
+    something aside closes no cycle. A reference to nothing is no map and no tree.
+    """
+    down = pdf.typed_edges(objects).where("edge_type not in ('Parent', 'Reference')")
+    whole = lambda c: F.concat_ws("|", F.col("doc_id"), F.col(c))
+    # what is left of an edge table once all that ends somewhere is peeled off lies on a cycle or leads into one
+    left = graph.cyclic(down.select(whole("src").alias("src"), whole("dst").alias("dst")).distinct())
+    cycles = left.select(F.substring_index("src", "|", 1).cast("long").alias("doc_id")).distinct().select("doc_id", F.lit("CYCLIC_STRUCTURE").alias("code"), F.lit(1).cast("long").alias("n"))
+    ref = lambda name: F.get_json_object("value", f"$.{name}.R")
+    there = objects.select("doc_id", F.col("node_id").alias("to"), F.col("stream").isNotNull().alias("is_stream"), (F.col("value").startswith("{") & F.col("stream").isNull()).alias("is_dict"))
+    maps = objects.where("node_type = 'Font'").select("doc_id", ref("ToUnicode").alias("to")).where("to is not null").join(there, ["doc_id", "to"]).where("not is_stream")
+    maps = maps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit("TOUNICODE_NOT_STREAM").alias("code"), "n")
+    roots = objects.where("node_type = 'Catalog'").select("doc_id", F.get_json_object("value", "$.StructTreeRoot").alias("given"), ref("StructTreeRoot").alias("to")).where("given is not null")
+    wrong = roots.join(there, ["doc_id", "to"], "left").where(F.when(F.col("to").isNull(), ~F.col("given").startswith("{")).otherwise(~F.coalesce("is_dict", F.lit(False))))
+    trees = wrong.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit("STRUCT_TREE_ROOT_INVALID").alias("code"), "n")
+    table = F.create_map(*(F.lit(x) for kv in LINK_CODES.items() for x in kv))
+    return cycles.unionByName(maps).unionByName(trees).select("doc_id", "code", table[F.col("code")].alias("severity"), "n")
+
+
+#: The trees of a name dictionary.
+NAME_TREES = ["Dests", "EmbeddedFiles", "JavaScript", "Pages", "Templates", "AlternatePresentations", "Renditions"]
+
+
+def _tree_rows(objects: DataFrame, roots: DataFrame, entries: str) -> DataFrame:
+    """(doc_id, tree, key, value) below ``roots`` (doc_id, tree, node_id or null, value): a level of all trees at a time, a node once a tree."""
+    held = objects.select("doc_id", "node_id", "value")
+    level, levels = roots, []
+    while True:
+        level = stored(level, "trees")
+        levels.append(level)
+        if level.isEmpty():
+            break
+        kids = level.select("doc_id", "tree", F.explode(F.regexp_extract_all(F.get_json_object("value", "$.Kids"), F.lit(r'"R":\s*"(\d+ \d+)"'), 1)).alias("node_id")).distinct()
+        seen = together(levels).select("doc_id", "tree", "node_id").where("node_id is not null")
+        level = kids.join(seen, ["doc_id", "tree", "node_id"], "left_anti").join(held, ["doc_id", "node_id"]).select(*roots.columns)
+    pairs = together(levels).select("doc_id", "tree", F.from_json(F.get_json_object("value", f"$.{entries}"), "array<string>").alias("a"))
+    each = pairs.where("size(a) > 1").select("doc_id", "tree", "a", F.explode(F.sequence(F.lit(0), F.floor(F.size("a") / 2).cast("int") * 2 - 2, F.lit(2))).alias("i"))
+    return each.select("doc_id", "tree", F.get("a", F.col("i")).alias("key"), F.get("a", F.col("i") + 1).alias("value"))
+
+
+def _roots(objects: DataFrame, named: DataFrame) -> DataFrame:
+    """``named`` (doc_id, tree, given) with the node behind ``given`` or its own dictionary."""
+    to = F.get_json_object("given", "$.R")
+    held = objects.select("doc_id", F.col("node_id").alias("to"), F.col("value").alias("behind"))
+    return named.withColumn("to", to).join(held, ["doc_id", "to"], "left").select("doc_id", "tree", F.col("to").alias("node_id"), F.coalesce("behind", F.when(F.col("to").isNull(), F.col("given"))).alias("value")).where("value is not null")
+
+
+def name_trees(objects: DataFrame) -> DataFrame:
+    """(doc_id, tree, key, value JSON) of all seven trees of every catalog's name dictionary, each direct or behind references; cycles end."""
+    catalogs = objects.where("node_type = 'Catalog'").select("doc_id", F.lit("Names").alias("tree"), F.get_json_object("value", "$.Names").alias("given")).where("given is not null")
+    names = _roots(objects, catalogs)
+    each = names.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.get_json_object("value", f"$.{t}").alias("given")) for t in NAME_TREES))).alias("t")).select("doc_id", "t.*").where("given is not null")
+    found = _tree_rows(objects, _roots(objects, each), "Names")
+    return found.select("doc_id", "tree", F.regexp_replace("key", r"^\(", "").alias("key"), "value")
+
+
+def number_trees(objects: DataFrame) -> DataFrame:
+    """(doc_id, tree, key, value JSON) of every catalog's page labels and its structure tree's parent tree."""
+    catalogs = objects.where("node_type = 'Catalog'")
+    labels = catalogs.select("doc_id", F.lit("PageLabels").alias("tree"), F.get_json_object("value", "$.PageLabels").alias("given")).where("given is not null")
+    tops = catalogs.select("doc_id", F.lit("StructTreeRoot").alias("tree"), F.get_json_object("value", "$.StructTreeRoot").alias("given")).where("given is not null")
+    parents = _roots(objects, tops).select("doc_id", F.lit("ParentTree").alias("tree"), F.get_json_object("value", "$.ParentTree").alias("given")).where("given is not null")
+    found = _tree_rows(objects, _roots(objects, labels.unionByName(parents)), "Nums")
+    return found.select("doc_id", "tree", F.col("key").try_cast("long").alias("key"), "value").where("key is not null")
