@@ -102,3 +102,26 @@ def test_damaged_archives_end():
         for _ in range(r.randrange(1, 20)):
             data[r.randrange(len(data))] = r.randrange(256)
         list(warc.scan_records(bytes(data[: r.randrange(len(data))])))
+
+
+def test_windows_alone_find_edited_license_texts(spark):
+    """Every template of 16 words or more, cut, with a tenth of its words changed at random: the share that MinHash windows retrieve."""
+    from pyspark.sql import functions as F
+
+    from quire.llm import licenses
+
+    r = random.Random(9)
+    long = [(name, part, text) for name, part, text in licenses.TEMPLATES if len(text.split()) >= 16]
+    assert sum(part == "text" for _, part, _ in long) == 7 and "unlicense.org" in dict((n, t) for n, p, t in long if p == "text")["Unlicense"]
+    docs = []
+    for k in range(200):
+        words = long[k % len(long)][2].split()
+        for _ in range(len(words) // 10):
+            words[r.randrange(len(words))] = f"edit{r.randrange(1000)}"
+        docs.append((k, " ".join([f"own{r.randrange(500)}" for _ in range(r.randrange(60))] + words + ["end"])))
+    theirs = licenses.template_table(spark.createDataFrame(long, "license string, part string, text string"))
+    wide = lambda df, step, *keep: df.select(*keep, F.explode(licenses._windows(F.col("shingles"), step)).alias("w")).where("w.band >= 0")
+    mine = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", licenses.shingles_of(licenses.words_of(F.col("text"))).alias("shingles"))
+    met = wide(mine, licenses.STRIDE, "doc_id").join(wide(theirs, 1, "license", "part"), "w").select("doc_id", "license", "part").distinct().collect()
+    found = {(m.doc_id, m.license, m.part) for m in met}
+    assert sum((k, *long[k % len(long)][:2]) in found for k in range(200)) >= 0.98 * 200
