@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..operators import graph
 from .shared import stored
 
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|\((?:\\.|[^\\()])*\)|\(|<[0-9A-Fa-f\s]*>|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+|[{}]", re.S)
@@ -369,17 +368,47 @@ def typed_edges(nodes: DataFrame) -> DataFrame:
     return named.select("doc_id", "src", "dst", "edge_type", F.col("ord").cast("long").alias("ord"))
 
 
+def ordered_pages(nodes: list[tuple[str, str, list[str]]]) -> list[str]:
+    """Page ids of one document's (node_id, node_type, kids) in the order of its page tree.
+
+    The tree is gone through level by level from the catalogs; of several ways to a node
+    the shortest counts, of equally long ones the first. Pages it does not reach follow
+    by object number.
+    """
+    kids = {node: below for node, _, below in nodes}
+    level = {node: () for node, kind, _ in nodes if kind == "Catalog"}
+    paths: dict[str, tuple] = {}
+    while level:
+        paths |= level
+        below: dict[str, tuple] = {}
+        for node, path in level.items():
+            for k, kid in enumerate(kids.get(node, ())):
+                if kid not in paths and (kid not in below or (*path, k) < below[kid]):
+                    below[kid] = (*path, k)
+        level = below
+    pages = [node for node, kind, _ in nodes if kind == "Page"]
+    return sorted(pages, key=lambda node: (node not in paths, paths.get(node, ()), int(node.split(" ")[0])))
+
+
 def page_order(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, page): pages numbered from 1 in the order of the page tree; those it does not reach follow by object number."""
-    kids = typed_edges(nodes.where("node_type in ('Catalog', 'Pages')")).where("edge_type = 'Child'")
-    whole = lambda c: F.concat_ws("|", "doc_id", c)
-    edges = kids.select(whole("src").alias("src"), whole("dst").alias("dst"), F.lpad(F.col("ord").cast("string"), 10, "0").alias("step"))
-    start = nodes.where("node_type = 'Catalog'").select(whole("node_id").alias("node_id"), F.lit("").alias("step"))
-    reached = graph.walk(edges, start, step="step").groupBy("node_id").agg(F.min("path").alias("path")).withColumnRenamed("node_id", "at")
-    pages = nodes.where("node_type = 'Page'").select("doc_id", "node_id", whole("node_id").alias("at")).join(reached, "at", "left")
-    number = F.split("node_id", " ")[0].cast("int")
-    order = Window.partitionBy("doc_id").orderBy(F.col("path").isNull(), "path", number)
-    return pages.select("doc_id", "node_id", F.row_number().over(order).alias("page"))
+    """(doc_id, node_id, page): pages numbered from 1 in the order of the page tree; those it does not reach follow by object number.
+
+    A document's catalog and page tree, without streams, meet in one row; see ``ordered_pages``.
+    """
+    ref = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r'"R":\s*"(\d+ \d+)"'), 1)
+    entry = lambda name: F.get_json_object("value", f"$.{name}")
+    kids = F.when(F.col("node_type") == "Page", F.array().cast("array<string>")).otherwise(F.concat(ref(entry("Pages")), ref(entry("Kids"))))
+    tree = nodes.where("node_type in ('Catalog', 'Pages', 'Page')").select("doc_id", F.struct("node_id", "node_type", kids.alias("kids")).alias("n"))
+    by = tree.groupBy("doc_id").agg(F.collect_list("n").alias("nodes"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, listed in zip(batch.column(0), batch.column(1)):
+                pages = ordered_pages([(n["node_id"], n["node_type"], n["kids"]) for n in listed.as_py()])
+                if pages:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(pages), pa.int64()), pa.array(pages), pa.array(range(1, len(pages) + 1), pa.int32())], names=["doc_id", "node_id", "page"])
+
+    return by.mapInArrow(rows, "doc_id long, node_id string, page int")
 
 
 def shown_text(ops: bytes) -> str:
