@@ -11,7 +11,7 @@ their one shingle's hash. Retrieved templates are then verified by exact shingle
 containment in the whole text.
 
 Templates are a table: ``TEMPLATES`` has short notices, the headers of long licenses
-and the whole texts (without title and holder) of six short ones; a library of any size (whole texts of long licenses too) is passed as
+and the whole texts (without title and holder) of seven short ones; a library of any size (whole texts of long licenses too) is passed as
 rows or made by ``template_table`` from a table of texts.
 """
 
