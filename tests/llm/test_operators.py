@@ -155,6 +155,36 @@ def test_repeats_against_every_window(docs, group):
     assert got.where("doc_id = 4 and text is null").count() == 1
 
 
+@pytest.mark.parametrize("length", [47, 400])
+def test_repeats_of_near_copies_by_halved_bands(spark, length):
+    r = random.Random(length)
+    base, rows = prose(31, 200), []
+    for k in range(50):
+        text = list(base[r.randrange(80) :][: 1000 - r.randrange(80)])
+        for _ in range(r.randrange(5)):
+            text[r.randrange(len(text))] = r.choice("xyz")
+        rows.append((k, "".join(text)))
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "id long, text string"), length=length, group=0)
+    assert table_of(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats([(k, t.encode()) for k, t in rows], length)
+
+
+def test_common_passages_make_fewer_rows_than_windows(spark, monkeypatch):
+    made, passage = {}, prose(41, 120)
+    rows = [(k, prose(500 + k, 60) + passage + prose(900 + k, 60)) for k in range(60)]
+    store = repeats.stored
+
+    def counted(df, tag):
+        out = store(df, tag)
+        made[tag] = max(made.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "id long, text string"), group=0)
+    assert table_of(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats([(k, t.encode()) for k, t in rows])
+    windows = 60 * (len(passage) - 399)
+    assert made["cut"] and max(made.values()) < windows / 4, made
+
+
 def test_repeats_on_nothing(docs):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
