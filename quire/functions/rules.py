@@ -1,9 +1,11 @@
-"""Text, URL, file-name and script rules as column expressions; all stay in the JVM."""
+"""Text, URL, file-name and script rules as column expressions; all but ``checksum`` stay in the JVM."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,10 +142,17 @@ def permission_flags(p: Column) -> Column:
 
 def checksum(data: Column) -> Column:
     """``acc * 31 + byte`` over the bytes of a binary or of a text in UTF-8, modulo 2^32."""
-    digits = F.hex(data.cast("binary"))
-    each = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long"))
-    bytes_ = F.when(F.length(digits) > 0, each).otherwise(F.array().cast("array<bigint>"))
-    return F.when(data.isNotNull(), F.aggregate(bytes_, F.lit(0).cast("long"), lambda acc, b: (acc * 31 + b) % 4294967296))
+
+    @F.pandas_udf("long")
+    def sums(data: pd.Series) -> pd.Series:
+        parts = [b"" if x is None else bytes(x) for x in data]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        powers = np.ones(int(sizes.max(initial=0)) + 1, np.uint32)
+        np.cumprod(np.full(len(powers) - 1, 31, np.uint32), out=powers[1:], dtype=np.uint32)
+        each = [np.dot(np.frombuffer(x, np.uint8).astype(np.uint32), powers[n - 1 :: -1]) if (n := len(x)) else 0 for x in parts]
+        return pd.Series([None if x is None else int(n) for x, n in zip(data, each)], dtype="Int64")
+
+    return sums(data.cast("binary"))
 
 
 def media_format(name: Column) -> Column:

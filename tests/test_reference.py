@@ -171,6 +171,15 @@ def test_rules_on_texts(spark):
     assert r["date"] == "2024-02-29 10:11:12" and tuple(r["v"]) == (1, 7) and r["sum"] == 97 * 31 + 98 and r["media"] == "MP4" and r["uri"] == "Warning"
 
 
+def test_checksum_of_a_long_text_takes_a_moment(spark):
+    text, total = "héllo " * 50_000, 0
+    for b in text.encode():
+        total = (total * 31 + b) % (1 << 32)
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, s string").repartition(1)
+    found = {r["k"]: r["sum"] for r in rows.select("k", rules.checksum(F.col("s")).alias("sum")).collect()}
+    assert found == {1: total, 2: 0, 3: None}
+
+
 def test_every_address_and_name_of_a_text_counts(spark):
     text = "see https://fine.example/a and http://x.tk/b?user=1, run Invoice.PDF.exe or a.sh now; eval(x) https://fine.example/a"
     found = findings.threats(spark.createDataFrame([(1, text), (2, ""), (3, "plain words."), (4, None)], "doc_id long, text string"))
