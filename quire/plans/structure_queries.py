@@ -174,10 +174,10 @@ def password_checks(spark, d):
 
     @F.pandas_udf("owner binary, user binary")
     def entries(name: pd.Series, segment: pd.Series, ident: pd.Series, revision: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, s, i, r in zip(name, segment, ident, revision):
-            owner = structure.owner_entry(s.encode(), n.encode(), revision=int(r))
-            out.append((owner, structure.user_entry(structure.file_key(n.encode(), owner, -44, bytes(i), revision=int(r)), bytes(i), int(r))))
+        names, revisions, ids = [n.encode() for n in name], [int(r) for r in revision], [bytes(i) for i in ident]
+        owners = structure.owner_entries([s.encode() for s in segment], names, [16] * len(names), revisions)
+        keys = [structure.file_key(n, o, -44, i, revision=r) for n, o, i, r in zip(names, owners, ids, revisions)]
+        out = list(zip(owners, structure.user_entries(keys, ids, revisions)))
         return pd.DataFrame(out, columns=["owner", "user"])
 
     key = F.col("c_custkey")
