@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import findings, structure
 from ..sources.bridge import table
+from ..sources.shared import spread
 from . import text_queries
 
 QUERIES: dict = {}
@@ -181,7 +182,7 @@ def password_checks(spark, d):
         return pd.DataFrame(out, columns=["owner", "user"])
 
     key = F.col("c_custkey")
-    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", (2 + key % 3).cast("int").alias("revision"), F.md5(key.cast("string")).cast("binary").alias("file_id"), F.lit(-44).alias("permissions"))
+    rows = spread(table(spark, d, "customer"), "c_custkey").select("c_custkey", "c_name", "c_mktsegment", (2 + key % 3).cast("int").alias("revision"), F.md5(key.cast("string")).cast("binary").alias("file_id"), F.lit(-44).alias("permissions"))
     rows = rows.withColumn("made", entries("c_name", "c_mktsegment", "file_id", "revision")).select("*", "made.*")
     tried = F.when(key % 5 == 0, "wrong").when(key % 7 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
     return structure.checked_passwords(rows.withColumn("password", F.encode(tried, "UTF-8"))).select("c_custkey", "revision", "is_user", "is_owner")
