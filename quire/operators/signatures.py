@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import forget, stored
+from ..sources.shared import forget, row_batches, stored
 
 DEPTH = 64
 #: Object identifiers of digests, signature algorithms, attributes, name parts, key purposes.
@@ -144,11 +144,8 @@ def der_nodes(blobs: DataFrame, key: str = "blob", content: str = "content") ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1)):
-                if data.as_py() is None:
-                    continue
-                out = der_walk(data.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), name.type), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=[key, *(x.split()[0] for x in NODES.split(", "))])
+            walked = ((name, der_walk(data), len(data)) for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if data is not None)
+            yield from row_batches(walked, [key, *(x.split()[0] for x in NODES.split(", "))], [batch.column(0).type, *types])
 
     kind = blobs.schema[key].dataType.simpleString()
     return blobs.select(F.col(key), F.col(content)).mapInArrow(rows, f"`{key}` {kind}, {NODES}")
@@ -159,9 +156,9 @@ def raw_of(content: Column, start: Column, header: Column, length: Column) -> Co
     return F.substr(content, start + 1, header + length)
 
 
-def _under(nodes: DataFrame, parents: DataFrame, of: str, *take: str) -> DataFrame:
-    """Children of ``parents`` (blob, path column ``of``, ...) with the columns ``take`` of the child."""
-    kids = nodes.select("blob", F.col("parent").alias(of), *take)
+def _under(nodes: DataFrame, parents: DataFrame, of: str, *take: str, depth: int | None = None) -> DataFrame:
+    """Children of ``parents`` (blob, path column ``of``, ...) with the columns ``take`` of the child; ``depth`` is theirs where it is known."""
+    kids = (nodes if depth is None else nodes.where(F.col("depth") == depth)).select("blob", F.col("parent").alias(of), *take)
     return parents.join(kids, ["blob", of])
 
 
@@ -180,25 +177,28 @@ def signed_data(nodes: DataFrame) -> DataFrame:
     ``content`` is the enclosed content's bytes, null if it is detached.
     """
     top = nodes.where((F.col("tag") == 6) & (F.col("path") == "0.0") & (F.col("text") == SIGNED_DATA)).select("blob", F.lit("0.1").alias("holder"))
-    root = _under(nodes, top, "holder", F.col("path").alias("root"), "tag").where("tag = 16").select("blob", "root")
-    parts = _under(nodes, root, "root", "path", "place", F.col("class").alias("kind"), "tag", "text")
+    root = _under(nodes, top, "holder", F.col("path").alias("root"), "tag", depth=2).where("tag = 16").select("blob", "root")
+    parts = _under(nodes, root, "root", "path", "place", F.col("class").alias("kind"), "tag", "text", depth=3)
     one = parts.groupBy("blob", "root").agg(
         _first((F.col("place") == 0) & (F.col("tag") == 2), "text").cast("int").alias("version"),
         _first((F.col("place") == 2), "path").alias("enclosed"),
         _first((F.col("kind") == 2) & (F.col("tag") == 0), "path").alias("certificates"),
         F.max(F.when((F.col("kind") == 0) & (F.col("tag") == 17) & (F.col("place") > 2), F.col("path"))).alias("signers"),
     )
-    kind = nodes.where("place = 0 and tag = 6").select("blob", F.col("parent").alias("enclosed"), F.col("text").alias("content_type"))
-    body = nodes.where("class = 0 and tag = 4").select("blob", F.regexp_replace("parent", r"\.1$", "").alias("enclosed"), F.col("parent").alias("holder"), F.col("value").alias("content")).where("holder <> enclosed").drop("holder")
+    kind = nodes.where("depth = 4 and place = 0 and tag = 6").select("blob", F.col("parent").alias("enclosed"), F.col("text").alias("content_type"))
+    body = nodes.where("depth = 5 and class = 0 and tag = 4").select("blob", F.regexp_replace("parent", r"\.1$", "").alias("enclosed"), F.col("parent").alias("holder"), F.col("value").alias("content")).where("holder <> enclosed").drop("holder")
     return one.join(kind, ["blob", "enclosed"], "left").join(body, ["blob", "enclosed"], "left").select("blob", "root", "version", "content_type", "content", "certificates", "signers")
 
 
-def attributes(nodes: DataFrame, parents: DataFrame, of: str) -> DataFrame:
-    """(blob, ``of``, oid, path, tag, value, text): the first value of each attribute under the nodes ``parents`` (blob, ``of``)."""
-    each = _under(nodes, parents.select("blob", of), of, F.col("path").alias("attribute"))
-    named = each.join(nodes.where("tag = 6 and place = 0").select("blob", F.col("parent").alias("attribute"), F.col("text").alias("oid")), ["blob", "attribute"])
-    sets = _under(nodes, named, "attribute", F.col("path").alias("set"), F.col("tag").alias("is")).where("is = 17")
-    return _under(nodes, sets, "set", "path", "place", "tag", "value", "text").where("place = 0").select("blob", of, "oid", "path", "tag", "value", "text")
+def attributes(nodes: DataFrame, parents: DataFrame, of: str, depth: int | None = None) -> DataFrame:
+    """(blob, ``of``, oid, path, tag, value, text): the first value of each attribute under the nodes ``parents`` (blob, ``of``), all at ``depth`` if it is given."""
+    below = lambda k: None if depth is None else depth + k
+    each = _under(nodes, parents.select("blob", of), of, F.col("path").alias("attribute"), depth=below(1))
+    kinds = nodes.where("tag = 6 and place = 0").select("blob", F.col("text").alias("oid"), "parent", "depth")
+    kinds = kinds if depth is None else kinds.where(F.col("depth") == below(2))
+    named = each.join(kinds.select("blob", F.col("parent").alias("attribute"), "oid"), ["blob", "attribute"])
+    sets = _under(nodes, named, "attribute", F.col("path").alias("set"), F.col("tag").alias("is"), depth=below(2)).where("is = 17")
+    return _under(nodes, sets, "set", "path", "place", "tag", "value", "text", depth=below(3)).where("place = 0").select("blob", of, "oid", "path", "tag", "value", "text")
 
 
 def signers(nodes: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -209,8 +209,8 @@ def signers(nodes: DataFrame, blobs: DataFrame) -> DataFrame:
     tag of a set), null without any; ``stamp`` is the raw time-stamp token.
     """
     whole = signed_data(nodes).where("signers is not null").select("blob", F.col("signers").alias("all"))
-    each = _under(nodes, whole, "all", F.col("path").alias("signer"), F.col("tag").alias("is")).where("is = 16").select("blob", "signer")
-    parts = _under(nodes, each, "signer", "path", "place", F.col("class").alias("kind"), "tag", "value")
+    each = _under(nodes, whole, "all", F.col("path").alias("signer"), F.col("tag").alias("is"), depth=4).where("is = 16").select("blob", "signer")
+    parts = _under(nodes, each, "signer", "path", "place", F.col("class").alias("kind"), "tag", "value", depth=5)
     own = parts.groupBy("blob", "signer").agg(
         _first((F.col("place") == 1) & (F.col("tag") == 16), "path").alias("sid"),
         _first(F.col("place") == 2, "path").alias("digested"),
@@ -219,14 +219,15 @@ def signers(nodes: DataFrame, blobs: DataFrame) -> DataFrame:
         F.max(F.when((F.col("kind") == 0) & (F.col("tag") == 4), F.col("value"))).alias("signature"),
         _first((F.col("kind") == 2) & (F.col("tag") == 1) & (F.col("place") > 2), "path").alias("unsigned"),
     )
-    oid = nodes.where("place = 0 and tag = 6").select("blob", "parent", "text")
+    own = stored(own, "signers")  # three joins below start from it
+    oid = nodes.where("depth = 6 and place = 0 and tag = 6").select("blob", "parent", "text")
     for column, name in (("digested", "digest_oid"), ("signed_with", "algorithm_oid")):
         own = own.join(oid.select("blob", F.col("parent").alias(column), F.col("text").alias(name)), ["blob", column], "left")
-    place = lambda k, tag: nodes.where(f"place = {k} and tag = {tag}").select("blob", F.col("parent").alias("sid"), "start", "header", "length", "value")
+    place = lambda k, tag: nodes.where(f"depth = 6 and place = {k} and tag = {tag}").select("blob", F.col("parent").alias("sid"), "start", "header", "length", "value")
     named = own.join(place(0, 16).select("blob", "sid", F.struct("start", "header", "length").alias("issuer_at")), ["blob", "sid"], "left").join(place(1, 2).select("blob", "sid", F.hex("value").alias("serial")), ["blob", "sid"], "left")
-    given = attributes(nodes, own.where("attrs is not null"), "attrs").groupBy("blob", "attrs").agg(F.max(F.when(F.col("oid") == MESSAGE_DIGEST, F.col("value"))).alias("message_digest"), F.max(F.when(F.col("oid") == SIGNING_TIME, F.col("text"))).alias("signing_time"))
-    at = nodes.select("blob", F.col("path").alias("attrs"), F.struct("start", "header", "length").alias("attrs_at"))
-    stamps = attributes(nodes, own.where("unsigned is not null"), "unsigned").where(F.col("oid") == STAMP_TOKEN).join(nodes.select("blob", "path", F.struct("start", "header", "length").alias("stamp_at")), ["blob", "path"]).groupBy("blob", "unsigned").agg(F.min("stamp_at").alias("stamp_at"))
+    given = attributes(nodes, own.where("attrs is not null"), "attrs", 5).groupBy("blob", "attrs").agg(F.max(F.when(F.col("oid") == MESSAGE_DIGEST, F.col("value"))).alias("message_digest"), F.max(F.when(F.col("oid") == SIGNING_TIME, F.col("text"))).alias("signing_time"))
+    at = nodes.where("depth = 5").select("blob", F.col("path").alias("attrs"), F.struct("start", "header", "length").alias("attrs_at"))
+    stamps = attributes(nodes, own.where("unsigned is not null"), "unsigned", 5).where(F.col("oid") == STAMP_TOKEN).join(nodes.where("depth = 8").select("blob", "path", F.struct("start", "header", "length").alias("stamp_at")), ["blob", "path"]).groupBy("blob", "unsigned").agg(F.min("stamp_at").alias("stamp_at"))
     joined = named.join(given, ["blob", "attrs"], "left").join(at, ["blob", "attrs"], "left").join(stamps, ["blob", "unsigned"], "left").join(blobs.select("blob", "content"), "blob")
     raw = lambda c: raw_of(F.col("content"), F.col(f"{c}.start"), F.col(f"{c}.header"), F.col(f"{c}.length"))
     covered = F.concat(F.lit(b"\x31"), F.expr("substring(content, attrs_at.start + 2, attrs_at.header + attrs_at.length - 1)"))
@@ -246,7 +247,7 @@ def names(nodes: DataFrame, at: DataFrame) -> DataFrame:
 
 def certificate_paths(nodes: DataFrame) -> DataFrame:
     """(blob, cert): the certificates in every SignedData, or the blob itself where it is one."""
-    inside = _under(nodes, signed_data(nodes).where("certificates is not null").select("blob", "certificates"), "certificates", F.col("path").alias("cert"), "tag").where("tag = 16").select("blob", "cert")
+    inside = _under(nodes, signed_data(nodes).where("certificates is not null").select("blob", "certificates"), "certificates", F.col("path").alias("cert"), "tag", depth=4).where("tag = 16").select("blob", "cert")
     # a certificate: a sequence of two sequences and a bit string
     own = nodes.where("parent = '0'").groupBy("blob").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("place") < 2) & (F.col("tag") == 16)).alias("sequences"), F.count_if((F.col("place") == 2) & (F.col("tag") == 3)).alias("bits"))
     return inside.unionByName(own.where("n = 3 and sequences = 2 and bits = 1").select("blob", F.lit("0").alias("cert")))
