@@ -71,9 +71,35 @@ def descendants(edges: DataFrame, start: DataFrame, max_depth: int | None = None
 
 
 def ancestors(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(origin, node_id, depth): the chain of parents of each start node."""
+    """(origin, node_id, depth): the chain of parents of each start node.
+
+    Many nodes share few parents, so parents are told apart level by level, each node's
+    once, and what is above a level is joined with it only when the rows are read. From
+    a level that has more than half as many parents as nodes on, they are walked.
+    """
     up = edges.where(F.col("edge_type") == CHILD).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return walk(up, start, max_depth).where("depth > 0")
+    if max_depth is not None:
+        return walk(up, start, max_depth).where("depth > 0")
+    up = stored(up.where("src is not null and dst is not null"), "edges")
+    levels, heads = [], start.select("node_id")
+    while True:
+        by = stored(heads.select(F.col("node_id").alias("src")).join(up, "src").groupBy(F.col("src").alias("origin")).agg(F.collect_set("dst").alias("parents")), "parents")
+        heads = stored(by.select(F.explode("parents").alias("node_id")).distinct(), "parents")
+        levels.append((by, heads))
+        n, more = by.count(), heads.count()
+        if not more or more * 2 > n:
+            break
+    above = walk(up, heads) if more else None
+    forget(up)
+    for by, heads in reversed(levels):
+        own = heads.select(F.col("node_id").alias("origin"), "node_id", F.lit(0).alias("depth"))
+        known = own if above is None else above if by is levels[-1][0] else own.unionByName(above)
+        pairs = by.select("origin", F.explode("parents").alias("parent"))
+        found = pairs.join(known.select(F.col("origin").alias("parent"), "node_id", (F.col("depth") + 1).alias("depth")), "parent").where("node_id <> origin").select("origin", "node_id", "depth")
+        if not by.where(F.size("parents") > 1).isEmpty():
+            found = found.groupBy("origin", "node_id").agg(F.min("depth").alias("depth"))
+        above = found
+    return above
 
 
 def would_create_cycle(edges: DataFrame, moves: DataFrame) -> DataFrame:
